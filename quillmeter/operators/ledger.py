@@ -67,12 +67,12 @@ def conditional_balance(
     """
     keep = expiry_days * DAY_MICROS
     rows = ledger.select(
-        F.col(user).alias("user_id"), F.col(tie).alias("event_id"), micros(ts).alias("at"),
+        F.col(user).alias("user_id"), F.col(tie).alias("event_id"), micros(ts).alias("at_us"),
         F.col(kind).alias("type"), F.col(amount).cast("long").alias("amount"),
     )
     return ordered_fold(
-        rows, ["user_id"], ["at", "event_id"],
-        "user_id long, event_id long, at long, type string, amount long, "
+        rows, ["user_id"], ["at_us", "event_id"],
+        "user_id long, event_id long, at_us long, type string, amount long, "
         "accepted boolean, balance long, expired_credits long",
         _Account, lambda s, r: s.apply(r[3], r[4], r[2], keep), ["accepted", "balance", "expired_credits"],
     )

@@ -81,9 +81,9 @@ def admission(
     cap, most = limits.upload_mb * MB, limits.max_file_mb * MB
     rows = requests.select(
         F.col(device).alias("device"), F.date_format(ts, "yyyy-MM").alias("month"),
-        micros(ts).alias("at"), F.col(tie).alias("request_id"), F.col(size).cast("long").alias("size"), F.col(ts).alias("ts"),
+        micros(ts).alias("at_us"), F.col(tie).alias("request_id"), F.col(size).cast("long").alias("size"), F.col(ts).alias("ts"),
     )
-    keys, order = ["device", "month"], ["at", "request_id"]
+    keys, order = ["device", "month"], ["at_us", "request_id"]
     fits = rows.where((F.col("size") <= most) & (F.col("size") <= cap)).withColumn(
         "cls", F.when(F.col("size") > 0, F.length(F.bin("size"))).otherwise(0)
     )
@@ -107,10 +107,10 @@ def admission(
 
     decided = ordered_fold(
         candidates, keys, order,
-        "device long, month string, at long, request_id long, size long, accepted boolean",
+        "device long, month string, at_us long, request_id long, size long, accepted boolean",
         lambda: [0, 0], step, ["accepted"],
     ).where("accepted").select("request_id", F.lit(True).alias("accepted"))
-    return rows.drop("at").join(decided, "request_id", "left").withColumn(
+    return rows.drop("at_us").join(decided, "request_id", "left").withColumn(
         "accepted", F.coalesce("accepted", F.lit(False))
     )
 
@@ -137,10 +137,10 @@ def free_window(
         s[1] += ok
         return ok, max_pdfs - s[1]
 
-    rows = requests.select(F.col(key).alias("key"), F.col(tie).alias("request_id"), micros(ts).alias("at"))
+    rows = requests.select(F.col(key).alias("key"), F.col(tie).alias("request_id"), micros(ts).alias("at_us"))
     return ordered_fold(
-        rows, ["key"], ["at", "request_id"],
-        "key string, request_id long, at long, allowed boolean, remaining long",
+        rows, ["key"], ["at_us", "request_id"],
+        "key string, request_id long, at_us long, allowed boolean, remaining long",
         lambda: [None, 0], step, ["allowed", "remaining"],
     )
 
@@ -212,12 +212,12 @@ def lockout(
         return "failed", s[0]
 
     rows = logins.select(
-        F.col(user).alias("user_id"), F.col(tie).alias("event_id"), micros(ts).alias("at"),
+        F.col(user).alias("user_id"), F.col(tie).alias("event_id"), micros(ts).alias("at_us"),
         F.col(success).alias("success"),
     )
     return ordered_fold(
-        rows, ["user_id"], ["at", "event_id"],
-        "user_id long, event_id long, at long, success boolean, outcome string, failed_attempts long",
+        rows, ["user_id"], ["at_us", "event_id"],
+        "user_id long, event_id long, at_us long, success boolean, outcome string, failed_attempts long",
         lambda: [0, None], step, ["outcome", "failed_attempts"],
     )
 

@@ -6,6 +6,10 @@ from quillmeter.plans.registry import ORACLES, QUERIES
 
 for _name in (
     "usage_queries",
+    "ledger_queries",
+    "quota_queries",
+    "billing_queries",
+    "site_queries",
 ):
     import_module(f"quillmeter.plans.{_name}")
 
