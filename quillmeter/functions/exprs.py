@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -28,8 +28,14 @@ def any_contains(text: str | Column, needles: Iterable[str]) -> Column:
     return reduce(lambda a, b: a | b, (col(text).contains(n) for n in needles))
 
 
-def count_contains(text: str | Column, needles: Iterable[str]) -> Column:
-    return reduce(lambda a, b: a + b, (col(text).contains(n).cast("long") for n in needles))
+def count_contains(text: str | Column, needles: Sequence[str]) -> Column:
+    """How many of the words occur; a repeated word counts each time."""
+    return F.size(F.filter(F.array(*map(F.lit, needles)), lambda n: col(text).contains(n))).cast("long")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it many times in ``body``."""
+    return F.transform(F.array(value), body)[0]
 
 
 def lookup(table: Mapping[str, object], key: str | Column, default: object = None) -> Column:

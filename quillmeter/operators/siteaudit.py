@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quillmeter.functions import lexicons as X
-from quillmeter.functions.exprs import any_contains, col, first_rule, labels_where, long_count
+from quillmeter.functions.exprs import any_contains, col, first_rule, labels_where, let, long_count
 
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
 
@@ -85,8 +85,10 @@ def _by_volume() -> list[tuple[str, int]]:
 
 def main_keyword(h1: str | Column) -> Column:
     """The phrase of highest volume in the heading, else its first words without stop words."""
-    text = col(h1)
-    low = F.lower(text)
+    return let(col(h1), lambda text: let(F.lower(text), lambda low: _main_keyword(text, low)))
+
+
+def _main_keyword(text: Column, low: Column) -> Column:
     words = F.filter(F.split(low, r"\s+"), lambda w: w != "")
     kept = F.filter(F.slice(words, 1, 3), lambda w: ~w.isin(*X.KEYWORD_STOP_WORDS))
     known = first_rule([(low.contains(k), k) for k, _ in _by_volume()])
@@ -96,7 +98,10 @@ def main_keyword(h1: str | Column) -> Column:
 
 def search_volume(keyword: str | Column) -> Column:
     """Containment either way, then 30 % of a phrase sharing a long word, then class defaults."""
-    k = F.lower(col(keyword))
+    return let(F.lower(col(keyword)), _volume)
+
+
+def _volume(k: Column) -> Column:
     direct = [(k.contains(p) | F.lit(p).contains(k), v) for p, v in X.KEYWORD_VOLUMES.items()]
     partial = [
         (any_contains(k, long_words), int(v * X.PARTIAL_SHARE))
@@ -112,7 +117,14 @@ def _all_of(text: Column, groups: list[list[str]]) -> Column:
 
 def keyword_suggestions(pages: DataFrame, keep: str, h1: str = "h1", k: int = 3) -> DataFrame:
     """Up to k suggested phrases per page, by volume. Rules are expressions: no join, no shuffle."""
-    low = F.lower(F.col(h1))
+    best = let(F.lower(F.col(h1)), lambda low: F.slice(_suggestions(low), 1, k))
+    return pages.select(keep, F.posexplode(best).alias("pos", "s")).select(
+        keep, (F.col("pos") + 1).cast("long").alias("rank"), F.col("s.p").alias("suggestion"),
+        (-F.col("s.neg")).cast("long").alias("volume"),
+    )
+
+
+def _suggestions(low: Column) -> Column:
     at, options = 0, []
     for words, branches in X.SUGGESTION_GROUPS:
         rules = []
@@ -121,11 +133,7 @@ def keyword_suggestions(pages: DataFrame, keep: str, h1: str = "h1", k: int = 3)
             at += len(phrases)
             rules.append((_all_of(low, groups), F.array(*found)))
         options.append(F.when(any_contains(low, words), first_rule(rules)))
-    best = F.slice(F.array_sort(F.flatten(F.array_compact(F.array(*options)))), 1, k)
-    return pages.select(keep, F.posexplode(best).alias("pos", "s")).select(
-        keep, (F.col("pos") + 1).cast("long").alias("rank"), F.col("s.p").alias("suggestion"),
-        (-F.col("s.neg")).cast("long").alias("volume"),
-    )
+    return F.array_sort(F.flatten(F.array_compact(F.array(*options))))
 
 
 def top_by_volume(pages: DataFrame, volume: str, tie: str, k: int = 50) -> DataFrame:
@@ -179,8 +187,10 @@ def page_category(filename: str | Column) -> Column:
 
 def page_description(filename: str | Column, title: str | Column) -> Column:
     """G10: 'Convert A to B' names first, then the fixed descriptions, then archives, then the title."""
-    plain = base_name(filename)
-    base = F.lower(plain)
+    return let(base_name(filename), lambda p: let(F.lower(p), lambda low: _description(p, low, col(title))))
+
+
+def _description(plain: Column, base: Column, title: Column) -> Column:
     parts = F.split(base, " to ")
     archive = any_contains(base, ["zip", "rar"])
     rules = [
@@ -191,7 +201,7 @@ def page_description(filename: str | Column, title: str | Column) -> Column:
         (archive & base.contains("to"), F.concat(F.lit("Convert "), title_case(plain), F.lit(" archives online"))),
         (archive, F.concat(F.lit("Work with "), title_case(plain), F.lit(" archives online"))),
     ]
-    return first_rule(rules, F.concat(col(title), F.lit(" - Online free tool")))
+    return first_rule(rules, F.concat(title, F.lit(" - Online free tool")))
 
 
 def listed_pages(pages: DataFrame, filename: str = "filename") -> DataFrame:

@@ -10,6 +10,7 @@ for _name in (
     "quota_queries",
     "billing_queries",
     "site_queries",
+    "profile_queries",
 ):
     import_module(f"quillmeter.plans.{_name}")
 
