@@ -11,6 +11,7 @@ for _name in (
     "billing_queries",
     "site_queries",
     "profile_queries",
+    "layout_queries",
 ):
     import_module(f"quillmeter.plans.{_name}")
 
