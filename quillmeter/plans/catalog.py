@@ -12,6 +12,8 @@ for _name in (
     "site_queries",
     "profile_queries",
     "layout_queries",
+    "cell_queries",
+    "qa_queries",
 ):
     import_module(f"quillmeter.plans.{_name}")
 
