@@ -31,29 +31,41 @@ def running_balance(
     return running_total(ledger, [user], [ts, tie], {out: F.col(change)}, time_chunk(ts, chunk_seconds))
 
 
-class _Account:
-    __slots__ = ("credits", "expires", "last_used")
-
-    def __init__(self) -> None:
-        self.credits, self.expires, self.last_used = 0, None, None
-
-    def apply(self, kind: str, amount: int, now: int, keep: int) -> tuple[bool, int, int]:
-        """One event: expire if due, then grant or deduct. Returns accepted, balance, expired credits."""
-        gone = 0
-        if self.expires is not None and self.credits > 0:
-            due = self.last_used + keep if self.last_used is not None else self.expires
-            if due < now:
-                gone, self.credits = self.credits, 0
+ACCOUNT_STATE = "credits long, expires long, last_used long"
+ACCOUNT_ROWS = "user_id long, event_id long, at_us long, type string, amount long"
+ACCOUNT_OUT = "accepted boolean, balance long, expired_credits long"
+
+
+def account_step(keep: int):
+    """One ledger event against [credits, expires, last_used]: expire if due, then grant or deduct."""
+
+    def step(s: list, row: tuple) -> tuple[bool, int, int]:
+        now, kind, amount, gone = row[2], row[3], row[4], 0
+        if s[1] is not None and s[0] > 0 and (s[2] + keep if s[2] is not None else s[1]) < now:
+            gone, s[0] = s[0], 0
         if kind == "purchase":
-            self.credits += amount
-            if self.expires is None or self.expires < now:
-                self.expires = now + keep
-            return True, self.credits, gone
-        if self.credits < amount:
-            return False, self.credits, gone
-        self.credits -= amount
-        self.last_used, self.expires = now, now + keep
-        return True, self.credits, gone
+            s[0] += amount
+            if s[1] is None or s[1] < now:
+                s[1] = now + keep
+            return True, s[0], gone
+        if s[0] < amount:
+            return False, s[0], gone
+        s[0] -= amount
+        s[1], s[2] = now + keep, now
+        return True, s[0], gone
+
+    return step
+
+
+def account_start() -> list:
+    return [0, None, None]
+
+
+def account_rows(ledger: DataFrame, user: str, ts: str, tie: str, kind: str, amount: str) -> DataFrame:
+    return ledger.select(
+        F.col(user).alias("user_id"), F.col(tie).alias("event_id"), micros(ts).alias("at_us"),
+        F.col(kind).alias("type"), F.col(amount).cast("long").alias("amount"),
+    )
 
 
 def conditional_balance(
@@ -65,16 +77,10 @@ def conditional_balance(
     Each decision depends on all earlier ones, so a user's events are read in order; only one small
     account is held per user at a time.
     """
-    keep = expiry_days * DAY_MICROS
-    rows = ledger.select(
-        F.col(user).alias("user_id"), F.col(tie).alias("event_id"), micros(ts).alias("at_us"),
-        F.col(kind).alias("type"), F.col(amount).cast("long").alias("amount"),
-    )
     return ordered_fold(
-        rows, ["user_id"], ["at_us", "event_id"],
-        "user_id long, event_id long, at_us long, type string, amount long, "
-        "accepted boolean, balance long, expired_credits long",
-        _Account, lambda s, r: s.apply(r[3], r[4], r[2], keep), ["accepted", "balance", "expired_credits"],
+        account_rows(ledger, user, ts, tie, kind, amount), ["user_id"], ["at_us", "event_id"],
+        f"{ACCOUNT_ROWS}, {ACCOUNT_OUT}", account_start, account_step(expiry_days * DAY_MICROS),
+        ["accepted", "balance", "expired_credits"],
     )
 
 

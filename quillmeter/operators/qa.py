@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quillmeter.functions.exprs import col, first_rule, labels_where, long_count
+from quillmeter.functions.exprs import col, first_rule, labels_where, let, long_count
 from quillmeter.operators.layout import KEY
 
 FALLBACK_ENGINE = "adobe"
@@ -125,7 +125,11 @@ def label_value_lines(text: str | Column, max_lines: int | None = None) -> Colum
     """Number of lines of the form 'label: value' (optionally among the first lines only)."""
     lines = F.split(col(text), "\n")
     lines = lines if max_lines is None else F.slice(lines, 1, max_lines)
-    return F.size(F.filter(lines, lambda x: x.rlike(r"^[^:]*[^:\s][^:]*:[^:]*[^:\s][^:]*$"))).cast("long")
+
+    def is_pair(line: Column) -> Column:
+        return let(F.split(line, ":"), lambda p: (F.size(p) == 2) & p[0].rlike(r"\S") & F.get(p, F.lit(1)).rlike(r"\S"))
+
+    return F.size(F.filter(lines, is_pair)).cast("long")
 
 
 def key_value_eligibility(docs: DataFrame) -> DataFrame:

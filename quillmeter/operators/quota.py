@@ -59,6 +59,21 @@ def quota_decision(counters: DataFrame, limits: MonthlyLimits = IMAGE_LIMITS) ->
     )
 
 
+def admission_step(limits: MonthlyLimits):
+    """One request (size at position 4) against [count, bytes] used by its device and month."""
+
+    def step(used: list, row: tuple) -> tuple[bool]:
+        ok = (
+            row[4] <= limits.max_file_mb * MB and used[0] + 1 <= limits.count and used[1] + row[4] <= limits.upload_mb * MB
+        )
+        if ok:
+            used[0] += 1
+            used[1] += row[4]
+        return (ok,)
+
+    return step
+
+
 def admission(
     requests: DataFrame, device: str, ts: str, tie: str, size: str, limits: MonthlyLimits = IMAGE_LIMITS,
     chunk_seconds: int = 86400,
@@ -98,17 +113,10 @@ def admission(
         later.select(*keys, *order, "size")
     )
 
-    def step(used: list[int], row: tuple) -> tuple[bool]:
-        ok = used[0] + 1 <= limits.count and used[1] + row[4] <= cap
-        if ok:
-            used[0] += 1
-            used[1] += row[4]
-        return (ok,)
-
     decided = ordered_fold(
         candidates, keys, order,
         "device long, month string, at_us long, request_id long, size long, accepted boolean",
-        lambda: [0, 0], step, ["accepted"],
+        lambda: [0, 0], admission_step(limits), ["accepted"],
     ).where("accepted").select("request_id", F.lit(True).alias("accepted"))
     return rows.drop("at_us").join(decided, "request_id", "left").withColumn(
         "accepted", F.coalesce("accepted", F.lit(False))
@@ -121,13 +129,8 @@ def abuse_key(ip: str, agent: str, fingerprint: str) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16)
 
 
-def free_window(
-    requests: DataFrame, key: str, ts: str, tie: str, max_pdfs: int = FREE_PDFS, hours: int = FREE_WINDOW_HOURS
-) -> DataFrame:
-    """A counter that restarts at the first request 24 h or more after its own start.
-
-    Not a tumbling window: the start depends on the requests themselves.
-    """
+def free_window_step(max_pdfs: int = FREE_PDFS, hours: int = FREE_WINDOW_HOURS):
+    """One request (time at position 2) against [start, used]."""
     span = hours * 3_600_000_000
 
     def step(s: list, row: tuple) -> tuple[bool, int]:
@@ -137,11 +140,26 @@ def free_window(
         s[1] += ok
         return ok, max_pdfs - s[1]
 
-    rows = requests.select(F.col(key).alias("key"), F.col(tie).alias("request_id"), micros(ts).alias("at_us"))
+    return step
+
+
+def free_window_rows(requests: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
+    return requests.select(F.col(key).alias("key"), F.col(tie).alias("request_id"), micros(ts).alias("at_us"))
+
+
+FREE_WINDOW_OUT = "key string, request_id long, at_us long, allowed boolean, remaining long"
+
+
+def free_window(
+    requests: DataFrame, key: str, ts: str, tie: str, max_pdfs: int = FREE_PDFS, hours: int = FREE_WINDOW_HOURS
+) -> DataFrame:
+    """A counter that restarts at the first request 24 h or more after its own start.
+
+    Not a tumbling window: the start depends on the requests themselves.
+    """
     return ordered_fold(
-        rows, ["key"], ["at_us", "request_id"],
-        "key string, request_id long, at_us long, allowed boolean, remaining long",
-        lambda: [None, 0], step, ["allowed", "remaining"],
+        free_window_rows(requests, key, ts, tie), ["key"], ["at_us", "request_id"], FREE_WINDOW_OUT,
+        lambda: [None, 0], free_window_step(max_pdfs, hours), ["allowed", "remaining"],
     )
 
 
@@ -192,12 +210,8 @@ def premium_reason(credits: Column, pages: Column, size: Column, cost_per_page:
     )
 
 
-def lockout(
-    logins: DataFrame, user: str, ts: str, tie: str, success: str, max_failed: int = MAX_FAILED,
-    lock_minutes: int = LOCK_MINUTES,
-) -> DataFrame:
-    """The fifth failure locks for 30 minutes; attempts while locked change nothing; a success
-    resets. After a lock the count stays, so the next failure locks again."""
+def lockout_step(max_failed: int = MAX_FAILED, lock_minutes: int = LOCK_MINUTES):
+    """One attempt (time, success at positions 2, 3) against [failed, locked until]."""
     span = lock_minutes * 60_000_000
 
     def step(s: list, row: tuple) -> tuple[str, int]:
@@ -211,14 +225,27 @@ def lockout(
             s[1] = row[2] + span
         return "failed", s[0]
 
-    rows = logins.select(
-        F.col(user).alias("user_id"), F.col(tie).alias("event_id"), micros(ts).alias("at_us"),
-        F.col(success).alias("success"),
+    return step
+
+
+def lockout_rows(logins: DataFrame, user: str, ts: str, tie: str, success: str) -> DataFrame:
+    return logins.select(
+        F.col(user).alias("user_id"), F.col(tie).alias("event_id"), micros(ts).alias("at_us"), F.col(success).alias("success")
     )
+
+
+LOCKOUT_OUT = "user_id long, event_id long, at_us long, success boolean, outcome string, failed_attempts long"
+
+
+def lockout(
+    logins: DataFrame, user: str, ts: str, tie: str, success: str, max_failed: int = MAX_FAILED,
+    lock_minutes: int = LOCK_MINUTES,
+) -> DataFrame:
+    """The fifth failure locks for 30 minutes; attempts while locked change nothing; a success
+    resets. After a lock the count stays, so the next failure locks again."""
     return ordered_fold(
-        rows, ["user_id"], ["at_us", "event_id"],
-        "user_id long, event_id long, at_us long, success boolean, outcome string, failed_attempts long",
-        lambda: [0, None], step, ["outcome", "failed_attempts"],
+        lockout_rows(logins, user, ts, tie, success), ["user_id"], ["at_us", "event_id"], LOCKOUT_OUT,
+        lambda: [0, None], lockout_step(max_failed, lock_minutes), ["outcome", "failed_attempts"],
     )
 
 

@@ -14,6 +14,7 @@ for _name in (
     "layout_queries",
     "cell_queries",
     "qa_queries",
+    "source_queries",
 ):
     import_module(f"quillmeter.plans.{_name}")
 
