@@ -1,36 +1,59 @@
 """Order-dependent layout steps (survey group J): a running mean or an already made choice decides the next.
 
-Each is a short Python rule over one page, run by ``applyInPandas`` on (doc_id, page). Pages are bounded
-and the words already are hash-partitioned by document, so no exchange is added.
+Each is a short Python rule over the rows of one page, handed over as an Arrow table (``applyInArrow`` on
+(doc_id, page)). Pages are bounded and the words already are hash-partitioned by document, so no exchange
+is added. Rules work on plain lists: a page costs its rows, not a data frame.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
 KEY = ["doc_id", "page"]
-BOX = "doc_id long, page long, word_id long, text string, x0 double, y0 double, x1 double, y1 double, font_size double"
+Page = dict[str, list]
+
+
+def _by_page(df: DataFrame, schema: str, rule: Callable[[Page], list[tuple]]) -> DataFrame:
+    """``rule`` turns the columns of a page into output rows."""
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = rule(table.to_pydict())
+        columns = list(zip(*rows)) if rows else [[] for _ in target.names]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target)], schema=target)
+
+    return df.groupBy(*KEY).applyInArrow(run, schema)
+
 
+def _ordered(page: Page, *order: str) -> list[int]:
+    keys = list(zip(*(page[c] for c in order)))
+    return sorted(range(len(keys)), key=keys.__getitem__)
 
-def _label(words: DataFrame, order: list[str], name: str, rule: Callable[[pd.DataFrame], list[int]]) -> DataFrame:
+
+def _label(words: DataFrame, order: list[str], name: str, rule: Callable[[Page], list[int]]) -> DataFrame:
     """Add an integer label to the words of each page, taken in ``order``."""
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.schema.fields)
+    schema = StructType([*words.schema.fields, StructField(name, LongType())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        return pdf.assign(**{name: rule(pdf)})
+    def run(table: pa.Table) -> pa.Table:
+        page = table.to_pydict()
+        table = table.take(pa.array(_ordered(page, *order)))
+        labels = rule(table.to_pydict())
+        return table.append_column(pa.field(name, pa.int64()), pa.array(labels, pa.int64()))
 
-    return words.groupBy(*KEY).applyInPandas(run, f"{fields}, {name} long")
+    return words.groupBy(*KEY).applyInArrow(run, schema)
 
 
 def rows_by_font(words: DataFrame, font_tol: float = 2.0, y_factor: float = 0.5) -> DataFrame:
     """A word joins the current row when its centre and font are close to the running means."""
-    def rule(pdf: pd.DataFrame) -> list[int]:
+    def rule(p: Page) -> list[int]:
         out, row, yc, font = [], -1, 0.0, 0.0
-        for y, f in zip((pdf.y0 + pdf.y1) / 2, pdf.font_size):
+        for a, b, f in zip(p["y0"], p["y1"], p["font_size"]):
+            y = (a + b) / 2
             if row >= 0 and abs(y - yc) <= (f + font) / 2 * y_factor and abs(f - font) <= font_tol:
                 yc, font = (yc + y) / 2, (font + f) / 2
             else:
@@ -44,10 +67,10 @@ def rows_by_font(words: DataFrame, font_tol: float = 2.0, y_factor: float = 0.5)
 def rows_dynamic(words: DataFrame, reach: float = 50.0) -> DataFrame:
     """Tolerance from both line heights, similar fonts, x within reach of the row; the row's y is the
     font-weighted mean of its words."""
-    def rule(pdf: pd.DataFrame) -> list[int]:
+    def rule(p: Page) -> list[int]:
         out, row = [], -1
         y_sum = weight = first_font = lo = hi = 0.0
-        for y, f, a, b in zip(pdf.y0, pdf.font_size, pdf.x0, pdf.x1):
+        for y, f, a, b in zip(p["y0"], p["font_size"], p["x0"], p["x1"]):
             tol = min(max((f + first_font) * 0.6 * 0.25, 2.0), 10.0)
             joins = (
                 row >= 0 and y - y_sum / weight <= tol
@@ -65,10 +88,10 @@ def rows_dynamic(words: DataFrame, reach: float = 50.0) -> DataFrame:
 
 def rows_by_overlap(words: DataFrame, threshold: float = 0.7) -> DataFrame:
     """First open row whose extent overlaps the word's by ``threshold`` (intersection over union)."""
-    def rule(pdf: pd.DataFrame) -> list[int]:
+    def rule(p: Page) -> list[int]:
         spans: list[list[float]] = []
         out = []
-        for a, b in zip(pdf.y0, pdf.y1):
+        for a, b in zip(p["y0"], p["y1"]):
             for i, s in enumerate(spans):
                 inter = min(b, s[1]) - max(a, s[0])
                 if inter > 0 and inter / (max(b, s[1]) - min(a, s[0])) >= threshold:
@@ -86,10 +109,12 @@ def rows_by_overlap(words: DataFrame, threshold: float = 0.7) -> DataFrame:
 def leader_columns(rows: DataFrame, tol: float, min_rows: int = 1) -> DataFrame:
     """Distinct centres, left to right, join the first cluster whose mean is within ``tol``; clusters
     near words of at least ``min_rows`` rows are columns. Input words carry ``row``."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        centre = (pdf.x0 + pdf.x1) / 2
+    def rule(p: Page) -> list[tuple]:
+        seen: dict[float, set] = {}
+        for a, b, r in zip(p["x0"], p["x1"], p["row"]):
+            seen.setdefault((a + b) / 2, set()).add(r)
         sums: list[list[float]] = []
-        for x in sorted(set(centre)):
+        for x in sorted(seen):
             for s in sums:
                 if abs(x - s[0] / s[1]) <= tol:
                     s[0] += x
@@ -100,24 +125,20 @@ def leader_columns(rows: DataFrame, tol: float, min_rows: int = 1) -> DataFrame:
         found = []
         for total, n in sums:
             mean = total / n
-            support = pdf.row[(centre - mean).abs() <= tol].nunique()
+            support = len(set().union(*(rs for x, rs in seen.items() if abs(x - mean) <= tol)))
             if support >= min_rows:
-                found.append((mean, int(support)))
-        found.sort()
-        out = pd.DataFrame(found, columns=["x", "row_support"])
-        return out.assign(doc_id=pdf.doc_id.iloc[0], page=pdf.page.iloc[0], col=range(len(found)))[
-            ["doc_id", "page", "col", "x", "row_support"]
-        ]
-
-    return rows.select(*KEY, "row", "x0", "x1").groupBy(*KEY).applyInPandas(
-        run, "doc_id long, page long, col long, x double, row_support long"
+                found.append((mean, support))
+        return [(p["doc_id"][0], p["page"][0], i, x, n) for i, (x, n) in enumerate(sorted(found))]
+
+    return _by_page(
+        rows.select(*KEY, "row", "x0", "x1"), "doc_id long, page long, col long, x double, row_support long", rule
     )
 
 
 def column_count(words: DataFrame, tol: float = 0.02) -> DataFrame:
     """Clusters around a running mean with two words or more; one when there are too few words."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        xs = sorted((pdf.x0 + pdf.x1) / 2)
+    def rule(p: Page) -> list[tuple]:
+        xs = sorted((a + b) / 2 for a, b in zip(p["x0"], p["x1"]))
         count, total, n = 0, xs[0], 1
         for x in xs[1:]:
             if abs(x - total / n) <= tol:
@@ -125,15 +146,16 @@ def column_count(words: DataFrame, tol: float = 0.02) -> DataFrame:
             else:
                 count, total, n = count + (n >= 2), x, 1
         count += n >= 2
-        return pd.DataFrame(
-            {"doc_id": [pdf.doc_id.iloc[0]], "page": [pdf.page.iloc[0]], "columns": [1 if len(xs) < 3 else count]}
-        )
+        return [(p["doc_id"][0], p["page"][0], 1 if len(xs) < 3 else count)]
+
+    return _by_page(words.select(*KEY, "x0", "x1"), "doc_id long, page long, columns long", rule)
 
-    return words.select(*KEY, "x0", "x1").groupBy(*KEY).applyInPandas(run, "doc_id long, page long, columns long")
+
+SEPARATORS = {ord(c): None for c in " -/."}
 
 
 def _digit_share(text: str) -> float:
-    bare = text.translate({ord(c): None for c in " -/."})
+    bare = text.translate(SEPARATORS)
     return sum(c.isdigit() for c in bare) / len(bare) if bare else 0.0
 
 
@@ -149,56 +171,61 @@ def _script(text: str) -> str:
 def logical_cells(words: DataFrame, overlap: float = 0.7, height_factor: float = 1.5, numeric: float = 0.6) -> DataFrame:
     """Grow each cell downwards over words that overlap one of its words in x by 70 %, lie within
     1.5 line heights, and share the script (or both are numbers). Every word is in exactly one cell."""
-    def rule(pdf: pd.DataFrame) -> list[int]:
-        x0, x1, y0, y1 = (pdf[c].to_list() for c in ("x0", "x1", "y0", "y1"))
-        limit = float((pdf.y1 - pdf.y0).mean()) * height_factor
+    def rule(p: Page) -> list[int]:
+        x0, x1, y0, y1 = p["x0"], p["x1"], p["y0"], p["y1"]
+        limit = (sum(y1) - sum(y0)) / len(y0) * height_factor
         yc = [(a + b) / 2 for a, b in zip(y0, y1)]
-        num = [_digit_share(t) >= numeric for t in pdf.text]
-        script = [_script(t.strip()) for t in pdf.text]
+        num = [_digit_share(t) >= numeric for t in p["text"]]
+        script = [_script(t) for t in p["text"]]
         owner = [-1] * len(x0)
         cells = 0
-
-        def fits(i: int, j: int) -> bool:
-            common = min(x1[i], x1[j]) - max(x0[i], x0[j])
-            return (
-                common > 0 and common / min(x1[i] - x0[i], x1[j] - x0[j]) >= overlap
-                and abs(yc[i] - yc[j]) <= limit and ((num[i] and num[j]) or script[i] == script[j])
-            )
-
         for i in range(len(x0)):
             if owner[i] >= 0:
                 continue
-            members, lowest = [i], yc[i]
+            members, lowest, left, right = [i], yc[i], x0[i], x1[i]
             owner[i] = cells
             for j in range(i + 1, len(x0)):
                 if y0[j] - lowest > limit:
                     break
-                if owner[j] < 0 and any(fits(m, j) for m in members):
-                    members.append(j)
-                    owner[j] = cells
-                    lowest = max(lowest, yc[j])
+                if owner[j] >= 0 or x0[j] >= right or x1[j] <= left:
+                    continue
+                for m in members:
+                    common = min(x1[m], x1[j]) - max(x0[m], x0[j])
+                    if (
+                        common > 0 and common / min(x1[m] - x0[m], x1[j] - x0[j]) >= overlap and abs(yc[m] - yc[j]) <= limit
+                        and ((num[m] and num[j]) or script[m] == script[j])
+                    ):
+                        members.append(j)
+                        owner[j] = cells
+                        lowest, left, right = max(lowest, yc[j]), min(left, x0[j]), max(right, x1[j])
+                        break
             cells += 1
         return owner
 
     return _label(words, ["y0", "x0", "word_id"], "cell", rule)
 
 
-def _merge_runs(words: DataFrame, joins: Callable[[dict, dict], bool]) -> DataFrame:
-    """Join each word to the block before it (by y, then x) while ``joins`` holds; boxes and texts grow."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[dict] = []
-        for w in pdf.sort_values(["y0", "x0", "word_id"], kind="stable").to_dict("records"):
+BLOCK = ["doc_id", "page", "word_id", "text", "x0", "y0", "x1", "y1", "font_size"]
+BOX = "doc_id long, page long, word_id long, text string, x0 double, y0 double, x1 double, y1 double, font_size double"
+
+
+def _merge_runs(words: DataFrame, joins: Callable[[list, tuple], bool]) -> DataFrame:
+    """Join each word to the block before it (by y, then x) while ``joins`` holds; boxes and texts grow.
+    Blocks are lists in the order of ``BLOCK``."""
+    def rule(p: Page) -> list[tuple]:
+        rows = list(zip(*(p[c] for c in BLOCK)))
+        out: list[list] = []
+        for i in _ordered(p, "y0", "x0", "word_id"):
+            w = rows[i]
             if out and joins(out[-1], w):
                 b = out[-1]
-                b["text"] = f"{b['text']} {w['text']}".strip()
-                b["x0"], b["y0"] = min(b["x0"], w["x0"]), min(b["y0"], w["y0"])
-                b["x1"], b["y1"] = max(b["x1"], w["x1"]), max(b["y1"], w["y1"])
+                b[3] = f"{b[3]} {w[3]}".strip()
+                b[4], b[5], b[6], b[7] = min(b[4], w[4]), min(b[5], w[5]), max(b[6], w[6]), max(b[7], w[7])
             else:
-                out.append(w)
-        return pd.DataFrame(out)
+                out.append(list(w))
+        return out
 
-    cols = ["doc_id", "page", "word_id", "text", "x0", "y0", "x1", "y1", "font_size"]
-    return words.select(*cols).groupBy(*KEY).applyInPandas(run, BOX)
+    return _by_page(words.select(*BLOCK), BOX, rule)
 
 
 def _spaced_id(text: str) -> bool:
@@ -207,79 +234,78 @@ def _spaced_id(text: str) -> bool:
 
 def merge_numeric_pieces(words: DataFrame, gap: float = 0.05) -> DataFrame:
     """Neighbours on a row closer than ``gap`` join when one of them is a long spaced number."""
-    def joins(a: dict, b: dict) -> bool:
-        dy = abs((a["y0"] + a["y1"]) - (b["y0"] + b["y1"])) / 2
-        return (
-            dy <= (a["y1"] - a["y0"]) * 0.5 and b["x0"] - a["x1"] <= gap
-            and (_spaced_id(a["text"]) or _spaced_id(b["text"]))
-        )
+    def joins(a: list, b: tuple) -> bool:
+        dy = abs((a[5] + a[7]) - (b[5] + b[7])) / 2
+        return dy <= (a[7] - a[5]) * 0.5 and b[4] - a[6] <= gap and (_spaced_id(a[3]) or _spaced_id(b[3]))
 
     return _merge_runs(words, joins)
 
 
 def merge_vertical(words: DataFrame, factor: float = 0.8) -> DataFrame:
     """A word at most 0.8 heights under the block and centred within half its width joins it."""
-    def joins(a: dict, b: dict) -> bool:
-        dx = abs((a["x0"] + a["x1"]) - (b["x0"] + b["x1"])) / 2
-        return b["y0"] - a["y1"] <= (a["y1"] - a["y0"]) * factor and dx < (a["x1"] - a["x0"]) * 0.5
+    def joins(a: list, b: tuple) -> bool:
+        dx = abs((a[4] + a[6]) - (b[4] + b[6])) / 2
+        return b[5] - a[7] <= (a[7] - a[5]) * factor and dx < (a[6] - a[4]) * 0.5
 
     return _merge_runs(words, joins)
 
 
-CELL = "doc_id long, page long, row long, col long, value string, y0 double, y1 double"
-
-
 def merge_multiline(cells: DataFrame, gap: float = 5.0) -> DataFrame:
     """Cells of a column joined down the page while the gap to the running extent is at most ``gap``.
     cells(doc_id, page, row, col, value, y0, y1)."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[dict] = []
-        for c in pdf.sort_values(["col", "row"], kind="stable").to_dict("records"):
-            if out and out[-1]["col"] == c["col"] and abs(c["y0"] - out[-1]["y1"]) <= gap:
-                p = out[-1]
-                p["value"] += " " + c["value"]
-                p["y0"], p["y1"] = min(p["y0"], c["y0"]), max(p["y1"], c["y1"])
+    cols = ["doc_id", "page", "row", "col", "value", "y0", "y1"]
+
+    def rule(p: Page) -> list[tuple]:
+        rows = list(zip(*(p[c] for c in cols)))
+        out: list[list] = []
+        for i in _ordered(p, "col", "row"):
+            c = rows[i]
+            if out and out[-1][3] == c[3] and abs(c[5] - out[-1][6]) <= gap:
+                b = out[-1]
+                b[4], b[5], b[6] = f"{b[4]} {c[4]}", min(b[5], c[5]), max(b[6], c[6])
             else:
-                out.append(c)
-        return pd.DataFrame(out)
+                out.append(list(c))
+        return out
 
-    cols = ["doc_id", "page", "row", "col", "value", "y0", "y1"]
-    return cells.select(*cols).groupBy(*KEY).applyInPandas(run, CELL)
+    return _by_page(cells.select(*cols), "doc_id long, page long, row long, col long, value string, y0 double, y1 double", rule)
 
 
 def join_continued_lines(cells: DataFrame, longest: int = 80) -> DataFrame:
     """Going down, a cell swallows the one below unless it is a header (bold or row 0), ends a sentence,
     both are numbers, or it is long; rows left empty vanish. cells(doc_id, page, row, col, value, bold)."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = {(r, c): [v, b] for r, c, v, b in zip(pdf.row, pdf.col, pdf.value, pdf.bold)}
-        for r, c in sorted(grid):
+    def rule(p: Page) -> list[tuple]:
+        grid = {(r, c): [v, b] for r, c, v, b in zip(p["row"], p["col"], p["value"], p["bold"])}
+        places = sorted(grid)
+        for r, c in places:
             below = grid.get((r + 1, c))
             text, bold = grid[(r, c)]
             if below is None or not text or not below[0] or bold or r == 0:
                 continue
             bare = text.strip()
-            if bare[-1:] in ".!?।" or (bare.isdecimal() and below[0].strip().isdecimal()) or len(text) >= longest:
+            if bare[-1:] in (".", "!", "?", "।") or (bare.isdecimal() and below[0].strip().isdecimal()) or len(text) >= longest:
                 continue
             grid[(r, c)][0], below[0] = f"{text} {below[0]}", ""
-        kept = [(r, c, v) for (r, c), (v, _) in sorted(grid.items()) if v.strip()]
-        out = pd.DataFrame(kept, columns=["row", "col", "value"])
-        return out.assign(doc_id=pdf.doc_id.iloc[0], page=pdf.page.iloc[0])[["doc_id", "page", "row", "col", "value"]]
+        return [(p["doc_id"][0], p["page"][0], r, c, grid[(r, c)][0]) for r, c in places if grid[(r, c)][0].strip()]
 
-    return cells.select(*KEY, "row", "col", "value", "bold").groupBy(*KEY).applyInPandas(
-        run, "doc_id long, page long, row long, col long, value string"
+    return _by_page(
+        cells.select(*KEY, "row", "col", "value", "bold"), "doc_id long, page long, row long, col long, value string", rule
     )
 
 
 def fill_boxes(cells: DataFrame) -> DataFrame:
     """Row by row, a cell without a box takes one beside its left neighbour, else under the one above,
     else diagonal, with average size. cells(doc_id, page, row, col, x0, y0, x1, y1), boxes null when missing."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        known = pdf.dropna(subset=["x0"])
-        boxes = {(r, c): (a, b, d, e) for r, c, a, b, d, e in zip(known.row, known.col, known.x0, known.y0, known.x1, known.y1)}
+    def rule(p: Page) -> list[tuple]:
+        given = {
+            (r, c): (a, b, d, e)
+            for r, c, a, b, d, e in zip(p["row"], p["col"], p["x0"], p["y0"], p["x1"], p["y1"]) if a is not None
+        }
+        boxes = dict(given)
         if boxes:
-            w, h = float((known.x1 - known.x0).mean()), float((known.y1 - known.y0).mean())
-            for r in range(int(pdf.row.max()) + 1):
-                for c in range(int(pdf.col.max()) + 1):
+            w = sum(b[2] - b[0] for b in given.values()) / len(given)
+            h = sum(b[3] - b[1] for b in given.values()) / len(given)
+            for r in range(max(p["row"]) + 1):
+                for c in range(max(p["col"]) + 1):
                     if (r, c) in boxes:
                         continue
                     left, up, diag = boxes.get((r, c - 1)), boxes.get((r - 1, c)), boxes.get((r - 1, c - 1))
@@ -289,10 +315,9 @@ def fill_boxes(cells: DataFrame) -> DataFrame:
                         boxes[(r, c)] = (up[0], up[3], up[2], up[3] + h)
                     elif diag:
                         boxes[(r, c)] = (diag[2], diag[3], diag[2] + w, diag[3] + h)
-        given = set(zip(known.row, known.col))
-        rows = [(pdf.doc_id.iloc[0], pdf.page.iloc[0], r, c, *b, (r, c) not in given) for (r, c), b in sorted(boxes.items())]
-        return pd.DataFrame(rows, columns=["doc_id", "page", "row", "col", "x0", "y0", "x1", "y1", "inferred"])
+        return [(p["doc_id"][0], p["page"][0], r, c, *b, (r, c) not in given) for (r, c), b in sorted(boxes.items())]
 
-    return cells.select(*KEY, "row", "col", "x0", "y0", "x1", "y1").groupBy(*KEY).applyInPandas(
-        run, "doc_id long, page long, row long, col long, x0 double, y0 double, x1 double, y1 double, inferred boolean"
+    return _by_page(
+        cells.select(*KEY, "row", "col", "x0", "y0", "x1", "y1"),
+        "doc_id long, page long, row long, col long, x0 double, y0 double, x1 double, y1 double, inferred boolean", rule,
     )

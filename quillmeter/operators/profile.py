@@ -16,8 +16,9 @@ from quillmeter.functions.exprs import any_contains, col, count_contains, first_
 DEVANAGARI = r"[\x{0900}-\x{097F}]"
 
 
-def matches(text: str | Column, pattern: str) -> Column:
-    return F.regexp_count(col(text), F.lit(pattern))
+def matches(text: str | Column, char_class: str) -> Column:
+    """Characters of a class: what is missing after its runs are removed (one match per run)."""
+    return F.length(col(text)) - F.length(F.regexp_replace(col(text), f"{char_class}+", ""))
 
 
 def ink_length(text: str | Column) -> Column:
