@@ -186,9 +186,10 @@ def route_measured(t: Tables) -> DataFrame:
     return L.route(L.key_value_eligibility(docs)).select("doc_id", "columns", "doc_type", "mode", F.round("route_confidence", 9).alias("route_confidence"))
 
 
-@query("l10_mean_word_confidence", f"SELECT doc_id, round(avg(confidence) FILTER (WHERE confidence > 0), 9) AS mean_confidence FROM {WORDS} GROUP BY doc_id")
+@query("l10_mean_word_confidence", f"SELECT doc_id, avg(CAST(round(confidence * 100) AS BIGINT)) FILTER (WHERE confidence > 0) AS mean_confidence FROM {WORDS} GROUP BY doc_id")
 def mean_word_confidence(t: Tables) -> DataFrame:
-    return L.mean_word_confidence(words(t)).withColumn("mean_confidence", F.round("mean_confidence", 9))
+    """In whole per cent, so that the mean is one exact division and does not depend on the order of addition."""
+    return L.mean_word_confidence(words(t).withColumn("confidence", F.round(F.col("confidence") * 100).cast("long")))
 
 
 @query("l11_run_summary", f"SELECT qa_status AS status, count(*) AS runs FROM {STATUS} GROUP BY qa_status")
