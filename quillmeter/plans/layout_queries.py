@@ -82,7 +82,17 @@ def rows_by_font(t: Tables) -> DataFrame:
     return P.rows_by_font(words(t)).select(*J.KEY, "word_id", "row")
 
 
-@query("j5_rows_dynamic")
+JOINS_5 = """(w.y - s.ys / s.wt <= least(greatest((w.f + s.ff) * 0.6::DOUBLE * 0.25::DOUBLE, 2.0), 10.0)
+  AND abs(s.ff - w.f) / greatest(s.ff, w.f) < 0.25 AND s.lo - 50 <= w.a AND w.a <= s.hi + 50)"""
+
+
+@query("j5_rows_dynamic", f"""
+WITH RECURSIVE w AS (SELECT {KEY}, word_id, y0 AS y, font_size AS f, x0 AS a, x1 AS b, row_number() OVER (PARTITION BY {KEY} ORDER BY y0, word_id) AS rn FROM {WORDS}),
+st AS (SELECT {KEY}, rn, word_id, 0::BIGINT AS row, y * f AS ys, f AS wt, f AS ff, a AS lo, b AS hi FROM w WHERE rn = 1
+  UNION ALL SELECT doc_id, page, rn, word_id, CASE WHEN j THEN row ELSE row + 1 END, CASE WHEN j THEN ys + y * f ELSE y * f END, CASE WHEN j THEN wt + f ELSE f END,
+    CASE WHEN j THEN ff ELSE f END, CASE WHEN j THEN least(lo, a) ELSE a END, CASE WHEN j THEN greatest(hi, b) ELSE b END
+  FROM (SELECT w.*, s.row, s.ys, s.wt, s.ff, s.lo, s.hi, {JOINS_5} AS j FROM st s JOIN w ON w.doc_id = s.doc_id AND w.page = s.page AND w.rn = s.rn + 1))
+SELECT {KEY}, word_id, row FROM st""")
 def rows_dynamic(t: Tables) -> DataFrame:
     return P.rows_dynamic(words(t)).select(*J.KEY, "word_id", "row")
 
