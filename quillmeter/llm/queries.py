@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmeter.llm import bpe, packing, pii, toxicity
+from quillmeter.llm import bpe, licenses, packing, pii, quality, simhash, toxicity
 from quillmeter.session import read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,14 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("matches")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(read_table(spark, sf_dir, "documents")).drop("pattern")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -46,13 +54,20 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, QueryFn] = {
     f.__name__: f
     for f in (
         op1_toxicity,
         op5_pii,
+        op6_licenses,
+        op7_quality,
         op8_bpe,
         op9_packing,
+        op10_simhash,
     )
 }
 
