@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmeter.llm import bpe, licenses, packing, pii, quality, simhash, toxicity
+from quillmeter.llm import bpe, cws, licenses, packing, pii, quality, simhash, toxicity
 from quillmeter.session import read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cws.compare_with_edit(read_table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(read_table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, QueryFn] = {
     f.__name__: f
     for f in (
         op1_toxicity,
+        op4_fingerprints,
         op5_pii,
         op6_licenses,
         op7_quality,
