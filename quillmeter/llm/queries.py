@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmeter.llm import bpe, cws, licenses, packing, pii, quality, simhash, toxicity
+from quillmeter.llm import bpe, cws, licenses, packing, pii, quality, simhash, toxicity, warc
 from quillmeter.session import read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(read_table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cws.compare_with_edit(read_table(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, QueryFn] = {
     f.__name__: f
     for f in (
         op1_toxicity,
+        op2_warc,
         op4_fingerprints,
         op5_pii,
         op6_licenses,
@@ -76,4 +82,14 @@ QUERIES: dict[str, QueryFn] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS digest FROM p),
+        g AS (SELECT digest, max(page_id) AS target FROM d WHERE n >= 1000 GROUP BY digest)
+        SELECT d.page_id, d.n AS payload_bytes, d.digest AS payload_digest,
+               CASE WHEN d.page_id <> g.target THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN d.page_id <> g.target THEN g.target END AS refers_to
+        FROM d LEFT JOIN g ON d.digest = g.digest AND d.n >= 1000
+    """,
+}
