@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmeter.llm import bpe, cws, licenses, packing, pii, quality, simhash, toxicity, warc
+from quillmeter.llm import bpe, brown, cws, licenses, packing, pii, quality, simhash, toxicity, warc
 from quillmeter.session import read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cws.compare_with_edit(read_table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, QueryFn] = {
     for f in (
         op1_toxicity,
         op2_warc,
+        op3_brown,
         op4_fingerprints,
         op5_pii,
         op6_licenses,
