@@ -9,6 +9,7 @@ joined pieces across their border before both were complete.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -26,7 +27,7 @@ NEVER = 1 << 60
 #: Characters that str.split() takes for white space and Unicode does not.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
 BLANKS = re.compile("[\t-\r \x85\xa0  -     　]+")
-#: Stretches remembered in a task, in two generations.
+#: Stretches remembered by a Python worker.
 CACHE = 600_000
 
 
@@ -66,11 +67,14 @@ class WordPieces:
             self.merge.setdefault((x, y), rank)
             if made not in self.rank:
                 self.rank[made], self.left[made], self.right[made] = rank, x, y
+        self.single: dict[str, int] = {}
         self.matches = ahocorasick.Automaton()
         for token, i in ids.items():
             form = symbol(token)
-            if i in self.rank or len(form) == 1:
+            if i in self.rank:
                 self.matches.add_word(form, (i, len(form)))
+            elif len(form) == 1:
+                self.single[form] = i
         self.matches.make_automaton()
         self.known: dict[tuple[int, int], bool] = {}
 
@@ -95,7 +99,7 @@ class WordPieces:
                 until_a, x = rx, self.right[x]
             else:
                 until_b, y = ry, self.left[y]
-        if len(self.known) > 2_000_000:
+        if len(self.known) > 500_000:
             self.known.clear()
         self.known[a, b] = good
         return good
@@ -104,21 +108,25 @@ class WordPieces:
         """Ids of one word, given as letters of bytes; its last letter carries the word end."""
         form = word[:-1] + chr(ord(word[-1]) + 0x10000)
         n = len(form)
-        last, size = [-1] * (n + 1), [0] * (n + 1)
-        known, compatible = self.known, self.compatible
+        last, size = [-1] * (n + 1), [1] * (n + 1)
+        known, compatible, single = self.known, self.compatible, self.single
+        done = 0  # prefixes up to here have their last token; a lone symbol where no longer token fits
         for at, (token, length) in self.matches.iter(form):
-            end = at + 1
-            if last[end] >= 0:
+            while done < at:
+                done += 1
+                if last[done] < 0:
+                    last[done] = single[form[done - 1]]
+            if last[at + 1] >= 0:
                 continue
-            start = end - length
-            if start:
+            if start := at + 1 - length:
                 before = last[start]
-                if before < 0:
-                    continue
                 good = known.get((before, token))
                 if not (compatible(before, token) if good is None else good):
                     continue
-            last[end], size[end] = token, length
+            last[at + 1], size[at + 1] = token, length
+        for end in range(done + 1, n + 1):
+            if last[end] < 0:
+                last[end] = single[form[end - 1]]
         out, at = [], n
         while at:
             out.append(last[at])
@@ -149,35 +157,53 @@ class WordPieces:
         return out
 
 
-class Recent:
-    """Results of a function by key; the younger half survives when the memory is full."""
+class Memory(dict):
+    """Results of a function by key; when full, further keys are computed each time they come.
+
+    The frequent stretches of a corpus come early, so a full memory still answers almost all of them.
+    """
 
     def __init__(self, compute: Callable, size: int = CACHE) -> None:
-        self.compute, self.half = compute, size // 2
-        self.young: dict = {}
-        self.old: dict = {}
-
-    def __call__(self, key: str):
-        got = self.young.get(key)
-        if got is None:
-            got = self.old.pop(key, None)
-            if got is None:
-                got = self.compute(key)
-            if len(self.young) >= self.half:
-                self.old, self.young = self.young, {}
-            self.young[key] = got
+        super().__init__()
+        self.compute, self.size = compute, size
+
+    def __missing__(self, key: str):
+        got = self.compute(key)
+        if len(self) < self.size:
+            self[key] = got
         return got
 
 
+@functools.cache
+def tables(path: str) -> WordPieces:
+    """Kept by a Python worker from task to task."""
+    return WordPieces(path)
+
+
+@functools.cache
+def memory(path: str, form: Callable[[list[int], WordPieces], object]) -> Memory:
+    """Encoded stretches in one form, kept by a Python worker from task to task."""
+    t = tables(path)
+    return Memory(lambda chunk: form(t.encode_chunk(chunk), t))
+
+
 def chunks(text: str) -> list[str]:
     """Stretches between Unicode white space."""
     return [c for c in BLANKS.split(text) if c] if NOT_SPACE.search(text) else text.split()
 
 
+def plain(ids: list[int], _: WordPieces) -> list[int]:
+    return ids
+
+
+def as_texts(ids: list[int], t: WordPieces) -> tuple[int, str, str]:
+    return len(ids), " ".join(map(str, ids)), decode(ids, t.names)
+
+
 def encoder(path: str) -> Callable[[str], list[int]]:
     """The function from a text to its ids. Encoding stretches apart is exact: no token crosses white space."""
-    of = Recent(WordPieces(path).encode_chunk)
-    return lambda text: [i for c in chunks(text) for i in of(c)]
+    seen = memory(path, plain)
+    return lambda text: [i for c in chunks(text) for i in seen[c]]
 
 
 def decode(ids: list[int], names: dict[int, str]) -> str:
@@ -190,7 +216,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
 
     def make() -> Callable[[list[str]], list]:
         run = encoder(path)
-        names = WordPieces(path).names
+        names = tables(path).names
         return lambda texts: [out := [run(t) for t in texts], [decode(i, names) for i in out]]
 
     return with_text_columns(docs, text, make, {"ids": "array<int>", "decoded": "string"}, keep)
@@ -203,16 +229,10 @@ def digest(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id
     """
 
     def make() -> Callable[[list[str]], list]:
-        tables = WordPieces(path)
-
-        def compute(chunk: str) -> tuple[int, str, str]:
-            ids = tables.encode_chunk(chunk)
-            return len(ids), " ".join(map(str, ids)), decode(ids, tables.names)
-
-        of = Recent(compute)
+        seen = memory(path, as_texts)
 
         def one(text: str) -> tuple[int, str, str]:
-            parts = list(map(of, chunks(text)))
+            parts = list(map(seen.__getitem__, chunks(text)))
             ids = " ".join([p[1] for p in parts if p[0]])
             decoded = " ".join([p[2] for p in parts if p[0]])
             return (

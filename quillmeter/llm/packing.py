@@ -10,9 +10,8 @@ padding.
 
 from __future__ import annotations
 
-import sys
+import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +25,8 @@ from quillmeter.llm.common import materialised
 
 #: Most queues; with more sources several share a queue by hash. The list of totals is what tasks receive.
 MAX_QUEUES = 1024
+#: Offsets (a queue in a chunk, three numbers each) up to which they are broadcast; more are joined by a shuffle.
+SMALL_OFFSETS = 200_000
 
 
 class Rounds:
@@ -35,7 +36,8 @@ class Rounds:
         self.totals = np.array(totals, dtype=np.int64)
         self.window, self.all = window, int(sum(totals))
         self.full = self.all // window
-        self.before: dict[int, np.ndarray] = {}
+        self.before: dict[int, list[int]] = {}
+        self.begins: dict[int, list[int]] = {}
         rest, at = self.all - self.full * window, self.full * window
         self.tail: list[tuple[int, int]] = []  # start and length of the sequences behind the full windows
         for bit in range(rest.bit_length() - 1, -1, -1):
@@ -73,14 +75,28 @@ class Rounds:
         """First token and length of sequence ``k``."""
         return (k * self.window, self.window) if k < self.full else self.tail[k - self.full]
 
-    def sent(self, k: int) -> np.ndarray:
+    def sent(self, k: int) -> list[int]:
         """Tokens of each queue sent before sequence ``k``."""
-        if k not in self.before:
+        got = self.before.get(k)
+        if got is None:
             if len(self.before) > 16_384:
                 self.before.clear()
             n = self.full + len(self.tail)
-            self.before[k] = self.sent_at(self.all if k >= n else self.bounds(k)[0])
-        return self.before[k]
+            got = self.before[k] = self.sent_at(self.all if k >= n else self.bounds(k)[0]).tolist()
+        return got
+
+    def ahead(self, k: int) -> list[int]:
+        """Where each queue's tokens begin in sequence ``k``, less the tokens it sent before."""
+        got = self.begins.get(k)
+        if got is None:
+            if len(self.begins) > 16_384:
+                self.begins.clear()
+            got, at = [], 0
+            for a, b in zip(self.sent(k), self.sent(k + 1), strict=True):
+                got.append(at - a)
+                at += b - a
+            self.begins[k] = got
+        return got
 
     def sequence_of(self, queue: int, token: int) -> int:
         """The sequence that holds a token of a queue."""
@@ -96,15 +112,17 @@ class Rounds:
         at, end = first, first + length
         k = self.sequence_of(queue, at)
         while at < end:
-            a, b = self.sent(k), self.sent(k + 1)
-            upto = min(end, int(b[queue]))
+            upto = min(end, self.sent(k + 1)[queue])
             if upto > at:
-                ahead = int((b[:queue] - a[:queue]).sum())
-                yield at - first, upto - at, k, ahead + at - int(a[queue])
+                yield at - first, upto - at, k, at + self.ahead(k)[queue]
                 at = upto
             k += 1
 
 
+def as_bytes(ids: list[int], _: bpe.WordPieces | None) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def tokens(docs: DataFrame, path: str, end_id: int, doc_id: str, text: str, source: str) -> DataFrame:
     """(doc_id, queue, chunk, ahead, n, ids): ids as little-endian 32-bit numbers, ``end_id`` last.
 
@@ -113,8 +131,8 @@ def tokens(docs: DataFrame, path: str, end_id: int, doc_id: str, text: str, sour
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = bpe.Recent(lambda c, e=bpe.WordPieces(path).encode_chunk: array("I", e(c)).tobytes())
-        tail = array("I", [end_id]).tobytes()
+        of = bpe.memory(path, as_bytes).__getitem__
+        tail = as_bytes([end_id], None)
         chunk = TaskContext.get().partitionId()
         ahead: dict[str | None, int] = {}
         for batch in batches:
@@ -122,10 +140,6 @@ def tokens(docs: DataFrame, path: str, end_id: int, doc_id: str, text: str, sour
             queues = batch.column(1).to_pylist()
             for queue, t in zip(queues, batch.column(2).to_pylist(), strict=True):
                 data = b"".join([*map(of, bpe.chunks(t or "")), tail])
-                if sys.byteorder != "little":
-                    words = array("I", data)
-                    words.byteswap()
-                    data = words.tobytes()
                 ids.append(data)
                 n.append(len(data) // 4)
                 before.append(ahead.get(queue, 0))
@@ -173,6 +187,8 @@ def pack(
     totals = [queues[q] for q in names]
     earlier = F.sum("n").over(_by_chunk()) - F.col("n")
     offsets = sums.select(F.col("queue").alias("__q"), F.col("chunk").alias("__c"), earlier.alias("__base"))
+    if sums.count() <= SMALL_OFFSETS:
+        offsets = F.broadcast(offsets)
     placed = rows.join(offsets, (F.col("queue") == F.col("__q")) & (F.col("chunk") == F.col("__c"))).select(
         "doc_id", "queue", (F.col("__base") + F.col("ahead")).alias("first"), "n", "ids"
     )
@@ -180,13 +196,13 @@ def pack(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rounds = Rounds(totals, window)
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for d, q, first, n, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for start, length, k, offset in rounds.pieces(position[q], first, n):
-                    crc = zlib.crc32(ids[4 * start : 4 * (start + length)])
-                    for column, v in zip(out, (d, start, length, crc, n, k, offset), strict=True):
-                        column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=COLUMNS)
+            out = [
+                (d, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, k, offset)
+                for d, q, first, n, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True)
+                for start, length, k, offset in rounds.pieces(position[q], first, n)
+            ]
+            columns = zip(*out, strict=True) if out else [()] * len(COLUMNS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=COLUMNS)
 
     return placed.mapInArrow(cut, ", ".join(f"{c} long" for c in COLUMNS)) if names else spark.createDataFrame([], ", ".join(f"{c} long" for c in COLUMNS))
 
