@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmeter.llm import packing, pii, toxicity
+from quillmeter.llm import packing, pii, quality, simhash, toxicity
 from quillmeter.llm.common import materialised
 from quillmeter.llm.queries import tokenizer_path
 from quillmeter.session import read_table
@@ -26,6 +26,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("score < 0.3").select("doc.*")
 
 
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that fail the base rules or are more likely bad than good by the votes of all rules.
+
+    Null and empty texts fail.
+    """
+    facts = quality.describe(docs.select(F.struct(*docs.columns).alias("doc"), "text"), keep=["doc"])
+    model = quality.label_model(quality.describe(docs.select("text"), keep=[]))
+    return quality.judge(facts, model).where("kept").select("doc.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: five-word shingles, similarity of 0.8 or more."""
+    return simhash.keep_one_of_each_group(docs)
+
+
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every span by its kind in brackets; ``n_chars`` follows the new text, null texts stay null."""
     found = pii.scan(docs.select(F.struct(*docs.columns).alias("doc"), "text"), keep=["doc"])
@@ -41,6 +56,8 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES: list[tuple[str, Stage]] = [
     ("toxicity", drop_toxic),
+    ("quality", drop_low_quality),
+    ("near_duplicates", drop_near_duplicates),
     ("personal_data", mask_personal_data),
     ("packing", pack_windows),
 ]

@@ -303,3 +303,85 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = materialised(fingerprints(docs, shingle, text, [doc_id]), "simhash-fingerprints")
     out = cluster(rows, doc_id, differing)
     return out.select(doc_id, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- whole corpora ---------------------------------------------------------------------------------------------------
+
+
+def sample_prints(text: str, views: int, size: int, shingle: int) -> list[int]:
+    """Fingerprints of ``views`` min-wise samples: in each view the ``size`` shingles with the least mixed hash."""
+    hashes = np.unique(shingle_hashes(text, shingle))
+    if not len(hashes):
+        return [0] * views
+    out = []
+    for v in range(views):
+        mixed = (hashes ^ np.uint64(v * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(31)
+        mixed *= np.uint64(0x94D049BB133111EB)
+        least = np.sort(mixed ^ (mixed >> np.uint64(29)))[:size]
+        out.append(xxhash.xxh64_intdigest(least.tobytes(), v) - 2**63)
+    return out
+
+
+def similar(a: str, b: str, shingle: int) -> float:
+    """Jaccard similarity of two texts' sets of shingles; of two texts without words 1."""
+    x, y = set(shingle_hashes(a, shingle).tolist()), set(shingle_hashes(b, shingle).tolist())
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def keep_one_of_each_group(
+    docs: DataFrame, text: str = "text", shingle: int = 5, differing: int = 2, views: int = 12, sample: int = 3, least: float = 0.8
+) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each group the first row in the order of the input stays.
+
+    Groups are the components of two kinds of links. SimHash links: fingerprints of all shingles within
+    ``differing`` bits. At a Jaccard similarity of 0.8 such fingerprints differ in about ten bits of 64, too many for
+    selective probes; so each text also gets the fingerprints of ``views`` min-wise samples of its shingles, which copies
+    share on some view (probability over 0.99 at 0.8). Texts that agree on a view are compared with the first such
+    text, and linked if their similarity is at least ``least``. Equal texts are one node. Null texts count as empty,
+    and texts without words are copies of each other. All columns stay; a repeated row is a copy.
+    """
+    columns = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
+
+    def make() -> Callable[[list[str]], list]:
+        def apply(texts: list[str]) -> list:
+            return [[majority(shingle_hashes(t, shingle)) for t in texts], [sample_prints(t, views, sample, shingle) for t in texts]]
+
+        return apply
+
+    rows = with_text_columns(rows, "body", make, {"fp": "long", "samples": "array<long>"}, ["doc", "body"])
+    rows = materialised(rows.withColumn("row", F.monotonically_increasing_id()), "dedup-rows")
+    # equal texts: one node, the first row
+    same = rows.select("row", "fp", F.xxhash64("body").alias("h1"), F.xxhash64("body", F.lit(1)).alias("h2"), "samples")
+    nodes = materialised(same.groupBy("h1", "h2").agg(F.min("row").alias("node"), F.first("fp").alias("fp"), F.first("samples").alias("samples")), "dedup-nodes")
+    prints = materialised(nodes.groupBy("fp").agg(F.min("node").alias("first")), "dedup-prints")
+    on_bits = links(prints.select("fp"), differing)
+    name = lambda side: prints.select(F.col("fp").alias(side), F.col("first").alias(f"n_{side}"))
+    by_bits = on_bits.join(name("a"), "a").join(name("b"), "b").select(F.col("n_a").alias("a"), F.col("n_b").alias("b"))
+    by_print = nodes.join(prints.select("fp", "first"), "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    by_view = _compared(rows, nodes, shingle, least)
+    roots = components(by_bits.unionByName(by_print).unionByName(by_view), "a", "b")
+    lost = roots.where("node <> root").select(F.col("node").alias("row"))
+    first = nodes.select(F.col("node").alias("row")).join(lost, "row", "left_anti")
+    return rows.join(first, "row", "left_semi").select("doc.*")
+
+
+def _compared(rows: DataFrame, nodes: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Links (a, b) of texts to the first text with the same sample, where they are similar enough."""
+    views = nodes.select("node", F.posexplode("samples").alias("view", "print"))
+    first = views.groupBy("view", "print").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
+    first = materialised(first.select("view", "print", "b"), "dedup-views")
+    pairs = views.join(first, ["view", "print"]).where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    pairs = materialised(pairs, "dedup-pairs")
+    texts = rows.select("row", "body")
+    with_a = pairs.join(texts.select(F.col("row").alias("a"), F.col("body").alias("x")), "a")
+    with_both = with_a.join(texts.select(F.col("row").alias("b"), F.col("body").alias("y")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, x, y = (c.to_pylist() for c in batch.columns)
+            good = [i for i in range(len(a)) if similar(x[i], y[i], shingle) >= least]
+            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], names=["a", "b"])
+
+    return with_both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
