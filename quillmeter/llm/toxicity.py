@@ -134,7 +134,8 @@ def fit(
     sample_rows: int = 20_000,
     max_terms: int = 20_000,
     prior: float = 2.0,
-    least_z: float = 3.0,
+    least_z: float = 2.5,
+    least_odds: float = 1.0,
     drift: float = 0.25,
 ) -> ToxicityModel:
     """Learn from ``labels`` (doc_id, label 0/1); rows with a null id or label are no examples.
@@ -212,7 +213,7 @@ def fit(
         return (bad + prior * centre) / (bad + good + prior)
 
     logit = lambda p: math.log(p / (1 - p))
-    scores = {f: s for f in raw if (s := logit(min(toxic_rate(f), 1 - 1e-9)) - logit(base)) > drift}
+    scores = {f: s for f in raw if (s := logit(min(toxic_rate(f), 1 - 1e-9)) - logit(base)) >= least_odds}
 
     # background: how often clean texts show each score; every class of tokens has at least half an occurrence
     shares = np.array([(raw[f][1] + 0.5) for f in scores] or [0.5], dtype=float)
