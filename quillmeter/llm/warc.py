@@ -26,6 +26,8 @@ LEAST_REVISIT = 1000
 ARCHIVE_BYTES = 256 << 20
 #: Ranges at most this far apart are read together, in reads of at most about this size.
 GAP, READ = 64 << 10, 8 << 20
+#: Archive bytes that a reading task takes.
+TASK_BYTES = 32 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "file string, offset long, length long, url string, digest string, page_id long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -176,7 +178,9 @@ def read(selected: DataFrame, folder: str, payload: bool = True) -> DataFrame:
                 ranges.append((offset, length))
         yield from flush()
 
-    ordered = selected.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    total = selected.agg(F.sum("length").alias("n")).first()["n"] or 0
+    n_tasks = 1 + total // TASK_BYTES
+    ordered = selected.select("file", "offset", "length").repartitionByRange(n_tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(run, RECORD)
 
 
