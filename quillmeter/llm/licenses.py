@@ -30,7 +30,7 @@ TEMPLATES: list[tuple[str, tuple[str, ...], str]] = [
     ("gpl", ("general public license",), "this work is licensed under the gnu general public license version 3"),
     ("lgpl", ("lesser general public license",), "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
     ("bsd", ("redistribution and use in source and binary forms",), "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by", ("cc by", "creative commons attribution"), "licensed under cc by 4 0"),
+    ("cc-by", ("cc by 4 0", "cc by 3 0", "cc by 2 0"), "licensed under cc by 4 0"),
     ("cc-by-nc", ("cc by nc", "creative commons attribution noncommercial"), "licensed under cc by nc 4 0"),
     ("cc-by-sa", ("cc by sa", "creative commons attribution sharealike"), "licensed under cc by sa 4 0"),
     ("cc-by", ("creative commons attribution",), "this work is licensed under a creative commons attribution 4 0 international license"),
