@@ -9,15 +9,18 @@ Jaccard similarity, the sum of the smaller weights over the sum of the larger. A
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLES = 64
+SAMPLES = 32
+#: Equal shares into which the gamma law is cut for its quantile tables.
+R_CELLS, C_CELLS = 512, 256
 #: Documents per range of ids, and the most ranges: 1024 quantiles of up to 64 equal parts.
 RANGE_ROWS, QUANTILES, PARTS = 1024, 1024, 64
-#: Draws are kept as ``(value + OFFSET) * 2**34`` above 16 bits of the pair; values are capped below ``CAP``.
-OFFSET, CAP = 700, 600
-ABSENT = -1.0e6  # logarithm of the weight of a word that a text lacks: its draw lies beyond the cap
+#: Draws lie between -60 and 10; they are kept as ``(value + OFFSET) * 2**54`` above 16 bits of the pair.
+OFFSET = 128
 
 
 def _ranges(docs: DataFrame, doc_id: str) -> Column:
@@ -66,77 +69,71 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     )
 
 
-def _word_hashes(text: Column, tag: int) -> Column:
-    """Hashes of the words, the lowest bit telling which text they come from."""
-    words = F.array_remove(F.split(F.lower(text), "[ \\t-\\r]+"), "")
-    return F.transform(words, lambda w: F.shiftleft(F.xxhash64(w), 1).bitwiseOR(F.lit(tag).cast("long")))
-
-
-def weighted_terms(rows: DataFrame, first: str, second: str, keep: list[str]) -> DataFrame:
-    """One row per word of either text: ``term`` and the logarithms ``w1``, ``w2`` of its weights.
+def weighted_terms(rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """One row per distinct word of a text: its hash ``term`` and the logarithm ``w`` of its number of occurrences.
 
-    The sorted hashes of both texts fall into runs; runs of one word in both texts lie side by side. A row without
-    words in either text stays with a null term.
+    Equal hashes form runs in sorted order. A text without words keeps one row with a null term.
     """
-    at = lambda a, i: F.get(F.col(a), i)
-    hashed = rows.select(*keep, F.sort_array(F.concat(_word_hashes(F.col(first), 0), _word_hashes(F.col(second), 1))).alias("a"))
+    words = F.array_remove(F.split(F.lower(text), "[ \\t-\\r]+"), "")
+    hashed = rows.select(*keep, F.sort_array(F.transform(words, lambda w: F.xxhash64(w))).alias("a"))
     size = F.size("a")
     indexes = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
-    runs = hashed.select(*keep, "a", F.filter(indexes, lambda i: (i == 0) | (at("a", i) != at("a", i - 1))).alias("q"))
-    runs = runs.select(
-        *keep, F.transform("q", lambda p, j: F.struct(at("a", p).alias("v"), (F.coalesce(at("q", j + 1), F.size("a")) - p).alias("n"))).alias("r")
-    )
-    log = lambda n: F.log(n.cast("double"))
-    none = F.lit(ABSENT)
-
-    def entry(x: Column, j: Column) -> Column:
-        after, before = F.get(F.col("r"), j + 1), F.get(F.col("r"), j - 1)
-        odd = x["v"].bitwiseAND(F.lit(1).cast("long")) == 1
-        paired = F.coalesce(after["v"] == x["v"] + 1, F.lit(False))
-        partner = odd & F.coalesce(before["v"] == x["v"] - 1, F.lit(False))
-        return F.when(partner, F.lit(None)).otherwise(
-            F.struct(
-                F.shiftright(x["v"], 1).alias("term"),
-                F.when(odd, none).otherwise(log(x["n"])).alias("w1"),
-                F.when(odd, log(x["n"])).when(paired, log(after["n"])).otherwise(none).alias("w2"),
-            )
-        )
+    at = lambda i: F.get(F.col("a"), i)
+    runs = hashed.select(*keep, "a", F.filter(indexes, lambda i: (i == 0) | (at(i) != at(i - 1))).alias("q"))
 
-    terms = runs.select(*keep, F.explode_outer(F.array_compact(F.transform("r", entry))).alias("e"))
-    return terms.select(*keep, "e.term", "e.w1", "e.w2")
+    def entry(start: Column, j: Column) -> Column:
+        length = F.coalesce(F.get(F.col("q"), j + 1), F.size("a")) - start
+        return F.struct(at(start).alias("term"), F.log(length.cast("double")).alias("w"))
 
+    return runs.select(*keep, F.explode_outer(F.transform("q", entry)).alias("e")).select(*keep, "e.term", "e.w")
 
-def _draw(k: int, weight: str) -> Column:
-    """The word's draw for sample ``k``, packed so that the least number is the least draw with its pair."""
-    two = lambda bits: f"(({bits}) + 0.5D)"
-    x, y = f"xxhash64(term, {2 * k})", f"xxhash64(term, {2 * k + 1})"
-    m21, m22, m32 = (1 << 21) - 1, (1 << 22) - 1, (1 << 32) - 1
-    r = f"-ln({two(f'{x} & {m21}L')} * {two(f'shiftrightunsigned({x}, 21) & {m21}L')} / {float(1 << 42)}D)"
-    beta = f"({two(f'shiftrightunsigned({x}, 42) & {m22}L')} / {float(1 << 22)}D)"
-    ln_c = f"ln(-ln({two(f'{y} & {m32}L')} * {two(f'shiftrightunsigned({y}, 32) & {m32}L')} / {float(1 << 64)}D))"
-    t = f"floor({weight} / ({r}) + {beta})"
-    value = f"least({ln_c} - ({r}) * ({t} - {beta} + 1.0D), {CAP}.0D)"
-    return F.expr(f"shiftleft(cast(({value} + {OFFSET}.0D) * {float(1 << 34)}D as bigint), 16) | ((term ^ ({t} * 40503L)) & 65535L)")
 
+def gamma_quantile(u: float) -> float:
+    """Quantile of the gamma(2, 1) law, whose distribution function is 1 - exp(-x) * (1 + x)."""
+    low, high = 0.0, 60.0
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (mid, high) if 1 - math.exp(-mid) * (1 + mid) < u else (low, mid)
+    return (low + high) / 2
 
-def fingerprint_pairs(rows: DataFrame, first: str, second: str, keep: list[str], samples: int = SAMPLES) -> DataFrame:
-    """``keep`` (which identifies a row) with ``s1`` and ``s2``, the samples of both texts as arrays of int.
 
-    Both texts share the draws of a word. A text without words has the empty array.
+def _tables() -> list[Column]:
+    """``r`` at the middle of each of 512 equal shares; ``ln c`` at the borders of 256 shares and its rise over each;
+    the same for 256 equal parts of the lowest of them, which decides most minima."""
+    r = [gamma_quantile((i + 0.5) / R_CELLS) for i in range(R_CELLS)]
+    out = [r]
+    for scale in (C_CELLS, C_CELLS * C_CELLS):
+        borders = [math.log(gamma_quantile(min(max(i, 0.05), scale - 0.1) / scale)) for i in range(C_CELLS + 1)]
+        out += [borders[:-1], [b - a for a, b in zip(borders, borders[1:], strict=False)]]
+    return [F.expr("array(" + ", ".join(f"{v!r}D" for v in values) + ")") for values in out]
+
+
+def _draw(k: int, tables: list[Column]) -> Column:
+    """The word's draw for sample ``k``, packed so that the least number has the least draw.
+
+    One hash gives 9 bits for ``r``, 32 for ``c`` and 23 for ``beta``. Gamma quantiles come from tables, linear
+    within a share.
     """
-    terms = weighted_terms(rows, first, second, keep)
-    least = [F.min(_draw(k, w)).alias(f"m{w}_{k}") for k in range(samples) for w in ("w1", "w2")]
-    out = terms.groupBy(*keep).agg(*least)
-    capped = F.lit((CAP + OFFSET) << 34).cast("long")
-
-    def signature(w: str) -> Column:
-        all_samples = F.array(*[f"m{w}_{k}" for k in range(samples)])
-        empty = F.col(f"m{w}_0").isNull() | (F.shiftright(F.col(f"m{w}_0"), 16) >= capped)
-        return F.when(empty, F.array().cast("array<int>")).otherwise(
-            F.transform(all_samples, lambda m: m.bitwiseAND(F.lit(65535).cast("long")).cast("int"))
-        )
+    r_table, c_table, c_rise, low_table, low_rise = tables
+    x = F.expr(f"xxhash64(term, {k})")
+    part = lambda shift, bits: F.shiftrightunsigned(x, shift).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    r = r_table[part(0, 9)]
+    beta = (part(9, 23) + 0.5) * (1.0 / (1 << 23))
+    cell, within, sub, below = part(32, 8), part(40, 24) * (1.0 / (1 << 24)), part(56, 8), part(40, 16) * (1.0 / (1 << 16))
+    ln_c = F.when(cell == 0, low_table[sub] + below * low_rise[sub]).otherwise(c_table[cell] + within * c_rise[cell])
+
+    t = F.floor(F.col("w") / r + beta)
+    high = ((ln_c - r * (t - beta + 1.0) + float(OFFSET)) * float(1 << 54)).cast("long")
+    pair = F.col("term").bitwiseXOR(F.shiftleft(t, 5)).bitwiseAND(F.lit(65535).cast("long"))
+    return high.bitwiseAND(F.lit(-65536).cast("long")).bitwiseOR(pair)
+
 
-    return out.select(*keep, signature("w1").alias("s1"), signature("w2").alias("s2"))
+def signatures(rows: DataFrame, text: str, keep: list[str], samples: int = SAMPLES) -> DataFrame:
+    """``keep`` (which identifies a row) with ``signature``, the samples as array of int; no words: empty."""
+    tables = _tables()
+    least = weighted_terms(rows, text, keep).groupBy(*keep).agg(*[F.min(_draw(k, tables)).alias(f"m{k}") for k in range(samples)])
+    low = F.transform(F.array(*[f"m{k}" for k in range(samples)]), lambda m: m.bitwiseAND(F.lit(65535).cast("long")).cast("int"))
+    return least.select(*keep, F.when(F.col("m0").isNull(), F.array().cast("array<int>")).otherwise(low).alias("signature"))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -160,19 +157,23 @@ def compare_with_edit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     rows = with_next(docs, doc_id, text).withColumn("n_chars", F.length("text").cast("long"))
     edited = F.concat(F.expr("left(text, cast(n_chars - n_chars div 2 as int))"), F.expr("left(next_text, cast(n_chars div 2 as int))"))
     rows = rows.withColumn("edited", edited).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    keep = ["range", "rn", "borrowed", "doc_id", "n_chars", "edited_sha256"]
-    prints = fingerprint_pairs(rows, "text", "edited", keep, samples)
-    after = F.lead("s1").over(Window.partitionBy("range").orderBy("rn"))
+    both = F.array(F.struct(F.lit(0).alias("part"), F.col("text").alias("body")), F.struct(F.lit(1).alias("part"), F.col("edited").alias("body")))
+    keep = ["range", "rn", "part", "borrowed", "doc_id", "n_chars", "edited_sha256"]
+    halves = rows.select(*[c for c in keep if c != "part"], F.explode(both).alias("e")).select(*[c for c in keep if c != "part"], "e.part", "e.body")
+    prints = signatures(halves, "body", keep, samples)
+    # behind each text stand its edit and the next text, in the same range
+    order = Window.partitionBy("range").orderBy("rn", "part")
+    own, edit, after = F.col("signature"), F.lead("signature", 1).over(order), F.lead("signature", 2).over(order)
     return (
-        prints.withColumn("next", F.coalesce(after, F.col("s1")))
-        .where("NOT borrowed")
+        prints.select("*", edit.alias("edit"), after.alias("after"))
+        .where("part = 0 AND NOT borrowed")
         .select(
             "doc_id",
             "n_chars",
             "edited_sha256",
-            as_text(F.col("s1")).alias("fingerprint"),
-            as_text(F.col("s2")).alias("edited_fingerprint"),
-            likeness(F.col("s1"), F.col("s2"), samples).alias("near_edited"),
-            likeness(F.col("s1"), F.col("next"), samples).alias("near_next"),
+            as_text(own).alias("fingerprint"),
+            as_text(F.col("edit")).alias("edited_fingerprint"),
+            likeness(own, F.col("edit"), samples).alias("near_edited"),
+            likeness(own, F.col("after"), samples).alias("near_next"),
         )
     )
