@@ -77,7 +77,6 @@ NAME_KEYWORDS = [
     (["ai"], ["artificial intelligence", "generate", "create"]), (["resume"], ["cv", "biodata", "job"]),
     (["biodata"], ["marriage", "personal", "bio"]), (["marriage"], ["wedding", "card", "invitation"]),
 ]
-MAX_INDEX_KEYWORDS = 15
 
 # Category by the first group with a word in the page name.
 CATEGORY_WORDS = [

@@ -167,20 +167,14 @@ def consensus_columns(rows: DataFrame, tol: float = 0.04, share: float = 0.6) ->
     """Column runs of centres seen within ``tol`` in at least floor(share x rows) rows; if none
     qualifies the leftmost stays."""
     spots = rows.select(*KEY, "row", x_center().alias("x")).distinct()
-    # One position counts once per row it occurs in, as in a list of all rows' positions.
-    runs = islands(spots, F.col("x"), tol, "run", order=["__pos", "row"]).groupBy(*KEY, "run").agg(F.avg("x").alias("cx"))
-    centres = runs.groupBy(*KEY).agg(F.sort_array(F.collect_list("cx")).alias("__cs"))
-    near = spots.join(centres, KEY).select(
-        *KEY, "row", F.explode(F.filter("__cs", lambda c: F.abs(F.col("x") - c) <= tol)).alias("cx")
-    )
-    support = near.groupBy(*KEY, "cx").agg(F.size(F.collect_set("row")).cast("long").alias("row_support"))
-    totals = spots.groupBy(*KEY).agg(F.size(F.collect_set("row")).alias("__rows"))
-    all_cols = runs.join(support, [*KEY, "cx"], "left").join(totals, KEY).withColumn(
-        "row_support", F.coalesce("row_support", F.lit(0)).cast("long")
-    )
-    ok = F.col("row_support") >= F.floor(F.col("__rows") * share)
-    page = W.partitionBy(*KEY)
-    chosen = all_cols.withColumn("__ok", ok).withColumns(
+    # One position counts once per row it occurs in, as in a list of all rows' positions. Runs lie more than ``tol``
+    # apart and hold their centre, so only a run's own positions can be near it.
+    page, run = W.partitionBy(*KEY), W.partitionBy(*KEY, "run")
+    runs = islands(spots, F.col("x"), tol, "run", order=["__pos", "row"]).withColumn("cx", F.avg("x").over(run))
+    near = F.collect_set(F.when(F.abs(F.col("x") - F.col("cx")) <= tol, F.col("row")))
+    found = runs.groupBy(*KEY, "run", "cx").agg(F.size(near).cast("long").alias("row_support"), F.collect_set("row").alias("__in"))
+    all_rows = F.size(F.array_distinct(F.flatten(F.collect_list("__in").over(page))))
+    chosen = found.withColumn("__ok", F.col("row_support") >= F.floor(all_rows * share)).withColumns(
         {"__some": F.bool_or("__ok").over(page), "__first": F.min("cx").over(page)}
     ).where(F.col("__ok") | (~F.col("__some") & (F.col("cx") == F.col("__first"))))
     return chosen.select(
@@ -443,21 +437,22 @@ def first_row_header(cells: DataFrame) -> DataFrame:
     return cells.withColumn("is_header", F.col("row") == 0)
 
 
-def spans(rows: DataFrame) -> DataFrame:
+def spans(rows: DataFrame, most_columns: int | None = None, most_rows: int | None = None) -> DataFrame:
     """Cells more than 1.5 times as wide (tall) as the page average span several columns (rows):
-    width over the row's average, height over the page's, rounded, at most 10 (20)."""
+    width over the row's average, height over the page's, rounded; limits only if given."""
     page, row = W.partitionBy(*KEY), W.partitionBy(*KEY, "row")
     width, height = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     measured = rows.withColumns(
         {"__w": width, "__h": height, "__pw": F.avg(width).over(page), "__ph": F.avg(height).over(page)}
     ).withColumn("__rw", F.avg("__w").over(row))
 
-    def span(size: str, mean: str, unit: str, cap: int) -> Column:
-        n = F.greatest(F.lit(1), F.least(F.lit(cap), F.bround(F.col(size) / F.col(unit)).cast("int")))
+    def span(size: str, mean: str, unit: str, most: int | None) -> Column:
+        n = F.greatest(F.lit(1), F.bround(F.col(size) / F.col(unit)).cast("int"))
+        n = n if most is None else F.least(F.lit(most), n)
         return F.when(F.col(size) > F.col(mean) * 1.5, n).otherwise(1).cast("long")
 
     return measured.withColumns(
-        {"colspan": span("__w", "__pw", "__rw", 10), "rowspan": span("__h", "__ph", "__ph", 20)}
+        {"colspan": span("__w", "__pw", "__rw", most_columns), "rowspan": span("__h", "__ph", "__ph", most_rows)}
     ).drop("__w", "__h", "__pw", "__ph", "__rw")
 
 

@@ -94,11 +94,13 @@ def first_grant_per_order(verifications: DataFrame, order_id: str, ts: str, tie:
     return top_k(verifications, [order_id], [F.col(ts), F.col(tie)], 1).drop("rank")
 
 
-def reconcile_payments(payments: DataFrame, orders: DataFrame, chunk_seconds: int = 86400) -> DataFrame:
+def reconcile_payments(payments: DataFrame, orders: DataFrame, stored: str | None = None) -> DataFrame:
     """Status of each payment: order_not_found, wrong_owner, already_processed, invalid_credits or ok.
 
     payments(payment_id, order_id, user_id, ts), orders(order_id, owner_id, credits). Only a payment that
-    passes the earlier checks marks the order as paid; the first such one wins.
+    passes the earlier checks marks the order as paid; the first such one wins. ``stored`` names the column of
+    orders with the payment that paid it before, if any: other payments of such an order are already_processed.
+    A payment without a user is not the owner's.
     """
     joined = payments.join(orders, "order_id", "left")
     good = F.col("owner_id").isNotNull() & (F.col("owner_id") == F.col("user_id")) & (F.col("credits") > 0)
@@ -106,7 +108,8 @@ def reconcile_payments(payments: DataFrame, orders: DataFrame, chunk_seconds: in
     status = first_rule(
         [
             (F.col("owner_id").isNull(), "order_not_found"),
-            (F.col("owner_id") != F.col("user_id"), "wrong_owner"),
+            (~F.col("owner_id").eqNullSafe(F.col("user_id")), "wrong_owner"),
+            *([(F.col(stored).isNotNull() & (F.col(stored) != F.col("payment_id")), "already_processed")] if stored else []),
             (F.struct("ts", "payment_id") > F.col("__first"), "already_processed"),
             (F.coalesce(F.col("credits"), F.lit(0)) <= 0, "invalid_credits"),
         ],

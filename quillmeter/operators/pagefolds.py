@@ -160,6 +160,8 @@ def _digit_share(text: str) -> float:
 
 
 def _script(text: str) -> str:
+    if not text:
+        return "unknown"
     n = len(text)
     if sum("ऀ" <= c <= "ॿ" for c in text) / n > 0.3:
         return "devanagari"
@@ -170,13 +172,13 @@ def _script(text: str) -> str:
 
 def logical_cells(words: DataFrame, overlap: float = 0.7, height_factor: float = 1.5, numeric: float = 0.6) -> DataFrame:
     """Grow each cell downwards over words that overlap one of its words in x by 70 %, lie within
-    1.5 line heights, and share the script (or both are numbers). Every word is in exactly one cell."""
+    1.5 line heights, and share the script (or both are numbers); empty and null texts join nothing. Every word is in exactly one cell."""
     def rule(p: Page) -> list[int]:
         x0, x1, y0, y1 = p["x0"], p["x1"], p["y0"], p["y1"]
         limit = (sum(y1) - sum(y0)) / len(y0) * height_factor
         yc = [(a + b) / 2 for a, b in zip(y0, y1)]
-        num = [_digit_share(t) >= numeric for t in p["text"]]
-        script = [_script(t) for t in p["text"]]
+        num = [_digit_share(t or "") >= numeric for t in p["text"]]
+        script = [_script(t or "") for t in p["text"]]
         owner = [-1] * len(x0)
         cells = 0
         for i in range(len(x0)):
@@ -193,7 +195,7 @@ def logical_cells(words: DataFrame, overlap: float = 0.7, height_factor: float =
                     common = min(x1[m], x1[j]) - max(x0[m], x0[j])
                     if (
                         common > 0 and common / min(x1[m] - x0[m], x1[j] - x0[j]) >= overlap and abs(yc[m] - yc[j]) <= limit
-                        and ((num[m] and num[j]) or script[m] == script[j])
+                        and ((num[m] and num[j]) or script[m] == script[j] != "unknown")
                     ):
                         members.append(j)
                         owner[j] = cells

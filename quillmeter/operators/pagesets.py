@@ -9,15 +9,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from quillmeter.operators.scans import running_total
+
 
 def merge_documents(pages: DataFrame, members: DataFrame) -> DataFrame:
-    """M1: pages of the documents of a target in list order. members(target, doc_id, seq).
+    """M1: pages of the documents of a target in list order. members(target, doc_id, seq), seq a whole number.
 
-    The offset of a document is the running page count of the documents before it in its target.
+    The offset of a document is the running page count of the documents before it in its target, summed in two
+    levels by stretches of seq, so that no task sees all documents of a target.
     """
     counts = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n"))
-    before = W.partitionBy("target").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    placed = members.join(counts, "doc_id").withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    sized = members.join(counts, "doc_id")
+    stretch = F.floor(F.col("seq") / 4096).cast("long")
+    placed = running_total(sized, ["target"], ["seq"], {"__sum": F.col("__n")}, stretch).withColumn("__off", F.col("__sum") - F.col("__n"))
     return pages.join(placed.select("target", "doc_id", "__off"), "doc_id").withColumn("new_page", F.col("__off") + F.col("page_no")).drop("__off")
 
 

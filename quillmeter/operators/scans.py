@@ -11,6 +11,7 @@ through Python with one small state at a time: no group is materialised.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,6 +25,13 @@ def time_chunk(ts: str, seconds: int) -> Column:
     return F.floor(micros(ts) / F.lit(seconds * 1_000_000)).cast("long")
 
 
+def _join_null_safe(rows: DataFrame, offsets: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Equality join in which null meets null, so that rows without a key or a time stay."""
+    named = offsets.withColumnsRenamed({c: f"__on_{c}" for c in on})
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__on_{c}")) for c in on))
+    return rows.join(named, same).drop(*[f"__on_{c}" for c in on])
+
+
 def running_total(
     df: DataFrame,
     keys: Sequence[str],
@@ -40,7 +48,7 @@ def running_total(
         *on, *[F.coalesce(F.sum(t).over(before), F.lit(0)).alias(f"__o{t}") for t in tmp.values()]
     )
     inside = W.partitionBy(*on).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    out = base.join(offsets, on).withColumns(
+    out = _join_null_safe(base, offsets, on).withColumns(
         {n: (F.sum(t).over(inside) + F.col(f"__o{t}")) for n, t in tmp.items()}
     )
     return out.select(*df.columns, *values.keys())
@@ -58,7 +66,7 @@ def running_min_before(
     )
     inside = W.partitionBy(*on).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     return (
-        base.join(offsets, on)
+        _join_null_safe(base, offsets, on)
         .withColumn(out, F.least(F.min("__v").over(inside), F.col("__o")))
         .select(*df.columns, out)
     )

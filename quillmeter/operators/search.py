@@ -10,23 +10,50 @@ from pyspark.sql import functions as F
 from quillmeter.functions.exprs import first_rule
 from quillmeter.operators.scans import top_k
 
-MAX_QUERIES = 1000
-
-
-def _with_queries(items: DataFrame, queries: Sequence[str]) -> DataFrame:
-    """Score every entry against each query text inside the scan: the query list is a literal of checked
-    size, so nothing is joined or broadcast and only entries that score are shuffled."""
-    if len(queries) > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} queries per call; split the list")
-    texts = F.array(*[F.lit(q) for q in queries])
-    q = F.lower(F.trim("query"))
-    return items.select("*", F.explode(texts).alias("query")).withColumns(
-        {
-            "__q": q,
-            "__t": F.lower("title"), "__d": F.lower("description"),
-            "__k": F.transform("keywords", lambda k: F.lower(k)),
-        }
-    )
+def _as_table(items: DataFrame, queries: DataFrame | Sequence[str]) -> DataFrame:
+    if isinstance(queries, DataFrame):
+        return queries.select("query").where("query IS NOT NULL").distinct()
+    return items.sparkSession.createDataFrame([(q,) for q in dict.fromkeys(queries)], "query string")
+
+
+def _pieces(text: Column) -> Column:
+    """All stretches of one to three letters."""
+    def of(n: int) -> Column:
+        at = F.sequence(F.lit(1), F.length(text) - (n - 1))
+        return F.when(F.length(text) >= n, F.transform(at, lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(of(1), of(2), of(3))
+
+
+def _start(text: Column) -> Column:
+    """The piece that every text around ``text`` has: its first three letters, or all of it if shorter."""
+    return F.substring(text, 1, 3)
+
+
+def _with_queries(items: DataFrame, queries: DataFrame | Sequence[str], key: str) -> DataFrame:
+    """Entries beside the queries they may score for; queries are a list or a table with column ``query``.
+
+    A score above zero needs one text inside another: the query or one of its words in a title, description,
+    category or keyword, or a keyword or title in the query. The outer text then has the inner one's first three
+    letters, so both kinds meet by equality on such pieces, and no entry is put beside a query it shares none with.
+    Keywords and titles are not empty.
+    """
+    low = items.select("*", F.lower("title").alias("__t"), F.lower("description").alias("__d"),
+                       F.lower("category").alias("__c"), F.transform("keywords", lambda k: F.lower(k)).alias("__k"))
+    asked = _as_table(items, queries).withColumn("__q", F.lower(F.trim("query"))).where("__q <> ''")
+    words = F.filter(F.split("__q", r"\s+"), lambda w: F.length(w) >= 3)
+    inside = F.transform(F.concat(F.array("__q"), words), _start)
+    texts = F.concat(F.array("__t", "__d", "__c"), F.col("__k"))
+    held = F.flatten(F.transform(F.array_compact(texts), _pieces))
+    shown = F.transform(F.concat(F.array("__t"), F.col("__k")), _start)
+
+    def met(mine: Column, theirs: Column) -> DataFrame:
+        left = asked.select("query", F.explode(F.array_distinct(mine)).alias("__piece"))
+        right = low.select(key, F.explode(F.array_distinct(theirs)).alias("__piece"))
+        return left.join(right, "__piece").select("query", key)
+
+    pairs = met(inside, held).unionByName(met(_pieces(F.col("__q")), shown)).distinct()
+    return pairs.join(asked, "query").join(low, key)
 
 
 def _hits(words: Column, test) -> Column:
@@ -39,7 +66,7 @@ def _pair_hits(words: Column, keywords: Column) -> Column:
     )
 
 
-def smart_search(items: DataFrame, queries: Sequence[str], key: str, k: int = 8) -> DataFrame:
+def smart_search(items: DataFrame, queries: DataFrame | Sequence[str], key: str, k: int = 8) -> DataFrame:
     """H1 (k=8) and H3 (k=5): weighted score over title, keywords and description, best k per query."""
     q, t, d, kw = (F.col(c) for c in ("__q", "__t", "__d", "__k"))
     words = F.filter(F.split(q, " "), lambda w: F.length(w) > 2)
@@ -53,14 +80,14 @@ def smart_search(items: DataFrame, queries: Sequence[str], key: str, k: int = 8)
         + 10 * _pair_hits(words, kw)
         + 5 * _hits(words, lambda w: d.contains(w))
     )
-    scored = _with_queries(items, queries).where(q != "").select("query", key, "title", score.cast("long").alias("score"))
+    scored = _with_queries(items, queries, key).select("query", key, "title", score.cast("long").alias("score"))
     return top_k(scored.where("score > 0"), ["query"], [F.col("score").desc(), F.col(key)], k)
 
 
-def tiered_search(items: DataFrame, queries: Sequence[str], key: str, k: int = 10) -> DataFrame:
+def tiered_search(items: DataFrame, queries: DataFrame | Sequence[str], key: str, k: int = 10) -> DataFrame:
     """H2: scores from 70 come first, then the rest; queries shorter than two letters give nothing."""
     q, t, d, kw = (F.col(c) for c in ("__q", "__t", "__d", "__k"))
-    c = F.lower("category")
+    c = F.col("__c")
     words = F.filter(F.split(q, r"\s+"), lambda w: F.length(w) >= 3)
     score = (
         first_rule([(t == q, 100), (t.contains(q), 80), (q.contains(t), 70)], 0)
@@ -72,7 +99,7 @@ def tiered_search(items: DataFrame, queries: Sequence[str], key: str, k: int = 1
         + 10 * _hits(words, lambda w: d.contains(w))
         + 10 * _pair_hits(words, kw)
     )
-    rows = _with_queries(items, queries).where(F.length(q) >= 2)
+    rows = _with_queries(items, queries, key).where(F.length(q) >= 2)
     scored = rows.select("query", key, "title", score.cast("long").alias("score")).where("score > 0")
     tiered = scored.withColumn("tier", F.when(F.col("score") >= 70, 1).otherwise(2))
     return top_k(tiered, ["query"], [F.col("tier"), F.col("score").desc(), F.col(key)], k)

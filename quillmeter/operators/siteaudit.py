@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -162,22 +163,23 @@ def base_name(filename: str | Column) -> Column:
 
 
 def page_title(html: str | Column, filename: str | Column, site: str) -> Column:
-    """<title> without the site name and 'Online …' tail, else H1, else the file name."""
+    """<title> without the site name (a plain text) and 'Online …' tail, else H1, else the file name."""
     raw = strip_space(F.regexp_extract(col(html), r"(?is)<title>(.*?)</title>", 1))
-    cut = F.regexp_replace(F.regexp_replace(raw, rf"(?i)\s*[-|]\s*{site}.*$", ""), r"(?i)\s*[-|]\s*Online.*$", "")
+    cut = F.regexp_replace(F.regexp_replace(raw, rf"(?i)\s*[-|]\s*{re.escape(site)}.*$", ""), r"(?i)\s*[-|]\s*Online.*$", "")
     h1 = strip_space(F.regexp_replace(F.regexp_extract(col(html), r"(?is)<h1[^>]*>(.*?)</h1>", 1), r"<[^>]+>", ""))
     has_title = F.regexp_like(col(html), F.lit(r"(?is)<title>.*?</title>"))
     found = F.when(has_title, strip_space(cut)).otherwise(h1)
     return F.coalesce(F.nullif(found, F.lit("")), title_case(base_name(filename)))
 
 
-def index_keywords(filename: str | Column, title: str | Column) -> Column:
-    """Name, title words longer than two letters, words added by name; the first 15 distinct."""
+def index_keywords(filename: str | Column, title: str | Column, most: int | None = None) -> Column:
+    """Name, title words longer than two letters, words added by name; distinct, at most ``most`` if given."""
     base = F.lower(base_name(filename))
     words = F.filter(F.regexp_extract_all(F.lower(col(title)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: F.length(w) > 2)
     none = F.array().cast("array<string>")
     extra = [F.when(any_contains(base, n), F.array(*map(F.lit, ks))).otherwise(none) for n, ks in X.NAME_KEYWORDS]
-    return F.slice(F.array_distinct(F.concat(F.array(base), words, *extra)), 1, X.MAX_INDEX_KEYWORDS)
+    found = F.array_distinct(F.concat(F.array(base), words, *extra))
+    return found if most is None else F.slice(found, 1, most)
 
 
 def page_category(filename: str | Column) -> Column:

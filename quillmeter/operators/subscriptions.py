@@ -31,11 +31,16 @@ def _due(now: Column) -> Column:
 
 
 def expire_subscriptions(subs: DataFrame, now: Column) -> DataFrame:
-    """Active paid plans past their end become free and expired and remember the plan."""
+    """Active paid plans past their end become free and expired and remember the plan and the moment.
+
+    Rows that are not due keep their earlier previous_plan and expired_at, null where they have none.
+    """
     due = F.coalesce(_due(now), F.lit(False))
+    earlier = {c: F.col(c) if c in subs.columns else F.lit(None) for c in ("previous_plan", "expired_at")}
     return subs.withColumns(
         {
-            "previous_plan": F.when(due, F.col("plan")),
+            "previous_plan": F.when(due, F.col("plan")).otherwise(earlier["previous_plan"]),
+            "expired_at": F.when(due, now).otherwise(earlier["expired_at"]),
             "plan": F.when(due, "free").otherwise(F.col("plan")),
             "status": F.when(due, "expired").otherwise(F.col("status")),
         }

@@ -35,7 +35,8 @@ DUE = f"(status = 'active' AND plan <> 'free' AND COALESCE(expires_at < TIMESTAM
 
 
 @query("e1_expire_subscriptions", f"""SELECT user_id, CASE WHEN {DUE} THEN 'free' ELSE plan END AS plan,
-  CASE WHEN {DUE} THEN 'expired' ELSE status END AS status, expires_at, used, CASE WHEN {DUE} THEN plan END AS previous_plan FROM {SUBS}""")
+  CASE WHEN {DUE} THEN 'expired' ELSE status END AS status, expires_at, used, CASE WHEN {DUE} THEN plan END AS previous_plan,
+  CASE WHEN {DUE} THEN TIMESTAMP '{NOW}' END AS expired_at FROM {SUBS}""")
 def expire(t: Tables) -> DataFrame:
     return S.expire_subscriptions(subs(t), now())
 

@@ -356,8 +356,8 @@ def first_row_header(t: Tables) -> DataFrame:
 
 
 @query("j29_spans", f"""SELECT {KEY}, row, word_id,
-  CASE WHEN x1 - x0 > avg(x1 - x0) OVER p * 1.5::DOUBLE THEN greatest(1, least(10, CAST(round_even((x1 - x0) / avg(x1 - x0) OVER q, 0) AS BIGINT))) ELSE 1 END AS colspan,
-  CASE WHEN y1 - y0 > avg(y1 - y0) OVER p * 1.5::DOUBLE THEN greatest(1, least(20, CAST(round_even((y1 - y0) / avg(y1 - y0) OVER p, 0) AS BIGINT))) ELSE 1 END AS rowspan
+  CASE WHEN x1 - x0 > avg(x1 - x0) OVER p * 1.5::DOUBLE THEN greatest(1, CAST(round_even((x1 - x0) / avg(x1 - x0) OVER q, 0) AS BIGINT)) ELSE 1 END AS colspan,
+  CASE WHEN y1 - y0 > avg(y1 - y0) OVER p * 1.5::DOUBLE THEN greatest(1, CAST(round_even((y1 - y0) / avg(y1 - y0) OVER p, 0) AS BIGINT)) ELSE 1 END AS rowspan
 FROM {LINE_CELLS} WINDOW p AS (PARTITION BY {KEY}), q AS (PARTITION BY {KEY}, row)""")
 def spans(t: Tables) -> DataFrame:
     placed = words(t).withColumn("row", F.floor(F.col("y0") / 24).cast("long"))

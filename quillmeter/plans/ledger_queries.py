@@ -131,11 +131,11 @@ def lifetime(t: Tables) -> DataFrame:
 
 
 @query("c8_sufficient_credits", f"""
-WITH b AS (SELECT user_id, CAST(sum(change) AS BIGINT) AS balance FROM {LEDGER} WHERE user_id % 9 <> 0 GROUP BY user_id)
+WITH b AS (SELECT user_id, CAST(sum(change) AS BIGINT) AS balance FROM {LEDGER} GROUP BY user_id)
 SELECT e.event_id, e.user_id, CAST(floor(e.value) AS BIGINT) AS need, COALESCE(b.balance, 0) AS balance,
   COALESCE(b.balance, 0) >= floor(e.value) AS sufficient FROM events e LEFT JOIN b USING (user_id) WHERE e.event_type = 'signup'""")
 def sufficient(t: Tables) -> DataFrame:
-    balances = ledger(t).where("user_id % 9 <> 0").groupBy("user_id").agg(F.sum("change").alias("balance"))
+    balances = ledger(t).groupBy("user_id").agg(F.sum("change").alias("balance"))
     asks = t.events.where("event_type = 'signup'").select("event_id", "user_id", F.floor("value").cast("long").alias("need"))
     return L.sufficient_credits(asks, balances, ["user_id"], "need", "balance")
 

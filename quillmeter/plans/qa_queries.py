@@ -216,7 +216,7 @@ def structural_failures(t: Tables) -> DataFrame:
 
 
 G1, G2 = "wants", "(wants AND confidence < 0.3)"
-BROKEN = "(failures <> '' OR (columns = 1 AND rows > 5 AND blocks > 10 AND x_span > 0.4))"
+BROKEN = "(failures <> '' OR (columns = 1 AND rows - 1 > 5 AND blocks > 10 AND x_span > 0.4))"
 G3 = f"({G2} AND {BROKEN})"
 G5 = f"({G3} AND pages <= 50)"
 
@@ -227,7 +227,7 @@ G5 = f"({G3} AND pages <= 50)"
 FROM (SELECT *, doc_id % 4 > 0 AS wants, (doc_id % 10) / 20.0 AS confidence, doc_id % 60 AS pages FROM {FAILING})""")
 def fallback_gates(t: Tables) -> DataFrame:
     d = F.col("doc_id")
-    docs = failing(t).withColumns({"wants_premium": d % 4 > 0, "confidence": (d % 10) / 20.0, "pages": d % 60, "max_row": F.col("rows"), "max_col": F.col("columns") - 1})
+    docs = failing(t).withColumns({"wants_premium": d % 4 > 0, "confidence": (d % 10) / 20.0, "pages": d % 60, "max_row": F.col("rows") - 1, "max_col": F.col("columns") - 1})
     return L.fallback_gates(docs).select("doc_id", "gates_passed", "gates_failed", "allowed", "estimated_pages", "estimated_credits")
 
 

@@ -153,7 +153,7 @@ DESCRIPTION = case(
        (any_of(B, ["zip", "rar"]), f"'Work with ' || {title_case(BASE)} || ' archives online'")],
     "title || ' - Online free tool'")
 CATEGORY = case([(any_of("lower(filename)", w), lit(c)) for w, c in X.CATEGORY_WORDS], lit(X.OTHER_CATEGORY))
-ENTRIES = f"""(SELECT page_id, url, filename, title, list_filter(k, lambda x, i: list_position(k, x) = i)[1:15] AS keywords, {CATEGORY} AS category, {DESCRIPTION} AS description
+ENTRIES = f"""(SELECT page_id, url, filename, title, list_filter(k, lambda x, i: list_position(k, x) = i) AS keywords, {CATEGORY} AS category, {DESCRIPTION} AS description
   FROM (SELECT *, {KW_PARTS} AS k FROM (SELECT page_id, url, filename, {TITLE} AS title FROM {NAMED}
     WHERE filename NOT IN {tuple(X.EXCLUDED_PAGES)!r} AND filename NOT LIKE '%-convert.html' AND filename NOT LIKE 'blog-%')))"""
 
