@@ -8,6 +8,7 @@ is added. Rules work on plain lists: a page costs its rows, not a data frame.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -154,11 +155,13 @@ def column_count(words: DataFrame, tol: float = 0.02) -> DataFrame:
 SEPARATORS = {ord(c): None for c in " -/."}
 
 
+@lru_cache(maxsize=200_000)
 def _digit_share(text: str) -> float:
     bare = text.translate(SEPARATORS)
     return sum(c.isdigit() for c in bare) / len(bare) if bare else 0.0
 
 
+@lru_cache(maxsize=200_000)
 def _script(text: str) -> str:
     if not text:
         return "unknown"

@@ -215,15 +215,21 @@ def alignment_peaks(words: DataFrame, doc: str = "doc_id") -> DataFrame:
     )
 
 
-def id_card_signals(docs: DataFrame, text: str, pages: str, tables: str, items: str, peak_x: str, peak_y: str) -> DataFrame:
-    """Page, keyword and layout signals, confidence and decision."""
-    density = F.length(F.trim(text)) / F.greatest(F.lit(1), F.col(pages))
+def id_card_facts(docs: DataFrame, text: str) -> DataFrame:
+    """What the signals need of a text, two numbers in its place, so that joins carry no texts."""
+    facts = {"chars": F.length(F.trim(text)), "card_words": count_contains(F.lower(text), D.ID_CARD_WORDS)}
+    return docs.withColumns(facts).drop(text)
+
+
+def id_card_signals(docs: DataFrame, pages: str, tables: str, items: str, peak_x: str, peak_y: str) -> DataFrame:
+    """Page, keyword and layout signals, confidence and decision, of rows with `id_card_facts`."""
+    density = F.col("chars") / F.greatest(F.lit(1), F.col(pages))
     few = F.col(pages) <= 2
     grid = (F.col(items) > 5) & ((F.col(peak_x) > 3) | (F.col(peak_y) > 3))
     flagged = docs.withColumns(
         {
             "page_signal": few & (density < 500) & (F.col(tables) == 0),
-            "keyword_signal": count_contains(F.lower(text), D.ID_CARD_WORDS) >= 2,
+            "keyword_signal": F.col("card_words") >= 2,
             "layout_signal": ~F.coalesce(grid, F.lit(False)) & few & (density < 1000),
         }
     )

@@ -206,8 +206,8 @@ FROM (SELECT *, page_signal AND (keyword_signal OR layout_signal) AS card,
       FROM {TEXTS} x LEFT JOIN {PEAKS} p USING (doc_id))))""")
 def id_card(t: Tables) -> DataFrame:
     docs = texts(t).withColumns({"pages": F.lit(1) + F.expr("n_chars div 3000"), "tables": (F.col("doc_id") % 3 == 0).cast("int")})
-    rows = docs.join(I.alignment_peaks(words(t)), "doc_id", "left")
-    return I.id_card_signals(rows, "text", "pages", "tables", "items", "peak_x", "peak_y").select(
+    rows = I.id_card_facts(docs, "text").join(I.alignment_peaks(words(t)), "doc_id", "left")
+    return I.id_card_signals(rows, "pages", "tables", "items", "peak_x", "peak_y").select(
         "doc_id", "pages", "page_signal", "keyword_signal", "layout_signal", "confidence", "document_type")
 
 
