@@ -95,7 +95,7 @@ def conditional_balance_stream(t: Tables) -> DataFrame:
 @query("c5_first_grant_stream", "SELECT DISTINCT event_id // 3 AS order_id FROM events WHERE event_type <> 'error'")
 def first_grant_stream(t: Tables) -> DataFrame:
     rows = streamed(t).events.where("event_type <> 'error'").select(F.expr("event_id div 3").alias("order_id"), "ts")
-    return X.stored(X.first_grants(rows, "order_id", "ts", "60 days"), "c5").select("order_id")
+    return X.stored(X.first_grants(rows, "order_id", "ts"), "c5").select("order_id")
 
 
 @query("d3_admission_stream", f"SELECT device, month, request_id, size, accepted FROM ({ORACLES['d3_admission']})")
@@ -109,11 +109,11 @@ def free_window_stream(t: Tables) -> DataFrame:
     return X.stored(X.free_window(rows, "k", "ts", "event_id"), "d7")
 
 
-@query("d9_rate_limit_stream")
+@query("d9_rate_limit_stream", ORACLES["d9_rate_limit"])
 def rate_limit_stream(t: Tables) -> DataFrame:
-    """Windows the watermark has not passed stay open, so the last ones are not in the result yet."""
     rows = streamed(t).events.select((F.col("user_id") % 3).alias("client"), "ts")
-    return X.stored(X.rate_limit(rows, "client", "ts", "15 minutes", 3), "d9")
+    limited = X.rate_limit(rows, "client", "ts", "15 minutes", 3)
+    return X.stored_updates(limited, "d9", ["client", "window_start"]).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("d12_lockout_stream", ORACLES["d12_lockout"])

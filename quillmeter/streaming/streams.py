@@ -70,8 +70,13 @@ def lockout(logins: DataFrame, user: str, ts: str, tie: str, success: str) -> Da
     )
 
 
-def first_grants(verifications: DataFrame, order_id: str, ts: str, delay: str = "7 days") -> DataFrame:
-    """The first arrival of an order within the watermark delay; repeats are dropped."""
+def first_grants(verifications: DataFrame, order_id: str, ts: str, delay: str | None = None) -> DataFrame:
+    """The first arrival of an order; repeats are dropped. The state keeps every order id, one short key each.
+
+    With a ``delay`` an order is forgotten that long after its arrival, and a later repeat is granted again.
+    """
+    if delay is None:
+        return verifications.dropDuplicates([order_id])
     return verifications.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).dropDuplicatesWithinWatermark([order_id])
 
 
@@ -86,6 +91,25 @@ def subscription_effects(events: DataFrame) -> DataFrame:
     return S.webhook_effects(events)
 
 
+def stored_updates(stream: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
+    """Run what has arrived in update mode and return the latest row of each key, open windows included.
+
+    Every batch writes its changed rows below its own id, so a repeated batch replaces itself.
+    """
+    spark = stream.sparkSession
+    folder = shared_folder(spark, name)
+    rest = [c for c in stream.columns if c not in keys]
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("__batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{folder}/data/run={batch_id}")
+
+    query = stream.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", f"{folder}/state")
+    query.trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(stream.select("*", F.lit(0).cast("long").alias("__batch")).schema).parquet(f"{folder}/data")
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "__batch").alias("__r"))
+    return latest.select(*keys, "__r.*").select(*stream.columns)
+
+
 def stored(stream: DataFrame, name: str) -> DataFrame:
     """Run what has arrived into a table in the shared folder and return that table."""
     spark = stream.sparkSession
