@@ -16,7 +16,6 @@ import re
 import unicodedata
 from collections.abc import Callable
 
-import ahocorasick
 import regex
 from pyspark.sql import DataFrame
 
@@ -28,7 +27,9 @@ NEVER = 1 << 60
 NOT_SPACE = re.compile("[\x1c-\x1f]")
 BLANKS = re.compile("[\t-\r \x85\xa0  -     　]+")
 #: Stretches remembered by a Python worker.
-CACHE = 600_000
+CACHE = 450_000
+#: Words remembered by a Python worker.
+PIECES = 250_000
 
 
 def byte_letters() -> list[str]:
@@ -41,6 +42,53 @@ def byte_letters() -> list[str]:
     return letters
 
 
+class SuffixMatcher:
+    """For each prefix of a word, the tokens that are suffixes of it.
+
+    States are the beginnings of tokens; reading a symbol leads to the longest state that is a suffix of what was
+    read. A state's tokens are its own and those of its longest proper suffix, so one list per state has all.
+    """
+
+    def __init__(self, ids: dict[str, int]) -> None:
+        self.steps: dict[int, int] = {}  # state << 17 | symbol -> state
+        self.fail, own = [0], [None]
+        depth: list[list[tuple[int, int, int]]] = [[]]  # by length: state before, symbol, state
+        for form, i in ids.items():
+            state = 0
+            for d, symbol in enumerate(map(ord, form)):
+                key = state << 17 | symbol
+                if key not in self.steps:
+                    self.steps[key] = len(own)
+                    while len(depth) <= d:
+                        depth.append([])
+                    depth[d].append((state, symbol, len(own)))
+                    own.append(None)
+                    self.fail.append(0)
+                state = self.steps[key]
+            own[state] = (i, len(form))
+        self.tokens: list[tuple[tuple[int, int], ...]] = [()] * len(own)
+        for d, made in enumerate(depth):
+            for before, symbol, state in made:
+                if d:
+                    at = self.fail[before]
+                    while (got := self.steps.get(at << 17 | symbol)) is None and at:
+                        at = self.fail[at]
+                    self.fail[state] = got or 0
+                rest = self.tokens[self.fail[state]]
+                self.tokens[state] = (own[state], *rest) if own[state] else rest
+        self.made = len(self.steps)
+
+    def follow(self, state: int, symbol: int) -> int:
+        """The step from a state over a symbol that continues no token beginning; some are remembered."""
+        at = self.fail[state] if state else 0
+        while (got := self.steps.get(at << 17 | symbol)) is None and at:
+            at = self.fail[at]
+        got = got or 0
+        if len(self.steps) < self.made + 500_000:
+            self.steps[state << 17 | symbol] = got
+        return got
+
+
 class WordPieces:
     """Tables of one tokenizer file (BPE with word ends, lower case, white space dropped)."""
 
@@ -67,16 +115,9 @@ class WordPieces:
             self.merge.setdefault((x, y), rank)
             if made not in self.rank:
                 self.rank[made], self.left[made], self.right[made] = rank, x, y
-        self.single: dict[str, int] = {}
-        self.matches = ahocorasick.Automaton()
-        for token, i in ids.items():
-            form = symbol(token)
-            if i in self.rank:
-                self.matches.add_word(form, (i, len(form)))
-            elif len(form) == 1:
-                self.single[form] = i
-        self.matches.make_automaton()
-        self.known: dict[tuple[int, int], bool] = {}
+        self.matches = SuffixMatcher({symbol(t): i for t, i in ids.items() if i in self.rank or len(symbol(t)) == 1})
+        self.known: dict[int, bool] = {}
+        self.words = Memory(self.encode_word, PIECES)
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the encoding of the two tokens' text is the two tokens.
@@ -101,32 +142,30 @@ class WordPieces:
                 until_b, y = ry, self.left[y]
         if len(self.known) > 500_000:
             self.known.clear()
-        self.known[a, b] = good
+        self.known[a << 20 | b] = good
         return good
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one word, given as letters of bytes; its last letter carries the word end."""
-        form = word[:-1] + chr(ord(word[-1]) + 0x10000)
-        n = len(form)
-        last, size = [-1] * (n + 1), [1] * (n + 1)
-        known, compatible, single = self.known, self.compatible, self.single
-        done = 0  # prefixes up to here have their last token; a lone symbol where no longer token fits
-        for at, (token, length) in self.matches.iter(form):
-            while done < at:
-                done += 1
-                if last[done] < 0:
-                    last[done] = single[form[done - 1]]
-            if last[at + 1] >= 0:
-                continue
-            if start := at + 1 - length:
-                before = last[start]
-                good = known.get((before, token))
-                if not (compatible(before, token) if good is None else good):
-                    continue
-            last[at + 1], size[at + 1] = token, length
-        for end in range(done + 1, n + 1):
-            if last[end] < 0:
-                last[end] = single[form[end - 1]]
+        n = len(word)
+        last, size = [-1] * (n + 1), [0] * (n + 1)
+        known, compatible = self.known, self.compatible
+        steps, tokens, follow = self.matches.steps, self.matches.tokens, self.matches.follow
+        state, end = 0, 0
+        symbols = list(map(ord, word))
+        symbols[-1] += 0x10000
+        for symbol in symbols:
+            end += 1
+            key = state << 17 | symbol
+            state = steps[key] if key in steps else follow(state, symbol)
+            for token, length in tokens[state]:  # the longest first
+                if length < end:
+                    before = last[end - length]
+                    good = known.get(before << 20 | token)
+                    if not (compatible(before, token) if good is None else good):
+                        continue
+                last[end], size[end] = token, length
+                break
         out, at = [], n
         while at:
             out.append(last[at])
@@ -134,26 +173,22 @@ class WordPieces:
         return out[::-1]
 
     def spell(self, piece: str) -> str:
+        """The letters of the piece's bytes; printable ASCII stands for itself."""
+        if piece.isascii() and piece.isprintable():
+            return piece
         return "".join(map(self.letters.__getitem__, piece.encode()))
 
-    def normalise(self, chunk: str) -> str:
-        """Canonical composition and lower case letter by letter (no final form of the Greek sigma)."""
-        if chunk.isascii():
-            return chunk.lower()
-        return unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-
-    def encode_chunk(self, chunk: str) -> list[int]:
-        """Ids of a stretch without white space."""
+    def encode_chunk(self, chunk: str, word: Callable[[str], list[int]] | None = None) -> list[int]:
+        """Ids of a stretch without white space; ``word`` encodes the letters of one word's bytes."""
+        word = word or self.words.__getitem__
         out: list[int] = []
         for part in self.cut.split(chunk) if "<|" in chunk else (chunk,):
             if part in self.special:
                 out.append(self.special[part])
                 continue
-            for piece in self.pieces.findall(self.normalise(part)):
-                if piece.isascii():  # printable: each letter stands for itself
-                    out += self.encode_word(piece) if piece.isprintable() else self.encode_word(self.spell(piece))
-                else:
-                    out += self.encode_word(self.spell(piece))
+            whole = normalised(part)
+            for piece in (whole,) if whole.isalpha() else self.pieces.findall(whole):
+                out += word(self.spell(piece))
         return out
 
 
@@ -187,8 +222,18 @@ def memory(path: str, form: Callable[[list[int], WordPieces], object]) -> Memory
     return Memory(lambda chunk: form(t.encode_chunk(chunk), t))
 
 
+def normalised(text: str) -> str:
+    """Canonical composition and lower case letter by letter (no final form of the Greek sigma)."""
+    if text.isascii():
+        return text.lower()
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
 def chunks(text: str) -> list[str]:
-    """Stretches between Unicode white space."""
+    """Stretches between Unicode white space, normalised unless they may hold a special token."""
+    if "<|" in text:
+        return [c if "<|" in c else normalised(c) for c in BLANKS.split(text) if c]
+    text = normalised(text)
     return [c for c in BLANKS.split(text) if c] if NOT_SPACE.search(text) else text.split()
 
 

@@ -10,6 +10,7 @@ padding.
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -119,10 +120,24 @@ class Rounds:
             k += 1
 
 
-def as_bytes(ids: list[int], _: bpe.WordPieces | None) -> bytes:
+def as_bytes(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+@functools.cache
+def stretches(path: str) -> bpe.Memory:
+    """Ids of stretches between white space as bytes, kept by a Python worker from task to task.
+
+    Words are encoded by the model of the tokenizers library; splitting texts and remembering stretches is done here,
+    because most stretches of a corpus recur.
+    """
+    from tokenizers import Tokenizer
+
+    tables, model = bpe.tables(path), Tokenizer.from_file(path).model
+    word = lambda letters: [t.id for t in model.tokenize(letters)]
+    return bpe.Memory(lambda chunk: as_bytes(tables.encode_chunk(chunk, word)))
+
+
 def tokens(docs: DataFrame, path: str, end_id: int, doc_id: str, text: str, source: str) -> DataFrame:
     """(doc_id, queue, chunk, ahead, n, ids): ids as little-endian 32-bit numbers, ``end_id`` last.
 
@@ -131,8 +146,8 @@ def tokens(docs: DataFrame, path: str, end_id: int, doc_id: str, text: str, sour
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = bpe.memory(path, as_bytes).__getitem__
-        tail = as_bytes([end_id], None)
+        of = stretches(path).__getitem__
+        tail = as_bytes([end_id])
         chunk = TaskContext.get().partitionId()
         ahead: dict[str | None, int] = {}
         for batch in batches:
