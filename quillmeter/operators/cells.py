@@ -23,7 +23,11 @@ PAIR_LABEL_WORDS = ["name", "id", "number", "date", "amount", "status", "channel
                     "biller", "customer", "payment", "agent", "transaction", "consumer", "mobile"]
 PAIR_NEXT_WORDS = ["date", "amount", "total", "transaction", "account", "address", "email", "phone", "id", "number",
                    "receipt", "invoice", "bill", "agent", "merchant", "customer", "consumer"]
-BILL_LABEL_WORDS = ["name", "date", "number", "id", "amount", "fee", "status", "channel"]
+PAIR_LABEL_PATTERNS = [r"payment\s+mode", r"payment\s+status", r"payment\s+channel", r"approval\s+ref", r"digital\s+fee",
+                       "convenience fee", "platform fee", "receipt no", "invoice no"]
+PAIR_HINDI_WORDS = ["नाम", "पिता", "पति", "आधार", "जाती", "कार्ड", "प्रकार", "समग्र", "परिवार", "क्र"]
+BILL_LABEL_WORDS = ["name", "date", "number", "id", "amount", "fee", "status", "channel", "mode"]
+BILL_LABEL_NAMES = ["website url", "approval ref no"]
 HEADER_WORDS = ["name", "date", "amount", "total", "item", "description", "qty", "quantity", "price", "rate", "sum", "subtotal"]
 LINE_LABEL_WORDS = ["name", "id", "number", "date", "amount", "biller", "customer", "payment", "mobile", "consumer",
                     "spice", "money", "assured", "bill"]
@@ -225,9 +229,10 @@ def pair_label_rows(rows: DataFrame) -> DataFrame:
     caps = (F.upper(v) == v) & (F.lower(v) != v) & (F.length(v) > 1)
     digits = F.replace(v, F.lit(" "), F.lit("")).rlike(r"^\p{Nd}+$")
     label = F.col("__alone") & (
-        any_contains(low, PAIR_LABEL_WORDS) | ((F.length(v) < 50) & (v.contains(":") | (v.contains(" ") & ~caps & ~digits)))
+        any_contains(low, PAIR_LABEL_WORDS + PAIR_NEXT_WORDS + PAIR_HINDI_WORDS) | ((F.length(v) < 50) & (v.contains(":") | (v.contains(" ") & ~caps & ~digits)))
     )
-    value = F.col("__alone") & ~(any_contains(low, PAIR_NEXT_WORDS) | ((F.length(v) < 30) & v.contains(":")))
+    named = any_contains(low, PAIR_NEXT_WORDS + PAIR_HINDI_WORDS) | low.rlike("|".join(PAIR_LABEL_PATTERNS))
+    value = F.col("__alone") & ~(named | ((F.length(v) < 30) & v.contains(":")))
     w = W.partitionBy(*KEY).orderBy("row")
     marked = base.withColumns({"__label": label, "__value": value}).withColumn("__pl", F.lag("__label").over(w))
     paired = _pair_up(marked, F.col("__value") & F.coalesce("__pl", F.lit(False))).withColumn("__n", F.lead("__v").over(w)).where(~F.col("__swallowed"))
@@ -240,9 +245,11 @@ def pair_label_rows(rows: DataFrame) -> DataFrame:
 
 def pair_bill_rows(rows: DataFrame, ahead: int = 2) -> DataFrame:
     """K9: 'label: value' cells are split; a label without value looks for it in the next ``ahead`` rows
-    (first text without a colon, else second column) and consumes the rows up to it."""
+    (first text without a colon, else second column) and consumes the rows up to it. Of other rows the first text
+    is the label and the rest the value."""
     def is_label(t: str) -> bool:
-        return (len(t) < 50 and ":" in t) or any(w in t.lower() for w in BILL_LABEL_WORDS)
+        low = t.lower()
+        return (len(t) < 50 and (":" in t or low in BILL_LABEL_NAMES)) or any(w in low for w in BILL_LABEL_WORDS)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         grid = [[str(x["v"]).strip() for x in vals] for vals in pdf.sort_values("row").vals]
@@ -266,7 +273,7 @@ def pair_bill_rows(rows: DataFrame, ahead: int = 2) -> DataFrame:
                         break
                 out.append((row[0], value))
             else:
-                out.append((texts[0], texts[-1] if len(texts) > 1 else ""))
+                out.append((texts[0], " ".join(texts[1:])))
                 i += 1
         done = pd.DataFrame(out, columns=["label", "value"])
         return done.assign(doc_id=pdf.doc_id.iloc[0], page=pdf.page.iloc[0], row=range(len(out)))[["doc_id", "page", "row", "label", "value"]]

@@ -62,7 +62,25 @@ def drop_repeated_rows(t: Tables) -> DataFrame:
     return K.drop_repeated_rows(sheet(t))
 
 
-@query("k4_split_collapsed_rows")
+def _clean_parts(v: str, mark: str) -> str:
+    return f"list_filter(list_transform(string_split({v}, {mark}), lambda s: {strip('s')}), lambda s: s <> '')"
+
+
+def _by_parts(source: str) -> str:
+    """Rows (vals, place, p): one row for each part in p, alone in its column, or the row as it is."""
+    return f"""SELECT {KEY}, row, u.c AS col, CASE WHEN part IS NULL THEN u.v WHEN u.c = place THEN part ELSE '' END AS value FROM (
+  SELECT {KEY}, row_number() OVER (PARTITION BY {KEY} ORDER BY row0, i) - 1 AS row, place, part, unnest(vals) AS u FROM (
+    SELECT {KEY}, s.row AS row0, place, vals, i, p[i] AS part FROM ({source}) s, unnest(range(1, COALESCE(len(p), 1) + 1)) r(i)))"""
+
+
+PERIODS = "(length({0}) - length(replace({0}, '.', '')))"
+SENTENCES = f"list_transform({_clean_parts('v', "'.'")}, lambda s: s || '.')"
+
+
+@query("k4_split_collapsed_rows", _by_parts(f"""SELECT *, CASE WHEN needs THEN CASE WHEN contains(v, chr(10)) AND len({_clean_parts('v', 'chr(10)')}) > 0 THEN {_clean_parts('v', 'chr(10)')}
+    WHEN {PERIODS.format('v')} > 2 AND NOT contains(v, chr(10)) AND len({SENTENCES}) > 1 THEN {SENTENCES} END END AS p
+  FROM (SELECT *, -best.o AS place, best.v AS v FROM (SELECT *, list_sort(list_transform(vals, lambda x: {{'n': length(x.v), 'o': -x.c, 'v': x.v}}), 'DESC')[1] AS best,
+    len(list_filter(vals, lambda x: {PERIODS.format('x.v')} > 2 OR contains(x.v, chr(10)) OR contains(x.v, '  '))) > 0 AS needs FROM {ROWS}))"""))
 def split_collapsed_rows(t: Tables) -> DataFrame:
     return K.cells_of(K.split_collapsed_rows(rows(t)))
 
@@ -80,7 +98,9 @@ def split_label_value(t: Tables) -> DataFrame:
     return K.cells_of(K.split_label_value(rows(t)))
 
 
-@query("k6_split_delimited_rows")
+@query("k6_split_delimited_rows", _by_parts(f"""SELECT *, CASE WHEN len(q) > 1 THEN q END AS p FROM (
+  SELECT *, mark.c AS place, CASE WHEN contains(mark.v, '|') THEN {_clean_parts('mark.v', "'|'")} ELSE {_clean_parts('mark.v', "';'")} END AS q
+  FROM (SELECT *, list_filter(vals, lambda x: contains(x.v, '|') OR contains(x.v, ';'))[1] AS mark FROM {ROWS}))"""))
 def split_delimited_rows(t: Tables) -> DataFrame:
     return K.cells_of(K.split_delimited_rows(rows(t)))
 
@@ -267,9 +287,22 @@ def split_cells(t: Tables) -> DataFrame:
     return K.split_cells(rows(t))
 
 
-@query("k27_pair_label_rows")
+V0 = strip("vals[1].v")
+PAIR_LABEL = f"""(alone AND ({any_of('low', K.PAIR_LABEL_WORDS + K.PAIR_NEXT_WORDS + K.PAIR_HINDI_WORDS)} OR (length(v) < 50 AND (contains(v, ':') OR
+  (contains(v, ' ') AND NOT (upper(v) = v AND lower(v) <> v AND length(v) > 1) AND NOT regexp_matches(replace(v, ' ', ''), '^\\p{{Nd}}+$'))))))"""
+PAIR_VALUE = f"""(alone AND NOT ({any_of('low', K.PAIR_NEXT_WORDS + K.PAIR_HINDI_WORDS)} OR regexp_matches(low, '{"|".join(K.PAIR_LABEL_PATTERNS)}') OR (length(v) < 30 AND contains(v, ':'))))"""
+
+
+@query("k27_pair_label_rows", f"""
+WITH RECURSIVE a AS (SELECT {KEY}, vals, {V0} AS v, lower({V0}) AS low, row_number() OVER (PARTITION BY {KEY} ORDER BY row) AS rn,
+  vals[1].c = 0 AND len(list_filter(vals, lambda x: x.c >= 1 AND {strip('x.v')} <> '')) = 0 AS alone FROM {ROWS}),
+r AS (SELECT {KEY}, vals, v, rn, {PAIR_VALUE} AND COALESCE(lag({PAIR_LABEL}) OVER (PARTITION BY {KEY} ORDER BY rn), false) AS joins FROM a),
+st AS (SELECT {KEY}, rn, vals, v, false AS swallowed FROM r WHERE rn = 1
+  UNION ALL SELECT r.doc_id, r.page, r.rn, r.vals, r.v, r.joins AND NOT s.swallowed FROM st s JOIN r ON r.doc_id = s.doc_id AND r.page = s.page AND r.rn = s.rn + 1)
+SELECT {KEY}, row, u.c AS col, u.v AS value FROM (SELECT {KEY}, row_number() OVER (PARTITION BY {KEY} ORDER BY rn) - 1 AS row, unnest(vals) AS u FROM (
+  SELECT {KEY}, rn, swallowed, CASE WHEN lead(swallowed) OVER (PARTITION BY {KEY} ORDER BY rn) THEN [{{'c': 0, 'v': v}}, {{'c': 1, 'v': lead(v) OVER (PARTITION BY {KEY} ORDER BY rn)}}] ELSE vals END AS vals FROM st) WHERE NOT swallowed)""")
 def pair_label_rows(t: Tables) -> DataFrame:
-    return K.pair_label_rows(K.rows_of(sheet(t).where((F.col("col") == 0) | (F.col("row") % 4 == 0))))
+    return K.pair_label_rows(rows(t))
 
 
 @query("k28_normalised_style", rf"""SELECT {KEY}, row, col, CASE WHEN merged THEN 'center' WHEN TRY_CAST({strip("replace(replace(replace(value, ',', ''), '₹', ''), '$', '')")} AS DOUBLE) IS NOT NULL THEN 'right' ELSE 'left' END AS align,

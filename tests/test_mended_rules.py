@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from quillmeter.operators import cells as K
 from quillmeter.operators import layout as J
 from quillmeter.operators import ledger as L
 from quillmeter.operators import pagefolds as P
@@ -91,3 +92,22 @@ def test_merge_sums_long_targets_in_stretches(spark):
     members = spark.createDataFrame([("t", d, 1000 * d - 9000) for d in range(30)], "target string, doc_id long, seq long")
     got = sorted((r.new_page, r.doc_id, r.page_no) for r in M.merge_documents(pages, members).collect())
     assert got == [(2 * d + p, d, p) for d in range(30) for p in range(1, 3)]
+
+
+def sheet(spark, rows):
+    cells = [(1, 0, r, c, v) for r, row in enumerate(rows) for c, v in enumerate(row)]
+    return K.rows_of(spark.createDataFrame(cells, "doc_id long, page long, row long, col long, value string"))
+
+
+def test_bill_labels_and_middle_cells(spark):
+    rows = sheet(spark, [["Payment mode", ""], ["by card", ""], ["website url", ""], ["example.org", ""], ["a", "middle", "z"]])
+    got = [(r.label, r.value) for r in K.pair_bill_rows(rows).orderBy("row").collect()]
+    assert got == [("Payment mode", "by card"), ("website url", "example.org"), ("a", "middle z")]
+
+
+def test_labels_do_not_take_labels(spark):
+    rows = sheet(spark, [["Biller Name"], ["Payment Status"], ["ACME"], ["address"], ["HIGH STREET 5"], ["नाम"], ["RAM"]])
+    got = {}
+    for r in K.pair_label_rows(rows).collect():
+        got.setdefault(r.row, {})[r.col] = r.value
+    assert [got[k] for k in sorted(got)] == [{0: "Biller Name"}, {0: "Payment Status", 1: "ACME"}, {0: "address", 1: "HIGH STREET 5"}, {0: "नाम", 1: "RAM"}]
