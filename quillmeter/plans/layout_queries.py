@@ -11,6 +11,7 @@ from quillmeter.plans.profile_queries import words
 from quillmeter.plans.registry import Tables, query
 from quillmeter.plans.sqltext import text_list
 from quillmeter.plans.wordsql import WORDS
+from quillmeter.session import ensure_checkpoint_dir
 from quillmeter.sources import words as S
 
 KEY = "doc_id, page"
@@ -461,24 +462,30 @@ def body_rows(t: Tables) -> DataFrame:
     return J.body_rows_for_soft_mode(unit(t))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Written once to the shared checkpoint folder, for results that a query reads several times."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 @query("j38_soft_table")
 def soft_table(t: Tables) -> DataFrame:
     numbered_rows = J.with_row_number(unit(t), J.rounded_y(100))
     header, body = numbered_rows.where("row = 0"), numbered_rows.where("row > 0").drop("row")
-    merged = P.merge_vertical(body).persist()
+    merged = settled(P.merge_vertical(body))
     found = P.leader_columns(J.with_row_number(merged, J.rounded_y(50)), 0.05, 3)
     return J.soft_table(header, merged, found)
 
 
 @query("j39_visual_grid")
 def visual_grid(t: Tables) -> DataFrame:
-    merged = P.merge_numeric_pieces(unit(t)).persist()
+    merged = settled(P.merge_numeric_pieces(unit(t)))
     return J.visual_grid(merged, P.leader_columns(J.with_row_number(merged, J.rounded_y(50)), 0.05, 3))
 
 
 @query("j39_hybrid_grid")
 def hybrid_grid(t: Tables) -> DataFrame:
-    merged = P.merge_numeric_pieces(unit(t)).persist()
+    merged = settled(P.merge_numeric_pieces(unit(t)))
     return J.visual_grid(merged, P.leader_columns(J.with_row_number(merged, J.rounded_y(100)), 0.06), 100, 0.08)
 
 
