@@ -14,9 +14,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLES = 32
-#: Equal shares into which the gamma law is cut for its quantile tables.
-R_CELLS, C_CELLS = 512, 256
+SAMPLES = 40
+#: Equal shares into which the gamma law is cut for its quantile tables, as bits of a hash.
+R_BITS, C_BITS = 7, 6
+R_CELLS, C_CELLS = 1 << R_BITS, 1 << C_BITS
 #: Documents per range of ids, and the most ranges: 1024 quantiles of up to 64 equal parts.
 RANGE_ROWS, QUANTILES, PARTS = 1024, 1024, 64
 #: Draws lie between -60 and 10; they are kept as ``(value + OFFSET) * 2**54`` above 16 bits of the pair.
@@ -98,8 +99,8 @@ def gamma_quantile(u: float) -> float:
 
 
 def _tables() -> list[Column]:
-    """``r`` at the middle of each of 512 equal shares; ``ln c`` at the borders of 256 shares and its rise over each;
-    the same for 256 equal parts of the lowest of them, which decides most minima."""
+    """``r`` at the middle of each of 128 equal shares; ``ln c`` at the borders of 64 shares and its rise over each;
+    the same for 64 equal parts of the lowest of them, which decides most minima. Short tables keep plans small."""
     r = [gamma_quantile((i + 0.5) / R_CELLS) for i in range(R_CELLS)]
     out = [r]
     for scale in (C_CELLS, C_CELLS * C_CELLS):
@@ -111,15 +112,16 @@ def _tables() -> list[Column]:
 def _draw(k: int, tables: list[Column]) -> Column:
     """The word's draw for sample ``k``, packed so that the least number has the least draw.
 
-    One hash gives 9 bits for ``r``, 32 for ``c`` and 23 for ``beta``. Gamma quantiles come from tables, linear
+    One hash gives 7 bits for ``r``, 30 for ``c`` and 23 for ``beta``. Gamma quantiles come from tables, linear
     within a share.
     """
     r_table, c_table, c_rise, low_table, low_rise = tables
     x = F.expr(f"xxhash64(term, {k})")
     part = lambda shift, bits: F.shiftrightunsigned(x, shift).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
-    r = r_table[part(0, 9)]
+    r = r_table[part(0, R_BITS)]
     beta = (part(9, 23) + 0.5) * (1.0 / (1 << 23))
-    cell, within, sub, below = part(32, 8), part(40, 24) * (1.0 / (1 << 24)), part(56, 8), part(40, 16) * (1.0 / (1 << 16))
+    cell, within = part(32, C_BITS), part(40, 24) * (1.0 / (1 << 24))
+    sub, below = part(64 - C_BITS, C_BITS), part(40, 24 - C_BITS) * (1.0 / (1 << (24 - C_BITS)))
     ln_c = F.when(cell == 0, low_table[sub] + below * low_rise[sub]).otherwise(c_table[cell] + within * c_rise[cell])
 
     t = F.floor(F.col("w") / r + beta)
