@@ -200,8 +200,8 @@ def _at(sep: str) -> str:
 
 @query("k15_key_value_split")
 def key_value_split(t: Tables) -> DataFrame:
-    one = sheet(t).where((F.col("col") == 0) & K.filled())
-    return one.select(*J.KEY, "row", K.key_value_split("value").alias("p")).select(*J.KEY, "row", "p.*")
+    cells_ = sheet(t).where(K.filled())
+    return cells_.select(*J.KEY, "row", "col", K.key_value_split("value").alias("p")).select(*J.KEY, "row", "col", "p.*")
 
 
 @query("k16_needs_pairing", f"""SELECT *, rows >= 3 AND (rows_with_second / rows < 0.7 OR 1 - rows_with_second / rows > 0.3) AS apply_pairing FROM (
