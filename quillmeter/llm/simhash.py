@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmeter.llm.common import materialised, with_text_columns
@@ -28,6 +28,8 @@ BITS = 64
 SEED = 42
 #: Members of a bucket above which the way by common neighbours is cheaper than comparing.
 LARGE_BUCKET = 200
+#: Texts and shingles of a block, when texts of a bucket are compared block by block.
+BLOCK_TEXTS, BLOCK_SHINGLES = 32, 50_000
 
 
 def shingle_hashes(text: str, size: int) -> np.ndarray:
@@ -337,8 +339,8 @@ def keep_one_of_each_group(
     Groups are the components of two kinds of links. SimHash links: fingerprints of all shingles within
     ``differing`` bits. At a Jaccard similarity of 0.8 such fingerprints differ in about ten bits of 64, too many for
     selective probes; so each text also gets the fingerprints of ``views`` min-wise samples of its shingles, which copies
-    share on some view (probability over 0.99 at 0.8). Texts that agree on a view are compared with the first such
-    text, and linked if their similarity is at least ``least``. Equal texts are one node. Null texts count as empty,
+    share on some view (probability over 0.99 at 0.8). Texts that agree on a view are linked if their similarity is
+    at least ``least``, all of them and not only those near one text. Equal texts are one node. Null texts count as empty,
     and texts without words are copies of each other. All columns stay; a repeated row is a copy.
     """
     columns = docs.columns
@@ -368,12 +370,35 @@ def keep_one_of_each_group(
 
 
 def _compared(rows: DataFrame, nodes: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Links (a, b) of texts to the first text with the same sample, where they are similar enough."""
+    """Links (a, b) that connect all texts which share a sample and are similar enough.
+
+    Each text of a bucket (a sample of one view) meets the bucket's first text; what is not linked to it meets the
+    text of the bucket with the most links so far. Both rounds only save work: then every two texts of a bucket that
+    are not yet in one component are compared.
+    """
+    bucket = ["view", "print"]
     views = nodes.select("node", F.posexplode("samples").alias("view", "print"))
-    first = views.groupBy("view", "print").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
-    first = materialised(first.select("view", "print", "b"), "dedup-views")
-    pairs = views.join(first, ["view", "print"]).where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    pairs = materialised(pairs, "dedup-pairs")
+    first = views.groupBy(*bucket).agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
+    shared = materialised(views.join(first.select(*bucket, "b"), bucket), "dedup-views")
+    by_first = _similar_pairs(rows, shared.select(F.col("node").alias("a"), "b"), shingle, least)
+
+    linked = by_first.select(F.col("a").alias("node"), "b", F.lit(True).alias("linked"))
+    met = shared.join(linked, ["node", "b"], "left").select(*bucket, "node", (F.col("linked").isNotNull() | (F.col("node") == F.col("b"))).alias("linked"))
+    ends = by_first.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    open_ = met.where("NOT linked").select(*bucket).distinct()
+    ranked = met.join(open_, bucket, "left_semi").join(ends, "node", "left").join(first.select(*bucket, "b"), bucket).where("node <> b")
+    rank = F.struct(F.coalesce("links", F.lit(0)), -F.col("node"))
+    second = ranked.groupBy(*bucket).agg(F.max_by("node", rank).alias("b"))
+    by_second = _similar_pairs(rows, met.where("NOT linked").join(second, bucket).select(F.col("node").alias("a"), "b"), shingle, least)
+
+    links = materialised(by_first.unionByName(by_second), "dedup-links")
+    return links.unionByName(_rest_compared(rows, shared.select(*bucket, "node"), links, shingle, least))
+
+
+def _similar_pairs(rows: DataFrame, pairs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs (a, b) of different nodes, each once, whose texts are similar enough."""
+    pairs = pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    pairs = materialised(pairs.distinct(), "dedup-pairs")
     texts = rows.select("row", "body")
     with_a = pairs.join(texts.select(F.col("row").alias("a"), F.col("body").alias("x")), "a")
     with_both = with_a.join(texts.select(F.col("row").alias("b"), F.col("body").alias("y")), "b")
@@ -384,4 +409,44 @@ def _compared(rows: DataFrame, nodes: DataFrame, shingle: int, least: float) ->
             good = [i for i in range(len(a)) if similar(x[i], y[i], shingle) >= least]
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], names=["a", "b"])
 
-    return with_both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return materialised(with_both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "dedup-similar")
+
+
+def _rest_compared(rows: DataFrame, members: DataFrame, links: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Links (a, b) of all similar texts of one bucket (view, print) that ``links`` do not connect yet.
+
+    Texts of a bucket are dealt into blocks, those of its largest component apart from the others; two blocks meet in
+    one row and only similar pairs leave it. Blocks of the largest component do not meet each other.
+    """
+    bucket = ["view", "print"]
+    roots = components(links, "a", "b")
+    rooted = members.join(roots, "node", "left").select(*bucket, "node", F.coalesce("root", "node").alias("root"))
+    parts = rooted.groupBy(*bucket, "root").agg(F.count("*").alias("n"))
+    most = parts.groupBy(*bucket).agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count("*").alias("parts")).where("parts > 1")
+    apart = rooted.join(most.select(*bucket, "major"), bucket).withColumn("major", F.col("root") == F.col("major"))
+    apart = materialised(apart, "dedup-apart")
+
+    def make() -> Callable[[list[str]], list]:
+        return lambda texts: [[np.unique(shingle_hashes(t, shingle)).astype(np.int64) for t in texts]]
+
+    wanted = rows.join(apart.select(F.col("node").alias("row")).distinct(), "row", "left_semi")
+    sets = with_text_columns(wanted, "body", make, {"set": "array<long>"}, ["row"]).withColumn("size", F.size("set"))
+    sets = materialised(sets.withColumnRenamed("row", "node"), "dedup-sets")
+    sized = apart.join(sets.select("node", "size"), "node").groupBy(*bucket, "major").agg(
+        F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("size") / BLOCK_SHINGLES)).alias("blocks")
+    )
+    dealt = apart.join(sized, [*bucket, "major"]).select(*bucket, "major", F.pmod(F.xxhash64("node", F.lit(7)), "blocks").alias("block"), "node", "root")
+    blocks = dealt.join(sets, "node").groupBy(*bucket, "major", "block").agg(F.collect_list(F.struct("node", "root", "size", "set")).alias("texts"))
+    blocks = materialised(blocks, "dedup-blocks")
+    side = lambda s: blocks.select(*bucket, *[F.col(c).alias(f"{c}_{s}") for c in ("major", "block", "texts")])
+    ordered = F.when(F.col("major_x") == F.col("major_y"), F.col("block_x") <= F.col("block_y")).otherwise(F.col("major_y"))
+    met = side("x").join(side("y"), bucket).where(~(F.col("major_x") & F.col("major_y")) & ordered)
+
+    def alike(x: Column, y: Column) -> Column:
+        total = x["size"] + y["size"]
+        enough = F.exists(F.array(F.size(F.array_intersect(x["set"], y["set"]))), lambda n: n / (total - n) >= least)
+        bound = F.least(x["size"], y["size"]) >= F.greatest(x["size"], y["size"]) * (least - 1e-9)
+        return (x["root"] != y["root"]) & bound & ((total == 0) | enough)
+
+    found = F.transform("texts_x", lambda x: F.transform(F.filter("texts_y", lambda y: alike(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"))))
+    return materialised(met.select(F.explode(F.flatten(found)).alias("e")).select("e.a", "e.b"), "dedup-rest")

@@ -312,3 +312,43 @@ def test_run_packs_what_the_stages_kept(spark, small_dir):
     assert out.columns == packing.COLUMNS
     pieces = out.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
     assert all(r.n == 2048 or r.n & (r.n - 1) == 0 for r in pieces) and pieces
+
+
+def star(n_words=400, copies=12, changes=7):
+    """Independent copies of one text, which stands last: each is like it, no two are like each other."""
+    rng = random.Random(11)
+    centre = [f"w{rng.randrange(10**6)}" for _ in range(n_words)]
+    out = []
+    for c in range(copies):
+        copy = list(centre)
+        for k in range(changes):
+            copy[(c * 4 + k * (n_words // changes)) % n_words] = f"x{c}-{k}"
+        out.append(" ".join(copy))
+    return [*out, " ".join(centre)]
+
+
+def test_star_around_a_later_text_is_one_group(make_docs):
+    texts = star()
+    like = [[simhash.similar(a, b, 5) for b in texts] for a in texts]
+    assert min(like[-1]) >= 0.8 and max(like[i][j] for i in range(12) for j in range(i)) < 0.8
+    kept = simhash.keep_one_of_each_group(make_docs(texts).coalesce(1), differing=0).collect()
+    assert [r.doc_id for r in kept] == [0]
+
+
+@pytest.mark.parametrize("texts_in_block", [1, 3, 32])
+def test_all_texts_of_a_bucket_are_compared(spark, make_docs, monkeypatch, texts_in_block):
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", texts_in_block)
+    rng = random.Random(5)
+    letters = "abcdefghij"
+    texts = ["".join(rng.choice(letters) + " " for _ in range(rng.randint(5, 8))) for _ in range(12)]
+    texts += [t + rng.choice(letters) for t in texts for _ in range(3)] + ["", " "]
+    rows = make_docs(texts).select(F.col("doc_id").alias("row"), F.col("text").alias("body"))
+    nodes = rows.select(F.col("row").alias("node"), F.array(F.lit(1).cast("long")).alias("samples"))
+    roots = {r.node: r.root for r in components(simhash._compared(rows, nodes, 1, 0.8), "a", "b").collect()}
+    best = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(texts):
+            for j, b in enumerate(texts):
+                if simhash.similar(a, b, 1) >= 0.8:
+                    best[i] = best[j] = min(best[i], best[j])
+    assert len(set(best)) > 4 and [roots.get(i, i) for i in range(len(texts))] == best
