@@ -336,11 +336,11 @@ def keep_one_of_each_group(
 ) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each group the first row in the order of the input stays.
 
-    Groups are the components of two kinds of links. SimHash links: fingerprints of all shingles within
-    ``differing`` bits. At a Jaccard similarity of 0.8 such fingerprints differ in about ten bits of 64, too many for
-    selective probes; so each text also gets the fingerprints of ``views`` min-wise samples of its shingles, which copies
-    share on some view (probability over 0.99 at 0.8). Texts that agree on a view are linked if their similarity is
-    at least ``least``, all of them and not only those near one text. Equal texts are one node. Null texts count as empty,
+    Groups are the components of links between texts whose Jaccard similarity is at least ``least``, looked for in two
+    ways. Texts whose SimHash fingerprints hang together within ``differing`` bits are compared. At a similarity of 0.8
+    such fingerprints differ in about ten bits of 64, too many for selective probes; so each text also gets the
+    fingerprints of ``views`` min-wise samples of its shingles, which copies share on some view (probability over 0.99 at
+    0.8), and all texts that agree on a view are compared. Equal texts are one node. Null texts count as empty,
     and texts without words are copies of each other. All columns stay; a repeated row is a copy.
     """
     columns = docs.columns
@@ -357,13 +357,11 @@ def keep_one_of_each_group(
     # equal texts: one node, the first row
     same = rows.select("row", "fp", F.xxhash64("body").alias("h1"), F.xxhash64("body", F.lit(1)).alias("h2"), "samples")
     nodes = materialised(same.groupBy("h1", "h2").agg(F.min("row").alias("node"), F.first("fp").alias("fp"), F.first("samples").alias("samples")), "dedup-nodes")
-    prints = materialised(nodes.groupBy("fp").agg(F.min("node").alias("first")), "dedup-prints")
-    on_bits = links(prints.select("fp"), differing)
-    name = lambda side: prints.select(F.col("fp").alias(side), F.col("first").alias(f"n_{side}"))
-    by_bits = on_bits.join(name("a"), "a").join(name("b"), "b").select(F.col("n_a").alias("a"), F.col("n_b").alias("b"))
-    by_print = nodes.join(prints.select("fp", "first"), "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    by_view = _compared(rows, nodes, shingle, least)
-    roots = components(by_bits.unionByName(by_print).unionByName(by_view), "a", "b")
+    prints = materialised(nodes.select("fp").distinct(), "dedup-prints")
+    # fingerprints that hang together within ``differing`` bits are one more bucket of each text
+    close = components(links(prints, differing), "a", "b").select(F.col("node").alias("fp"), F.col("root").alias("close"))
+    placed = nodes.join(close, "fp", "left").select("node", F.array_append("samples", F.coalesce("close", "fp")).alias("samples"))
+    roots = components(_compared(rows, materialised(placed, "dedup-placed"), shingle, least), "a", "b")
     lost = roots.where("node <> root").select(F.col("node").alias("row"))
     first = nodes.select(F.col("node").alias("row")).join(lost, "row", "left_anti")
     return rows.join(first, "row", "left_semi").select("doc.*")
@@ -372,9 +370,9 @@ def keep_one_of_each_group(
 def _compared(rows: DataFrame, nodes: DataFrame, shingle: int, least: float) -> DataFrame:
     """Links (a, b) that connect all texts which share a sample and are similar enough.
 
-    Each text of a bucket (a sample of one view) meets the bucket's first text; what is not linked to it meets the
-    text of the bucket with the most links so far. Both rounds only save work: then every two texts of a bucket that
-    are not yet in one component are compared.
+    Each text of a bucket (a sample of one view, or close fingerprints) meets the bucket's first text; what is not
+    linked to it meets the text of the bucket with the most links so far. Both rounds only save work: then every two
+    texts of a bucket that are not yet in one component are compared.
     """
     bucket = ["view", "print"]
     views = nodes.select("node", F.posexplode("samples").alias("view", "print"))

@@ -352,3 +352,11 @@ def test_all_texts_of_a_bucket_are_compared(spark, make_docs, monkeypatch, texts
                 if simhash.similar(a, b, 1) >= 0.8:
                     best[i] = best[j] = min(best[i], best[j])
     assert len(set(best)) > 4 and [roots.get(i, i) for i in range(len(texts))] == best
+
+
+def test_close_fingerprints_alone_make_no_copy(make_docs):
+    passage = "one two three four five six seven " * 60
+    texts = [passage + " ".join(f"{name}{i}" for i in range(20)) for name in "abc"]
+    prints = {simhash.majority(simhash.shingle_hashes(t, 5)) for t in texts}
+    assert len(prints) == 1 and simhash.similar(texts[0], texts[1], 5) < 0.5
+    assert simhash.keep_one_of_each_group(make_docs([*texts, texts[0]])).count() == 3
