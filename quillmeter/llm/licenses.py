@@ -1,13 +1,14 @@
 """License scans with a positional index of rare words.
 
 The words of known licence notices are indexed by position. Document frequencies over the whole corpus give their
-rarity. In a text, the rarest licence words present are looked up; their postings vote for alignments (a template
-and the offset of its first word), and the best alignment of each template is scored by the rarity-weighted share
-of template words found at their places. A template counts only with its mandatory phrase.
+rarity. For each template whose mandatory phrase occurs, its rarest words present in the text propose alignments (the
+offset of its first word). Each alignment is scored by the rarity-weighted share of template words found at their
+places, and all that score enough are reported.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections import defaultdict
 from collections.abc import Callable
@@ -61,48 +62,52 @@ def phrase_places(line: bytes, phrase: bytes) -> list[int]:
 
 
 class PositionalIndex:
-    """Postings of the template words, and the rarity of each word."""
+    """Words and mandatory phrases of the templates, and the rarity of each word."""
 
     def __init__(self, document_counts: dict[str, int], n_docs: int) -> None:
         self.idf = {w: math.log((n_docs + 1) / (document_counts.get(w.decode(), 0) + 0.5)) for w in LEXICON}
         self.texts = [[w.encode() for w in t.split()] for _, _, t in TEMPLATES]
         self.weights = [sum(self.idf[w] for w in t) or 1.0 for t in self.texts]
         self.mandatory = [tuple(f" {p} ".encode() for p in m) for _, m, _ in TEMPLATES]
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for k, words in enumerate(self.texts):
-            for i, w in enumerate(words):
-                self.postings[w].append((k, i))
 
     def matches(self, words: list[bytes], line: bytes, rarest: int = 12, least: float = 0.6) -> list[tuple[str, int, float]]:
-        """(label, first word, score) of the templates found: best alignment each, score at least ``least``.
+        """(label, first word, score) of every alignment of a template with a score of at least ``least``.
 
-        The ``rarest`` licence words of the text propose alignments; every place of such a word is used.
+        The ``rarest`` words of a template that are present propose its alignments, and so many more that an alignment
+        on none of them can not reach ``least``; every place of such a word is used. Of alignments that overlap the
+        better one counts.
         """
-        present = LEXICON.intersection(words)
-        if not present:
-            return []
         able = [k for k, phrases in enumerate(self.mandatory) if any(p in line for p in phrases)]
         if not able:
             return []
-        wanted = set(sorted(present, key=lambda w: (-self.idf[w], w))[:rarest])
+        wanted = set().union(*(self.texts[k] for k in able))
         places: dict[bytes, list[int]] = defaultdict(list)
         for i, w in enumerate(words):
             if w in wanted:
                 places[w].append(i)
-        starts: dict[int, dict[int, float]] = {k: defaultdict(float) for k in able}
-        for w, at in places.items():
-            for k, i in self.postings[w]:
-                if k in starts:
-                    for p in at:
-                        starts[k][p - i] += self.idf[w]
         out = []
-        for k, votes in starts.items():
-            if not votes:
-                continue
-            start = min(votes, key=lambda s: (-votes[s], s))
-            hit = sum(self.idf[w] for i, w in enumerate(self.texts[k]) if 0 <= start + i < len(words) and words[start + i] == w)
-            if (score := hit / self.weights[k]) >= least:
-                out.append((TEMPLATES[k][0], max(start, 0), score))
+        for k in able:
+            template = self.texts[k]
+            present = sorted({w for w in template if w in places}, key=lambda w: (-self.idf[w], w))
+            left = sum(self.idf[w] for w in template if w in places)
+            starts: set[int] = set()
+            for n, w in enumerate(present):
+                if n >= rarest and left / self.weights[k] < least - 1e-9:
+                    break
+                at = [i for i, t in enumerate(template) if t == w]
+                starts.update(p - i for p in places[w] for i in at)
+                left -= self.idf[w] * len(at)
+            scored = []
+            for start in starts:
+                hit = sum(self.idf[w] for i, w in enumerate(template) if 0 <= start + i < len(words) and words[start + i] == w)
+                if (score := hit / self.weights[k]) >= least:
+                    scored.append((score, start))
+            taken: list[int] = []  # first words, ascending and at least a template apart
+            for score, start in sorted(scored, key=lambda x: (-x[0], x[1])):
+                at = bisect.bisect(taken, start)
+                if all(abs(start - t) >= len(template) for t in taken[max(at - 1, 0) : at + 1]):
+                    taken.insert(at, start)
+                    out.append((TEMPLATES[k][0], max(start, 0), score))
         return out
 
 

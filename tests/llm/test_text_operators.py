@@ -142,6 +142,18 @@ def test_licence_scan(make_docs, odd_docs):
     assert licenses.scan(odd_docs.limit(0)).count() == 0
 
 
+def test_every_notice_of_a_text_is_found():
+    templates = [" ".join(t.split()) for _, _, t in licenses.TEMPLATES]
+    common = {w: 900 for w in "licensed under cc by 4 0".split()}
+    index = licenses.PositionalIndex(common, 1000)
+    text = "\n\n".join([*templates, "and so on", "licensed under cc by 4 0"])
+    found = licenses.scan_text(index, text)
+    assert found[5].split(",") == sorted({label for label, _, _ in licenses.TEMPLATES})
+    words = licenses.words_of(text)
+    at = [i for i in range(len(words)) if words[i : i + 6] == b"licensed under cc by 4 0".split()]
+    assert len(at) == 2 and {("cc-by", i, 1.0) for i in at} <= set(found[7])
+
+
 # --- quality ----------------------------------------------------------------------------------------------------------------
 
 
