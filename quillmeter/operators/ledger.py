@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmeter.functions.exprs import first_rule, micros
+from quillmeter.operators.paths import CHUNK_ROWS, entering_states, finished_chunks, numbered, split_hot
 from quillmeter.operators.scans import ordered_fold, running_total, time_chunk, top_k
+from quillmeter.sources.sinks import written
 
 MAX_DEDUCTION = 1000
 EXPIRY_DAYS = 90
@@ -31,34 +33,92 @@ def running_balance(
     return running_total(ledger, [user], [ts, tie], {out: F.col(change)}, time_chunk(ts, chunk_seconds))
 
 
-ACCOUNT_STATE = "credits long, expires long, last_used long"
+ACCOUNT_STATE = "credits long, deadline long, used boolean"
 ACCOUNT_ROWS = "user_id long, event_id long, at_us long, type string, amount long"
 ACCOUNT_OUT = "accepted boolean, balance long, expired_credits long"
 
 
 def account_step(keep: int):
-    """One ledger event against [credits, expires, last_used]: expire if due, then grant or deduct."""
+    """One ledger event against [credits, deadline, used]: expire if due, then grant or deduct.
+
+    The deadline is ``keep`` after the last accepted deduction; before the first one, after the purchase that found no
+    running deadline.
+    """
 
     def step(s: list, row: tuple) -> tuple[bool, int, int]:
         now, kind, amount, gone = row[2], row[3], row[4], 0
-        if s[1] is not None and s[0] > 0 and (s[2] + keep if s[2] is not None else s[1]) < now:
+        if s[1] is not None and s[0] > 0 and s[1] < now:
             gone, s[0] = s[0], 0
         if kind == "purchase":
             s[0] += amount
-            if s[1] is None or s[1] < now:
+            if not s[2] and (s[1] is None or s[1] < now):
                 s[1] = now + keep
             return True, s[0], gone
         if s[0] < amount:
             return False, s[0], gone
         s[0] -= amount
-        s[1], s[2] = now + keep, now
+        s[1], s[2] = now + keep, True
         return True, s[0], gone
 
     return step
 
 
 def account_start() -> list:
-    return [0, None, None]
+    return [0, None, False]
+
+
+#: Entering balances low..high and deadlines from..until make the same decisions; then the balance changes by ``shift`` or
+#: becomes ``fixed``, and the deadline stays or becomes ``set_to``.
+ACCOUNT_PIECE = (
+    "low long, high long, since long, until long, unset boolean, used_before boolean, "
+    "shift long, fixed long, set_to long, used_after boolean"
+)
+LEAST, MOST = -(2**63), 2**63 - 1
+
+
+def account_piece(keep: int):
+    """The piece of a chunk's map around one entering state; None: an empty account with a running deadline."""
+
+    def run(rows: list[tuple], entering: tuple | None) -> tuple:
+        credits, deadline, used = entering or (0, rows[0][2] + keep, True)
+        first, unset, used_before = credits, deadline is None, used
+        low, high, since, until, open_balance, own_deadline = LEAST, MOST, LEAST, MOST, True, False
+        for row in rows:
+            now, kind, amount = row[2], row[3], row[4]
+            due = deadline is not None and deadline < now
+            if deadline is not None and not own_deadline:
+                since, until = (since, min(until, now)) if due else (max(since, now), until)
+            if due:
+                credits, open_balance = 0, False
+            if kind == "purchase":
+                credits += amount
+                if not used and (deadline is None or due):
+                    deadline, own_deadline = now + keep, True
+                continue
+            accepted = credits >= amount
+            if open_balance:
+                limit = amount - (credits - first)
+                low, high = (max(low, limit), high) if accepted else (low, min(high, limit - 1))
+            if accepted:
+                credits -= amount
+                deadline, used, own_deadline = now + keep, True, True
+        shift, fixed = (credits - first, None) if open_balance else (None, credits)
+        return low, high, since, until, unset, used_before, shift, fixed, deadline if own_deadline else None, used
+
+    return run
+
+
+def piece_holds(piece: tuple, state: tuple) -> bool:
+    low, high, since, until, unset, used_before = piece[:6]
+    balance, deadline, used = state
+    if used != used_before or unset != (deadline is None) or not low <= balance <= high:
+        return False
+    return deadline is None or since <= deadline < until or (until == MOST and since <= deadline)
+
+
+def leaving(piece: tuple, state: tuple) -> tuple:
+    shift, fixed, set_to, used = piece[6:]
+    return (state[0] + shift if fixed is None else fixed, state[1] if set_to is None else set_to, used)
 
 
 def account_rows(ledger: DataFrame, user: str, ts: str, tie: str, kind: str, amount: str) -> DataFrame:
@@ -69,19 +129,27 @@ def account_rows(ledger: DataFrame, user: str, ts: str, tie: str, kind: str, amo
 
 
 def conditional_balance(
-    ledger: DataFrame, user: str, ts: str, tie: str, kind: str, amount: str, expiry_days: int = EXPIRY_DAYS
+    ledger: DataFrame, user: str, ts: str, tie: str, kind: str, amount: str, expiry_days: int = EXPIRY_DAYS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Deductions are refused when the balance is short; credits expire ``expiry_days`` after the
     last use, or after the purchase when never used. ``amount`` is positive for both kinds.
 
-    Each decision depends on all earlier ones, so a user's events are read in order; only one small
-    account is held per user at a time.
+    Each decision depends on all earlier ones, so a user's events are read in order with one small account at a
+    time. A user with more than ``chunk_rows`` events is cut into chunks of that size, which find out what enters
+    them by composing their maps (``paths.entering_states``) and then run side by side.
     """
-    return ordered_fold(
-        account_rows(ledger, user, ts, tie, kind, amount), ["user_id"], ["at_us", "event_id"],
-        f"{ACCOUNT_ROWS}, {ACCOUNT_OUT}", account_start, account_step(expiry_days * DAY_MICROS),
-        ["accepted", "balance", "expired_credits"],
+    keep = expiry_days * DAY_MICROS
+    order, out, schema = ["at_us", "event_id"], ["accepted", "balance", "expired_credits"], f"{ACCOUNT_ROWS}, {ACCOUNT_OUT}"
+    cold, hot = split_hot(account_rows(ledger, user, ts, tie, kind, amount), ["user_id"], chunk_rows)
+    decided = ordered_fold(cold, ["user_id"], order, schema, account_start, account_step(keep), out)
+    if hot is None:
+        return decided
+    rows = written(numbered(hot, ["user_id"], order, "at_us", DAY_MICROS), "ledger-rows")
+    entries = entering_states(
+        rows, ["user_id"], ACCOUNT_STATE, ACCOUNT_PIECE, tuple(account_start()), account_piece(keep), piece_holds, leaving, chunk_rows
     )
+    return decided.unionByName(finished_chunks(rows, ["user_id"], entries, chunk_rows, schema, account_step(keep), out))
 
 
 def history_page(ledger: DataFrame, user: str, ts: str, tie: str, limit: int = 50, offset: int = 0) -> DataFrame:

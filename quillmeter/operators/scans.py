@@ -13,9 +13,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window as W
 
 from quillmeter.functions.exprs import micros
@@ -25,11 +27,11 @@ def time_chunk(ts: str, seconds: int) -> Column:
     return F.floor(micros(ts) / F.lit(seconds * 1_000_000)).cast("long")
 
 
-def _join_null_safe(rows: DataFrame, offsets: DataFrame, on: Sequence[str]) -> DataFrame:
+def join_null_safe(rows: DataFrame, offsets: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Equality join in which null meets null, so that rows without a key or a time stay."""
     named = offsets.withColumnsRenamed({c: f"__on_{c}" for c in on})
     same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__on_{c}")) for c in on))
-    return rows.join(named, same).drop(*[f"__on_{c}" for c in on])
+    return rows.join(named, same, how).drop(*[f"__on_{c}" for c in on])
 
 
 def running_total(
@@ -48,7 +50,7 @@ def running_total(
         *on, *[F.coalesce(F.sum(t).over(before), F.lit(0)).alias(f"__o{t}") for t in tmp.values()]
     )
     inside = W.partitionBy(*on).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    out = _join_null_safe(base, offsets, on).withColumns(
+    out = join_null_safe(base, offsets, on).withColumns(
         {n: (F.sum(t).over(inside) + F.col(f"__o{t}")) for n, t in tmp.items()}
     )
     return out.select(*df.columns, *values.keys())
@@ -66,7 +68,7 @@ def running_min_before(
     )
     inside = W.partitionBy(*on).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     return (
-        _join_null_safe(base, offsets, on)
+        join_null_safe(base, offsets, on)
         .withColumn(out, F.least(F.min("__v").over(inside), F.col("__o")))
         .select(*df.columns, out)
     )
@@ -92,24 +94,28 @@ def ordered_fold(
 ) -> DataFrame:
     """Add columns computed by ``step(state, row) -> outputs`` along each key's order.
 
-    One pass, one state; batches arrive from a sorted partition, so memory does not grow with a key.
-    ``step`` mutates the state and returns the values of ``out_columns``.
+    One pass, one state; Arrow batches arrive from a sorted partition, so memory does not grow with a key, and nulls
+    stay nulls. ``step`` mutates the state and returns the values of ``out_columns``. A key is read by one task: keys
+    that may be large go through ``paths`` instead.
     """
     cols = df.columns
     key_at = [cols.index(k) for k in keys]
+    fields = list(to_arrow_schema(T._parse_datatype_string(schema)))
+    added = [f for f in fields if f.name in out_columns]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state = None, None
-        for pdf in batches:
+        for batch in batches:
             produced = []
-            for row in pdf.itertuples(index=False, name=None):
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 key = tuple(row[i] for i in key_at)
                 if state is None or key != current:
                     current, state = key, start()
                 produced.append(step(state, row))
-            extra = pd.DataFrame(produced, columns=list(out_columns), index=pdf.index)
-            yield pd.concat([pdf, extra], axis=1)
+            values = zip(*produced, strict=True) if produced else [[] for _ in added]
+            new = dict(zip(out_columns, values, strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *[pa.array(new[f.name], f.type) for f in added]], names=[*cols, *[f.name for f in added]]
+            )
 
-    return (
-        df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
-    )
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

@@ -48,8 +48,9 @@ def running_balance(t: Tables) -> DataFrame:
         "event_id", "user_id", "change", "balance_after")
 
 
-@query("c3_conditional_balance", f"""
-WITH RECURSIVE ev AS (SELECT *, epoch_us(ts) AS at_us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM {LEDGER}),
+def balance_sql(user: str) -> str:
+    return f"""
+WITH RECURSIVE ev AS (SELECT *, epoch_us(ts) AS at_us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM (SELECT * REPLACE ({user} AS user_id) FROM {LEDGER})),
 st AS (
   SELECT user_id, 0::BIGINT AS rn, NULL::BIGINT AS event_id, NULL::BIGINT AS at_us, NULL::VARCHAR AS type, NULL::BIGINT AS amount,
     NULL::BOOLEAN AS accepted, 0::BIGINT AS balance, 0::BIGINT AS expired_credits, NULL::BIGINT AS expires, NULL::BIGINT AS last_used
@@ -66,11 +67,21 @@ st AS (
       CASE WHEN s.expires IS NOT NULL AND s.balance > 0
         AND COALESCE(s.last_used + {EXPIRY_DAYS * L.DAY_MICROS}, s.expires) < e.at_us THEN s.balance ELSE 0 END AS gone
     FROM st s JOIN ev e ON e.user_id = s.user_id AND e.rn = s.rn + 1)))
-SELECT user_id, event_id, at_us, type, amount, accepted, balance, expired_credits FROM st WHERE rn > 0""")
+SELECT user_id, event_id, at_us, type, amount, accepted, balance, expired_credits FROM st WHERE rn > 0"""
+
+
+@query("c3_conditional_balance", balance_sql("user_id"))
 def conditional_balance(t: Tables) -> DataFrame:
     return L.conditional_balance(ledger(t), "user_id", "ts", "event_id", "type", "amount", EXPIRY_DAYS)
 
 
+@query("c3_balance_chunks", balance_sql("user_id % 2"))
+def balance_chunks(t: Tables) -> DataFrame:
+    """Two users, both cut into chunks."""
+    rows = ledger(t).withColumn("user_id", F.col("user_id") % 2)
+    return L.conditional_balance(rows, "user_id", "ts", "event_id", "type", "amount", EXPIRY_DAYS, chunk_rows=500)
+
+
 @query("c4_history_page", f"""SELECT * FROM (SELECT event_id, user_id, ts, change,
   row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM {LEDGER}) WHERE rank BETWEEN 11 AND 30""")
 def history_page(t: Tables) -> DataFrame:

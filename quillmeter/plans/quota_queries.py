@@ -52,6 +52,27 @@ def admission(t: Tables) -> DataFrame:
     return Q.admission(device_usage(t), "device_id", "ts", "event_id", "upload")
 
 
+UNITS = "CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 13 END"
+
+
+@query("d3_admission_units", f"""
+WITH RECURSIVE ev AS (SELECT device_id % 20 AS device, strftime(ts, '%Y-%m') AS month, event_id AS request_id, upload AS size, ts,
+    COALESCE({UNITS}, 1) AS amount,
+    row_number() OVER (PARTITION BY device_id % 20, strftime(ts, '%Y-%m') ORDER BY ts, event_id) AS rn FROM {DEVICES}),
+st AS (
+  SELECT device, month, 0::BIGINT AS rn, NULL::BIGINT AS request_id, NULL::BIGINT AS size, NULL::TIMESTAMP AS ts, 0::BIGINT AS amount,
+    false AS accepted, 0::BIGINT AS n, 0::BIGINT AS used FROM (SELECT DISTINCT device, month FROM ev)
+  UNION ALL
+  SELECT device, month, rn, request_id, size, ts, amount, ok, n + CASE WHEN ok THEN amount ELSE 0 END, used + CASE WHEN ok THEN size ELSE 0 END
+  FROM (SELECT e.device, e.month, e.rn, e.request_id, e.size, e.ts, e.amount, s.n, s.used,
+      s.n + e.amount <= 40 AND s.used + e.size <= 10485760 AND e.size <= 1048576 AS ok
+    FROM st s JOIN ev e ON e.device = s.device AND e.month = s.month AND e.rn = s.rn + 1))
+SELECT device, month, request_id, size, ts, amount, accepted FROM st WHERE rn > 0""")
+def admission_units(t: Tables) -> DataFrame:
+    rows = device_usage(t).withColumns({"device": F.col("device_id") % 20, "units": F.expr(UNITS)})
+    return Q.admission(rows, "device", "ts", "event_id", "upload", amount="units")
+
+
 @query("d5_latest_device", """SELECT user_id AS device_id, max_by(event_type, (epoch_us(ts), event_id)) AS last_type,
   max_by(value, (epoch_us(ts), event_id)) AS last_value FROM events GROUP BY user_id""")
 def latest_device(t: Tables) -> DataFrame:
@@ -84,6 +105,26 @@ def free_window(t: Tables) -> DataFrame:
     return Q.free_window(rows, "k", "ts", "event_id")
 
 
+@query("d7_free_window_files", f"""
+WITH RECURSIVE ev AS (SELECT 'key' || (user_id % 3) AS key, event_id AS request_id, epoch_us(ts) AS at_us, COALESCE({UNITS.replace("13", "7")}, 1) AS requested,
+    row_number() OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id) AS rn FROM events),
+st AS (
+  SELECT key, 0::BIGINT AS rn, NULL::BIGINT AS request_id, NULL::BIGINT AS at_us, 0::BIGINT AS requested, false AS allowed,
+    NULL::BIGINT AS started, 0::BIGINT AS used
+  FROM (SELECT DISTINCT key FROM ev)
+  UNION ALL
+  SELECT key, rn, request_id, at_us, requested, u0 + requested <= 5, s0, u0 + CASE WHEN u0 + requested <= 5 THEN requested ELSE 0 END FROM (
+    SELECT e.key, e.rn, e.request_id, e.at_us, e.requested,
+      CASE WHEN s.started IS NULL OR e.at_us - s.started >= 86400000000 THEN e.at_us ELSE s.started END AS s0,
+      CASE WHEN s.started IS NULL OR e.at_us - s.started >= 86400000000 THEN 0 ELSE s.used END AS u0
+    FROM st s JOIN ev e ON e.key = s.key AND e.rn = s.rn + 1))
+SELECT key, request_id, at_us, requested, allowed, 5 - used AS remaining FROM st WHERE rn > 0""")
+def free_window_files(t: Tables) -> DataFrame:
+    """Three keys, all cut into chunks."""
+    rows = t.events.select(F.concat(F.lit("key"), F.col("user_id") % 3).alias("k"), "event_id", "ts", F.expr(UNITS.replace("13", "7")).alias("files"))
+    return Q.free_window(rows, "k", "ts", "event_id", requested="files", chunk_rows=300)
+
+
 @query("d8_daily_pages", """
 SELECT user_id, CAST(ts AS DATE) AS day, CAST(sum(CASE WHEN event_type <> 'view' THEN p ELSE 0 END) AS BIGINT) AS text_pages,
   CAST(sum(CASE WHEN event_type = 'view' THEN p ELSE 0 END) AS BIGINT) AS ocr_pages,
@@ -134,7 +175,7 @@ def premium_requirements(t: Tables) -> DataFrame:
     return rows.select("doc_id", "page_count", "file_size", "credits", reason.alias("reason"))
 
 
-@query("d12_lockout", """
+LOCKOUT_SQL = """
 WITH RECURSIVE ev AS (SELECT user_id % 5 AS user_id, event_id, epoch_us(ts) AS at_us, event_type IN ('purchase', 'signup') AS success,
     row_number() OVER (PARTITION BY user_id % 5 ORDER BY ts, event_id) AS rn FROM events),
 st AS (
@@ -146,11 +187,20 @@ st AS (
     CASE WHEN locked THEN until WHEN success THEN NULL WHEN fails + 1 >= 5 THEN at_us + 1800000000 ELSE until END
   FROM (SELECT e.*, s.fails, s.until, COALESCE(s.until > e.at_us, false) AS locked
         FROM st s JOIN ev e ON e.user_id = s.user_id AND e.rn = s.rn + 1))
-SELECT user_id, event_id, at_us, success, outcome, fails AS failed_attempts FROM st WHERE rn > 0""")
-def lockout(t: Tables) -> DataFrame:
+SELECT user_id, event_id, at_us, success, outcome, fails AS failed_attempts FROM st WHERE rn > 0"""
+
+
+@query("d12_lockout", LOCKOUT_SQL)
+def lockout(t: Tables, **chunks: int) -> DataFrame:
     rows = t.events.select((F.col("user_id") % 5).alias("u"), "event_id", "ts",
                            F.col("event_type").isin("purchase", "signup").alias("ok"))
-    return Q.lockout(rows, "u", "ts", "event_id", "ok")
+    return Q.lockout(rows, "u", "ts", "event_id", "ok", **chunks)
+
+
+@query("d12_lockout_chunks", LOCKOUT_SQL)
+def lockout_chunks(t: Tables) -> DataFrame:
+    """The same with all users cut into chunks."""
+    return lockout(t, chunk_rows=100)
 
 
 @query("d13_client_ip", """

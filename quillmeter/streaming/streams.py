@@ -45,13 +45,13 @@ def admission(requests: DataFrame, device: str, ts: str, tie: str, size: str, li
     """D3."""
     rows = requests.select(
         F.col(device).alias("device"), F.date_format(ts, "yyyy-MM").alias("month"), Q.micros(ts).alias("at_us"),
-        F.col(tie).alias("request_id"), F.col(size).cast("long").alias("size"),
+        F.col(tie).alias("request_id"), F.col(size).cast("long").alias("size"), Q.units(None).alias("amount"),
     )
     return stateful_fold(
         rows, ["device", "month"], ["at_us", "request_id"],
-        "device long, month string, at_us long, request_id long, size long, accepted boolean", "count long, bytes long",
+        "device long, month string, at_us long, request_id long, size long, amount long, accepted boolean", "count long, bytes long",
         lambda: [0, 0], Q.admission_step(limits), ["accepted"],
-    )
+    ).drop("amount")
 
 
 def free_window(requests: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
@@ -59,7 +59,7 @@ def free_window(requests: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
     return stateful_fold(
         Q.free_window_rows(requests, key, ts, tie), ["key"], ["at_us", "request_id"], Q.FREE_WINDOW_OUT, "started long, used long",
         lambda: [None, 0], Q.free_window_step(), ["allowed", "remaining"],
-    )
+    ).drop("requested")
 
 
 def lockout(logins: DataFrame, user: str, ts: str, tie: str, success: str) -> DataFrame:
