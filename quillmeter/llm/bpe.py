@@ -28,6 +28,8 @@ NOT_SPACE = re.compile("[\x1c-\x1f]")
 BLANKS = re.compile("[\t-\r \x85\xa0  -     　]+")
 #: Stretches remembered by a Python worker.
 CACHE = 450_000
+#: What an entry of a dictionary of short texts takes besides the letters.
+ENTRY_BYTES = 190
 #: Words remembered by a Python worker.
 PIECES = 250_000
 
@@ -89,20 +91,45 @@ class SuffixMatcher:
         return got
 
 
-class WordPieces:
-    """Tables of one tokenizer file (BPE with word ends, lower case, white space dropped)."""
+class Splitter:
+    """How one tokenizer file (BPE with word ends, lower case, white space dropped) cuts a text into words."""
+
+    def __init__(self, spec: dict) -> None:
+        self.special: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.pieces = regex.compile(pattern)
+        self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
+        self.letters = byte_letters()
+
+    def spell(self, piece: str) -> str:
+        """The letters of the piece's bytes; printable ASCII stands for itself."""
+        if piece.isascii() and piece.isprintable():
+            return piece
+        return "".join(map(self.letters.__getitem__, piece.encode()))
+
+    def encode_chunk(self, chunk: str, word: Callable[[str], list[int]]) -> list[int]:
+        """Ids of a stretch without white space; ``word`` encodes the letters of one word's bytes."""
+        out: list[int] = []
+        for part in self.cut.split(chunk) if "<|" in chunk else (chunk,):
+            if part in self.special:
+                out.append(self.special[part])
+                continue
+            whole = normalised(part)
+            for piece in (whole,) if whole.isalpha() else self.pieces.findall(whole):
+                out += word(self.spell(piece))
+        return out
+
+
+class WordPieces(Splitter):
+    """Tables to encode the words of one tokenizer file."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        super().__init__(spec)
         model = spec["model"]
         self.names: dict[int, str] = {i: t for t, i in model["vocab"].items()}
-        self.special: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names |= {i: t for t, i in self.special.items()}
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.pieces = regex.compile(pattern)
-        self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self.letters = byte_letters()
         # a word's last letter is another symbol than the same letter inside: it is moved to a plane of its own
         symbol = lambda t: t if not t.endswith(END) or t == END else t[: -len(END) - 1] + chr(ord(t[-len(END) - 1]) + 0x10000)
         ids = model["vocab"]
@@ -172,24 +199,8 @@ class WordPieces:
             at -= size[at]
         return out[::-1]
 
-    def spell(self, piece: str) -> str:
-        """The letters of the piece's bytes; printable ASCII stands for itself."""
-        if piece.isascii() and piece.isprintable():
-            return piece
-        return "".join(map(self.letters.__getitem__, piece.encode()))
-
     def encode_chunk(self, chunk: str, word: Callable[[str], list[int]] | None = None) -> list[int]:
-        """Ids of a stretch without white space; ``word`` encodes the letters of one word's bytes."""
-        word = word or self.words.__getitem__
-        out: list[int] = []
-        for part in self.cut.split(chunk) if "<|" in chunk else (chunk,):
-            if part in self.special:
-                out.append(self.special[part])
-                continue
-            whole = normalised(part)
-            for piece in (whole,) if whole.isalpha() else self.pieces.findall(whole):
-                out += word(self.spell(piece))
-        return out
+        return super().encode_chunk(chunk, word or self.words.__getitem__)
 
 
 class Memory(dict):
@@ -198,13 +209,17 @@ class Memory(dict):
     The frequent stretches of a corpus come early, so a full memory still answers almost all of them.
     """
 
-    def __init__(self, compute: Callable, size: int = CACHE) -> None:
+    def __init__(self, compute: Callable, size: int = CACHE, most_bytes: int | None = None) -> None:
         super().__init__()
-        self.compute, self.size = compute, size
+        self.compute, self.size, self.left = compute, size, most_bytes
 
     def __missing__(self, key: str):
         got = self.compute(key)
         if len(self) < self.size:
+            if self.left is not None:
+                self.left -= ENTRY_BYTES + len(key) + len(got)
+                if self.left < 0:
+                    self.size = 0
             self[key] = got
         return got
 

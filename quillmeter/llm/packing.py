@@ -10,7 +10,7 @@ padding.
 
 from __future__ import annotations
 
-import functools
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmeter.llm import bpe
-from quillmeter.llm.common import materialised
+from quillmeter.llm.common import materialised, portions
 
 #: Most queues; with more sources several share a queue by hash. The list of totals is what tasks receive.
 MAX_QUEUES = 1024
@@ -124,18 +124,23 @@ def as_bytes(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-@functools.cache
+#: Bytes of encoded stretches that a task remembers.
+REMEMBERED_BYTES = 64 << 20
+
+
 def stretches(path: str) -> bpe.Memory:
-    """Ids of stretches between white space as bytes, kept by a Python worker from task to task.
+    """Ids of stretches between white space as bytes, remembered within a task.
 
     Words are encoded by the model of the tokenizers library; splitting texts and remembering stretches is done here,
-    because most stretches of a corpus recur.
+    because most stretches of a corpus recur. The memory is bounded in bytes and ends with the task, as workers live on.
     """
     from tokenizers import Tokenizer
 
-    tables, model = bpe.tables(path), Tokenizer.from_file(path).model
+    with open(path, encoding="utf-8") as f:
+        split = bpe.Splitter(json.load(f))
+    model = Tokenizer.from_file(path).model
     word = lambda letters: [t.id for t in model.tokenize(letters)]
-    return bpe.Memory(lambda chunk: as_bytes(tables.encode_chunk(chunk, word)))
+    return bpe.Memory(lambda chunk: as_bytes(split.encode_chunk(chunk, word)), most_bytes=REMEMBERED_BYTES)
 
 
 def tokens(docs: DataFrame, path: str, end_id: int, doc_id: str, text: str, source: str) -> DataFrame:
@@ -150,19 +155,21 @@ def tokens(docs: DataFrame, path: str, end_id: int, doc_id: str, text: str, sour
         tail = as_bytes([end_id])
         chunk = TaskContext.get().partitionId()
         ahead: dict[str | None, int] = {}
-        for batch in batches:
-            ids, before, n = [], [], []
-            queues = batch.column(1).to_pylist()
-            for queue, t in zip(queues, batch.column(2).to_pylist(), strict=True):
-                data = b"".join([*map(of, bpe.chunks(t or "")), tail])
-                ids.append(data)
-                n.append(len(data) // 4)
-                before.append(ahead.get(queue, 0))
-                ahead[queue] = before[-1] + n[-1]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([chunk] * len(n), pa.int32()), pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
-                names=["doc_id", "queue", "chunk", "ahead", "n", "ids"],
-            )
+        for whole in batches:
+            for some in portions(whole.column(2)):
+                batch = whole.slice(some.start, some.stop - some.start)
+                ids, before, n = [], [], []
+                queues = batch.column(1).to_pylist()
+                for queue, t in zip(queues, batch.column(2).to_pylist(), strict=True):
+                    data = b"".join([*map(of, bpe.chunks(t or "")), tail])
+                    ids.append(data)
+                    n.append(len(data) // 4)
+                    before.append(ahead.get(queue, 0))
+                    ahead[queue] = before[-1] + n[-1]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array([chunk] * len(n), pa.int32()), pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
+                    names=["doc_id", "queue", "chunk", "ahead", "n", "ids"],
+                )
 
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
@@ -210,14 +217,16 @@ def pack(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rounds = Rounds(totals, window)
-        for batch in batches:
-            out = [
-                (d, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, k, offset)
-                for d, q, first, n, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True)
-                for start, length, k, offset in rounds.pieces(position[q], first, n)
-            ]
-            columns = zip(*out, strict=True) if out else [()] * len(COLUMNS)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=COLUMNS)
+        for whole in batches:
+            for some in portions(whole.column(4)):
+                batch = whole.slice(some.start, some.stop - some.start)
+                out = [
+                    (d, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, k, offset)
+                    for d, q, first, n, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True)
+                    for start, length, k, offset in rounds.pieces(position[q], first, n)
+                ]
+                columns = zip(*out, strict=True) if out else [()] * len(COLUMNS)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=COLUMNS)
 
     return placed.mapInArrow(cut, ", ".join(f"{c} long" for c in COLUMNS)) if names else spark.createDataFrame([], ", ".join(f"{c} long" for c in COLUMNS))
 

@@ -310,9 +310,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 # --- whole corpora ---------------------------------------------------------------------------------------------------
 
 
-def sample_prints(text: str, views: int, size: int, shingle: int) -> list[int]:
-    """Fingerprints of ``views`` min-wise samples: in each view the ``size`` shingles with the least mixed hash."""
-    hashes = np.unique(shingle_hashes(text, shingle))
+def sample_prints(hashes: np.ndarray, views: int, size: int) -> list[int]:
+    """Fingerprints of ``views`` min-wise samples: in each view the ``size`` shingles with the least mixed hash.
+
+    ``hashes`` are those of the different shingles of a text.
+    """
     if not len(hashes):
         return [0] * views
     out = []
@@ -320,11 +322,19 @@ def sample_prints(text: str, views: int, size: int, shingle: int) -> list[int]:
         mixed = (hashes ^ np.uint64(v * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
         mixed ^= mixed >> np.uint64(31)
         mixed *= np.uint64(0x94D049BB133111EB)
-        least = np.sort(mixed ^ (mixed >> np.uint64(29)))[:size]
+        mixed ^= mixed >> np.uint64(29)
+        least = np.sort(np.partition(mixed, size)[:size] if len(mixed) > size else mixed)
         out.append(xxhash.xxh64_intdigest(least.tobytes(), v) - 2**63)
     return out
 
 
+def set_similarity(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two sets, given as arrays of different numbers; of two empty sets 1."""
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    total = len(x) + len(y) - common
+    return common / total if total else 1.0
+
+
 def similar(a: str, b: str, shingle: int) -> float:
     """Jaccard similarity of two texts' sets of shingles; of two texts without words 1."""
     x, y = set(shingle_hashes(a, shingle).tolist()), set(shingle_hashes(b, shingle).tolist())
@@ -332,42 +342,49 @@ def similar(a: str, b: str, shingle: int) -> float:
 
 
 def keep_one_of_each_group(
-    docs: DataFrame, text: str = "text", shingle: int = 5, differing: int = 2, views: int = 12, sample: int = 3, least: float = 0.8
+    docs: DataFrame, text: str = "text", shingle: int = 5, differing: int = 2, views: int = 12, sample: int = 3, least: float = 0.8,
+    doc_id: str = "doc_id",
 ) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each group the first row in the order of the input stays.
+    """The rows of ``docs`` without near duplicates: of each group the row with the least id stays (null ids last).
 
     Groups are the components of links between texts whose Jaccard similarity is at least ``least``, looked for in two
     ways. Texts whose SimHash fingerprints hang together within ``differing`` bits are compared. At a similarity of 0.8
     such fingerprints differ in about ten bits of 64, too many for selective probes; so each text also gets the
     fingerprints of ``views`` min-wise samples of its shingles, which copies share on some view (probability over 0.99 at
-    0.8), and all texts that agree on a view are compared. Equal texts are one node. Null texts count as empty,
-    and texts without words are copies of each other. All columns stay; a repeated row is a copy.
+    0.8), and all texts that agree on a view are compared. Equal texts, by their SHA-256, are one node. Null texts count
+    as empty, and texts without words are copies of each other. All columns stay; a repeated row is a copy.
     """
     columns = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), F.monotonically_increasing_id().alias("row"))
 
     def make() -> Callable[[list[str]], list]:
         def apply(texts: list[str]) -> list:
-            return [[majority(shingle_hashes(t, shingle)) for t in texts], [sample_prints(t, views, sample, shingle) for t in texts]]
+            hashes = [shingle_hashes(t, shingle) for t in texts]
+            return [[majority(h) for h in hashes], [sample_prints(np.unique(h), views, sample) for h in hashes], [np.unique(h).astype(np.int64) for h in hashes]]
 
         return apply
 
-    rows = with_text_columns(rows, "body", make, {"fp": "long", "samples": "array<long>"}, ["doc", "body"])
-    rows = materialised(rows.withColumn("row", F.monotonically_increasing_id()), "dedup-rows")
+    new = {"fp": "long", "samples": "array<long>", "set": "array<long>"}
+    described = with_text_columns(rows, f"doc.{text}", make, new, ["doc", "row"])
+    same = F.sha2(F.coalesce(F.col("doc").getField(text).cast("string"), F.lit("")), 256)
+    rows = materialised(described.withColumn("same", same), "dedup-rows")
     # equal texts: one node, the first row
-    same = rows.select("row", "fp", F.xxhash64("body").alias("h1"), F.xxhash64("body", F.lit(1)).alias("h2"), "samples")
-    nodes = materialised(same.groupBy("h1", "h2").agg(F.min("row").alias("node"), F.first("fp").alias("fp"), F.first("samples").alias("samples")), "dedup-nodes")
+    nodes = rows.groupBy("same").agg(F.min("row").alias("node"), F.first("fp").alias("fp"), F.first("samples").alias("samples"))
+    nodes = materialised(nodes, "dedup-nodes")
+    sets = rows.select(F.col("row").alias("node"), "set").join(nodes.select("node"), "node", "left_semi")
+    sets = materialised(sets, "dedup-sets")
     prints = materialised(nodes.select("fp").distinct(), "dedup-prints")
     # fingerprints that hang together within ``differing`` bits are one more bucket of each text
     close = components(links(prints, differing), "a", "b").select(F.col("node").alias("fp"), F.col("root").alias("close"))
     placed = nodes.join(close, "fp", "left").select("node", F.array_append("samples", F.coalesce("close", "fp")).alias("samples"))
-    roots = components(_compared(rows, materialised(placed, "dedup-placed"), shingle, least), "a", "b")
-    lost = roots.where("node <> root").select(F.col("node").alias("row"))
-    first = nodes.select(F.col("node").alias("row")).join(lost, "row", "left_anti")
-    return rows.join(first, "row", "left_semi").select("doc.*")
+    roots = components(_compared(sets, materialised(placed, "dedup-placed"), least), "a", "b")
+    groups = nodes.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("group"))
+    ranked = rows.select("row", "same", F.col("doc").getField(doc_id).alias("id")).join(groups, "same")
+    first = ranked.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("m"))
+    return rows.join(first.select(F.col("m.row").alias("row")), "row", "left_semi").select("doc.*")
 
 
-def _compared(rows: DataFrame, nodes: DataFrame, shingle: int, least: float) -> DataFrame:
+def _compared(sets: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """Links (a, b) that connect all texts which share a sample and are similar enough.
 
     Each text of a bucket (a sample of one view, or close fingerprints) meets the bucket's first text; what is not
@@ -378,7 +395,7 @@ def _compared(rows: DataFrame, nodes: DataFrame, shingle: int, least: float) ->
     views = nodes.select("node", F.posexplode("samples").alias("view", "print"))
     first = views.groupBy(*bucket).agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
     shared = materialised(views.join(first.select(*bucket, "b"), bucket), "dedup-views")
-    by_first = _similar_pairs(rows, shared.select(F.col("node").alias("a"), "b"), shingle, least)
+    by_first = _similar_pairs(sets, shared.select(F.col("node").alias("a"), "b"), least)
 
     linked = by_first.select(F.col("a").alias("node"), "b", F.lit(True).alias("linked"))
     met = shared.join(linked, ["node", "b"], "left").select(*bucket, "node", (F.col("linked").isNotNull() | (F.col("node") == F.col("b"))).alias("linked"))
@@ -387,30 +404,31 @@ def _compared(rows: DataFrame, nodes: DataFrame, shingle: int, least: float) ->
     ranked = met.join(open_, bucket, "left_semi").join(ends, "node", "left").join(first.select(*bucket, "b"), bucket).where("node <> b")
     rank = F.struct(F.coalesce("links", F.lit(0)), -F.col("node"))
     second = ranked.groupBy(*bucket).agg(F.max_by("node", rank).alias("b"))
-    by_second = _similar_pairs(rows, met.where("NOT linked").join(second, bucket).select(F.col("node").alias("a"), "b"), shingle, least)
+    by_second = _similar_pairs(sets, met.where("NOT linked").join(second, bucket).select(F.col("node").alias("a"), "b"), least)
 
     links = materialised(by_first.unionByName(by_second), "dedup-links")
-    return links.unionByName(_rest_compared(rows, shared.select(*bucket, "node"), links, shingle, least))
+    return links.unionByName(_rest_compared(sets, shared.select(*bucket, "node"), links, least))
 
 
-def _similar_pairs(rows: DataFrame, pairs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The pairs (a, b) of different nodes, each once, whose texts are similar enough."""
+def _similar_pairs(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of different nodes, each once, whose sets of shingles are similar enough."""
     pairs = pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     pairs = materialised(pairs.distinct(), "dedup-pairs")
-    texts = rows.select("row", "body")
-    with_a = pairs.join(texts.select(F.col("row").alias("a"), F.col("body").alias("x")), "a")
-    with_both = with_a.join(texts.select(F.col("row").alias("b"), F.col("body").alias("y")), "b")
+    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
+    # Jaccard similarity is at most the ratio of the sizes
+    possible = F.least(F.size("x"), F.size("y")) >= F.greatest(F.size("x"), F.size("y")) * (least - 1e-9)
+    with_both = with_a.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").where(possible)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, x, y = (c.to_pylist() for c in batch.columns)
-            good = [i for i in range(len(a)) if similar(x[i], y[i], shingle) >= least]
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], names=["a", "b"])
+            x, y = batch.column(2), batch.column(3)
+            good = [i for i in range(batch.num_rows) if set_similarity(x[i].values.to_numpy(), y[i].values.to_numpy()) >= least]
+            yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
     return materialised(with_both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "dedup-similar")
 
 
-def _rest_compared(rows: DataFrame, members: DataFrame, links: DataFrame, shingle: int, least: float) -> DataFrame:
+def _rest_compared(sets: DataFrame, members: DataFrame, links: DataFrame, least: float) -> DataFrame:
     """Links (a, b) of all similar texts of one bucket (view, print) that ``links`` do not connect yet.
 
     Texts of a bucket are dealt into blocks, those of its largest component apart from the others; two blocks meet in
@@ -424,12 +442,7 @@ def _rest_compared(rows: DataFrame, members: DataFrame, links: DataFrame, shingl
     apart = rooted.join(most.select(*bucket, "major"), bucket).withColumn("major", F.col("root") == F.col("major"))
     apart = materialised(apart, "dedup-apart")
 
-    def make() -> Callable[[list[str]], list]:
-        return lambda texts: [[np.unique(shingle_hashes(t, shingle)).astype(np.int64) for t in texts]]
-
-    wanted = rows.join(apart.select(F.col("node").alias("row")).distinct(), "row", "left_semi")
-    sets = with_text_columns(wanted, "body", make, {"set": "array<long>"}, ["row"]).withColumn("size", F.size("set"))
-    sets = materialised(sets.withColumnRenamed("row", "node"), "dedup-sets")
+    sets = sets.join(apart.select("node").distinct(), "node", "left_semi").withColumn("size", F.size("set"))
     sized = apart.join(sets.select("node", "size"), "node").groupBy(*bucket, "major").agg(
         F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("size") / BLOCK_SHINGLES)).alias("blocks")
     )
