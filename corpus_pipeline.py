@@ -19,10 +19,15 @@ from quillmeter.session import read_table
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """Each document as one struct ``doc``: it travels once, and its columns can not clash with those of an operator."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose calibrated toxicity is 0.3 or more; null texts have none."""
     model = toxicity.fit(docs, toxicity.train_labels(read_table(spark, sf_dir, "labels")))
-    scored = toxicity.score(docs.select(F.struct(*docs.columns).alias("doc"), "text"), model, keep=["doc"])
+    scored = toxicity.score(whole_rows(docs), model, "doc.text", keep=["doc"])
     return scored.where("score < 0.3").select("doc.*")
 
 
@@ -31,9 +36,8 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Null and empty texts fail.
     """
-    facts = quality.describe(docs.select(F.struct(*docs.columns).alias("doc"), "text"), keep=["doc"])
-    model = quality.label_model(quality.describe(docs.select("text"), keep=[]))
-    return quality.judge(facts, model).where("kept").select("doc.*")
+    facts = materialised(quality.describe(whole_rows(docs), "doc.text", keep=["doc"]), "pipeline-facts")
+    return quality.judge(facts, quality.label_model(facts)).where("kept").select("doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +47,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every span by its kind in brackets; ``n_chars`` follows the new text, null texts stay null."""
-    found = pii.scan(docs.select(F.struct(*docs.columns).alias("doc"), "text"), keep=["doc"])
+    found = pii.scan(whole_rows(docs), "doc.text", keep=["doc"])
     text = F.when(F.col("doc.text").isNotNull(), F.col("redacted"))
     new = {"text": text, "n_chars": F.when(text.isNotNull(), F.length(text).cast("long")).otherwise(F.col("doc.n_chars"))}
     return found.select(*[new[c].alias(c) if c in new else F.col(f"doc.`{c}`") for c in docs.columns])
