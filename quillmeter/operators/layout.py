@@ -7,12 +7,15 @@ words already arrive hash-partitioned by document, so the chain runs on one exch
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quillmeter.functions.exprs import col, first_rule, let, long_count
-from quillmeter.operators.profile import long_number_with_spaces, matches, text_similarity
+from quillmeter.operators.profile import long_number_with_spaces, matches
+from quillmeter.operators.textjoin import bare, best_match
 
 KEY = ["doc_id", "page"]
 
@@ -397,19 +400,58 @@ def two_column_split(words: DataFrame, width: float, height: float) -> DataFrame
     )
 
 
-def merge_lines(cells: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """Within (row, col), words closer than 0.6 line heights to the first one join it."""
-    w = W.partitionBy(*KEY, "row", "col").orderBy("word_id")
-    near = F.abs(y_center() - F.first("__yc").over(w)) < F.col("line_height") * threshold
-    return (
-        cells.join(line_height(cells), KEY).withColumn("__yc", y_center())
-        .withColumn("__g", F.when(near, F.lit(-1)).otherwise(F.col("word_id")))
-        .groupBy(*KEY, "row", "col", "__g")
-        .agg(ordered_text().alias("value"), F.min("confidence").alias("confidence"), F.min("x0").alias("x0"),
-             F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.count(F.lit(1)).alias("parts"))
-        .drop("__g")
+def group_numbers(items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """Number of the group of each item of a bounded, ordered array; ``step(state, item)`` gives state and number."""
+    def one(s: Column, item: Column) -> Column:
+        state, number = step(s["state"], item)
+        return F.struct(state.alias("state"), F.array_append(s["numbers"], number.cast("int")).alias("numbers"))
+
+    return F.aggregate(items, F.struct(start.alias("state"), F.array().cast("array<int>").alias("numbers")), one)["numbers"]
+
+
+def merge_lines(cells: DataFrame, threshold: float = 0.6, mixed: Column | None = None) -> DataFrame:
+    """Within (row, col), the first word and all words closer than 0.6 line heights to it become one cell; of the
+    words left over again the first opens a cell, and so on. On pages of ``mixed`` languages the distance is 1.5 as
+    large. A word so belongs to the first of all openers that is close enough, in the order of words.
+    """
+    parts = ["word_id", "text", "confidence", "x0", "x1", "y0", "y1"]
+    near = F.col("line_height") * threshold
+    near = near if mixed is None else F.when(mixed, F.col("line_height") * (threshold * 1.5)).otherwise(near)
+    words = cells.join(line_height(cells), KEY).withColumns({"__yc": y_center(), "__near": near})
+    grouped = words.groupBy(*KEY, "row", "col").agg(
+        F.array_sort(F.collect_list(F.struct(*parts, "__yc"))).alias("ws"), F.first("__near").alias("__near")
     )
 
+    def step(openers: Column, word: Column) -> tuple[Column, Column]:
+        at = F.array_position(F.transform(openers, lambda y: F.abs(word["__yc"] - y) < F.col("__near")), True)
+        opens = at == 0
+        return F.when(opens, F.array_append(openers, word["__yc"])).otherwise(openers), F.when(opens, F.size(openers) + 1).otherwise(at)
+
+    numbered = grouped.withColumn("g", group_numbers(F.col("ws"), F.array().cast("array<double>"), step))
+    each = numbered.select(*KEY, "row", "col", F.explode(F.arrays_zip("ws", "g")).alias("e")).select(*KEY, "row", "col", "e.g", "e.ws.*")
+    return each.groupBy(*KEY, "row", "col", "g").agg(
+        ordered_text().alias("value"), F.min("confidence").alias("confidence"), F.min("x0").alias("x0"),
+        F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.count(F.lit(1)).alias("parts"),
+    ).drop("g")
+
+
+def merge_multiline(cells: DataFrame, gap: float = 5.0) -> DataFrame:
+    """Cells of a column joined down the page while the gap to the lower edge of what is joined is at most ``gap``.
+    cells(doc_id, page, row, col, value, y0, y1)."""
+    grouped = cells.groupBy(*KEY, "col").agg(F.array_sort(F.collect_list(F.struct("row", "value", "y0", "y1"))).alias("cs"))
+    edge = lambda bottom, g: F.struct(bottom.alias("bottom"), g.cast("int").alias("g"))
+
+    def step(s: Column, c: Column) -> tuple[Column, Column]:
+        joins = F.coalesce(F.abs(c["y0"] - s["bottom"]) <= gap, F.lit(False))
+        g = F.when(joins, s["g"]).otherwise(s["g"] + 1)
+        return edge(F.when(joins, F.greatest(s["bottom"], c["y1"])).otherwise(c["y1"]), g), g
+
+    numbered = grouped.withColumn("g", group_numbers(F.col("cs"), edge(F.lit(None).cast("double"), F.lit(0)), step))
+    each = numbered.select(*KEY, "col", F.explode(F.arrays_zip("cs", "g")).alias("e")).select(*KEY, "col", "e.g", "e.cs.*")
+    return each.groupBy(*KEY, "col", "g").agg(
+        F.min("row").alias("row"), ordered_text("row", "value").alias("value"), F.min("y0").alias("y0"), F.max("y1").alias("y1")
+    ).select(*KEY, "row", "col", "value", "y0", "y1")
+
 
 def header_row_scores(rows: DataFrame, min_font: float = 10.0) -> DataFrame:
     """Score of each row by position, font, bold share and height; header from 2 points."""
@@ -457,23 +499,15 @@ def spans(rows: DataFrame, most_columns: int | None = None, most_rows: int | Non
 
 
 def match_cells_to_blocks(cells: DataFrame, blocks: DataFrame, floor: float = 0.7) -> DataFrame:
-    """Cells without a box take the box of the most similar block of the page (above ``floor``).
-
-    The blocks of a page come as one bounded array; no cell-block pairs are emitted.
-    """
-    boxes = blocks.groupBy(*KEY).agg(
-        F.array_sort(F.collect_list(F.struct("word_id", "text", "x0", "y0", "x1", "y1"))).alias("__blocks")
-    )
-    scored = F.transform(
-        "__blocks",
-        lambda b, i: F.struct(text_similarity(F.col("value"), b["text"]).alias("s"), (-i).alias("o"), b.alias("b")),
-    )
-    best = F.array_max(F.filter(scored, lambda s: s["s"] > floor))
+    """Cells without a box take the box of the most similar block of the page (above ``floor``; of equally similar
+    ones the first). Candidates come from equality joins (``textjoin``), so no cell is compared with all blocks."""
+    box = ["x0", "y0", "x1", "y1"]
     need = F.col("x0").isNull() & (F.trim("value") != "")
-    out = cells.join(boxes, KEY, "left").withColumn("__best", F.when(need, best))
-    return out.withColumn("matched_word", F.col("__best.b.word_id")).withColumns(
-        {c: F.coalesce(c, F.col(f"__best.b.{c}")) for c in ("x0", "y0", "x1", "y1")}
-    ).drop("__best", "__blocks")
+    best = best_match(cells.where(need), blocks, KEY, "value", "text", "word_id", floor)
+    boxes = blocks.select(*KEY, F.col("word_id").alias("matched_word"), *[F.col(c).alias(f"__{c}") for c in box])
+    found = best.select(*KEY, F.col("value").alias("__bare"), F.col("word_id").alias("matched_word")).join(boxes, [*KEY, "matched_word"])
+    out = cells.withColumn("__bare", F.when(need, bare("value"))).join(found, [*KEY, "__bare"], "left")
+    return out.withColumns({c: F.coalesce(c, f"__{c}") for c in box}).drop("__bare", *[f"__{c}" for c in box])
 
 
 def block_tree_cells(blocks: DataFrame) -> DataFrame:

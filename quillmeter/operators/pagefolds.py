@@ -255,26 +255,6 @@ def merge_vertical(words: DataFrame, factor: float = 0.8) -> DataFrame:
     return _merge_runs(words, joins)
 
 
-def merge_multiline(cells: DataFrame, gap: float = 5.0) -> DataFrame:
-    """Cells of a column joined down the page while the gap to the running extent is at most ``gap``.
-    cells(doc_id, page, row, col, value, y0, y1)."""
-    cols = ["doc_id", "page", "row", "col", "value", "y0", "y1"]
-
-    def rule(p: Page) -> list[tuple]:
-        rows = list(zip(*(p[c] for c in cols)))
-        out: list[list] = []
-        for i in _ordered(p, "col", "row"):
-            c = rows[i]
-            if out and out[-1][3] == c[3] and abs(c[5] - out[-1][6]) <= gap:
-                b = out[-1]
-                b[4], b[5], b[6] = f"{b[4]} {c[4]}", min(b[5], c[5]), max(b[6], c[6])
-            else:
-                out.append(list(c))
-        return out
-
-    return _by_page(cells.select(*cols), "doc_id long, page long, row long, col long, value string, y0 double, y1 double", rule)
-
-
 def join_continued_lines(cells: DataFrame, longest: int = 80) -> DataFrame:
     """Going down, a cell swallows the one below unless it is a header (bold or row 0), ends a sentence,
     both are numbers, or it is long; rows left empty vanish. cells(doc_id, page, row, col, value, bold)."""

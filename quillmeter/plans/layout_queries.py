@@ -317,23 +317,47 @@ CELLS = f"""(SELECT {KEY}, row, col, string_agg(text, ' ' ORDER BY word_id) AS v
   FROM (SELECT *, CAST(y0 / {S.LINE_H} AS BIGINT) AS row, CAST(floor(x0 / 180) AS BIGINT) AS col FROM {WORDS}) GROUP BY {KEY}, row, col)"""
 
 
-@query("j24_merge_multiline", f"""SELECT {KEY}, min(row) AS row, col, md5(string_agg(value, ' ' ORDER BY row)) AS value_md5, min(y0) AS y0, max(y1) AS y1
-FROM (SELECT *, sum(o) OVER (PARTITION BY {KEY}, col ORDER BY row ROWS UNBOUNDED PRECEDING) AS g FROM (
-  SELECT *, CASE WHEN abs(y0 - lag(y1) OVER (PARTITION BY {KEY}, col ORDER BY row)) <= 5 THEN 0 ELSE 1 END AS o FROM {CELLS})) GROUP BY {KEY}, col, g""")
+@query("j24_merge_multiline", f"""
+WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY {KEY}, col ORDER BY row) AS rn FROM {CELLS}),
+st AS (
+  SELECT {KEY}, col, rn, row, value, y0, y1, y1 AS bottom, 1 AS g FROM c WHERE rn = 1
+  UNION ALL
+  SELECT c.doc_id, c.page, c.col, c.rn, c.row, c.value, c.y0, c.y1,
+    CASE WHEN abs(c.y0 - st.bottom) <= 5 THEN greatest(st.bottom, c.y1) ELSE c.y1 END, st.g + CASE WHEN abs(c.y0 - st.bottom) <= 5 THEN 0 ELSE 1 END
+  FROM st JOIN c ON c.doc_id = st.doc_id AND c.page = st.page AND c.col = st.col AND c.rn = st.rn + 1)
+SELECT {KEY}, min(row) AS row, col, md5(string_agg(value, ' ' ORDER BY row)) AS value_md5, min(y0) AS y0, max(y1) AS y1 FROM st GROUP BY {KEY}, col, g""")
 def merge_multiline(t: Tables) -> DataFrame:
-    out = P.merge_multiline(cells(t))
+    out = J.merge_multiline(cells(t))
     return out.select(*J.KEY, "row", "col", F.md5("value").alias("value_md5"), "y0", "y1")
 
 
 LINE_CELLS = f"(SELECT *, CAST(floor(x0 / 180) AS BIGINT) AS col FROM (SELECT *, CAST(floor(y0 / 24) AS BIGINT) AS row FROM {WORDS}))"
 
 
-@query("j25_merge_lines", f"""SELECT {KEY}, row, col, string_agg(text, ' ' ORDER BY word_id) AS value, min(confidence) AS confidence, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1, count(*) AS parts
-FROM (SELECT *, CASE WHEN abs(yc - first_value(yc) OVER (PARTITION BY {KEY}, row, col ORDER BY word_id)) < lh * 0.6::DOUBLE THEN -1 ELSE word_id END AS g
-  FROM (SELECT *, {YC} AS yc FROM {LINE_CELLS}) JOIN (SELECT {KEY}, avg(y1 - y0) AS lh FROM {WORDS} GROUP BY {KEY}) USING ({KEY})) GROUP BY {KEY}, row, col, g""")
+#: A page is of mixed languages if it has words with and words without letters beyond ASCII.
+FOREIGN = r"[^\x00-\x7F]"
+
+
+@query("j25_merge_lines", rf"""
+WITH RECURSIVE h AS (SELECT {KEY}, avg(y1 - y0) AS lh, bool_or(regexp_matches(text, '{FOREIGN}')) AND NOT bool_and(regexp_matches(text, '{FOREIGN}')) AS mixed
+  FROM {WORDS} GROUP BY {KEY}),
+w AS (SELECT *, {YC} AS yc, CASE WHEN mixed THEN lh * (0.6::DOUBLE * 1.5::DOUBLE) ELSE lh * 0.6::DOUBLE END AS near,
+  row_number() OVER (PARTITION BY {KEY}, row, col ORDER BY word_id) AS rn
+  FROM (SELECT *, CAST(floor(y0 / 40) AS BIGINT) AS row, CAST(floor(x0 / 180) AS BIGINT) AS col FROM {WORDS}) JOIN h USING ({KEY})),
+st AS (
+  SELECT {KEY}, row, col, rn, word_id, text, confidence, x0, x1, y0, y1, [yc] AS openers, 1::BIGINT AS g FROM w WHERE rn = 1
+  UNION ALL
+  SELECT doc_id, page, row, col, rn, word_id, text, confidence, x0, x1, y0, y1,
+    CASE WHEN hit IS NULL THEN list_append(openers, yc) ELSE openers END, COALESCE(hit, len(openers) + 1)
+  FROM (SELECT w.*, st.openers, list_min(list_filter(list_transform(st.openers, lambda y, i: CASE WHEN abs(w.yc - y) < w.near THEN i END), lambda k: k IS NOT NULL)) AS hit
+    FROM st JOIN w ON w.doc_id = st.doc_id AND w.page = st.page AND w.row = st.row AND w.col = st.col AND w.rn = st.rn + 1))
+SELECT {KEY}, row, col, string_agg(text, ' ' ORDER BY word_id) AS value, min(confidence) AS confidence, min(x0) AS x0, max(x1) AS x1,
+  min(y0) AS y0, max(y1) AS y1, count(*) AS parts FROM st GROUP BY {KEY}, row, col, g""")
 def merge_lines(t: Tables) -> DataFrame:
-    placed = words(t).withColumns({"row": F.floor(F.col("y0") / 24).cast("long"), "col": F.floor(F.col("x0") / 180).cast("long")})
-    return J.merge_lines(placed)
+    placed = words(t).withColumns({"row": F.floor(F.col("y0") / 40).cast("long"), "col": F.floor(F.col("x0") / 180).cast("long")})
+    foreign = F.col("text").rlike(FOREIGN)
+    pages = placed.groupBy(*J.KEY).agg((F.bool_or(foreign) & ~F.bool_and(foreign)).alias("mixed"))
+    return J.merge_lines(placed.join(pages, J.KEY), mixed=F.col("mixed"))
 
 
 @query("j26_join_continued_lines")
@@ -371,13 +395,26 @@ def holed(t: Tables) -> DataFrame:
     return cells(t).withColumns({c: F.when(~lost, F.col(c)) for c in ("x0", "y0", "x1", "y1")})
 
 
-@query("j30_match_cells")
+@query("j30_match_cells", rf"""
+WITH lines AS (SELECT {KEY}, row, min(word_id) AS word_id, string_agg(text, ' ' ORDER BY word_id) AS text, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1
+  FROM (SELECT *, CAST(y0 / {S.LINE_H} AS BIGINT) AS row FROM {WORDS}) GROUP BY {KEY}, row),
+b AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> '')) AS ws FROM (
+  SELECT *, lower(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS t FROM lines) WHERE t <> ''),
+c AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(v, '\s+'), lambda w: w <> '')) AS vs FROM (
+  SELECT DISTINCT {KEY}, lower(regexp_replace(value, '^\s+|\s+$', '', 'g')) AS v FROM {CELLS} WHERE trim(value, ' ') <> '')),
+s AS (SELECT c.doc_id, c.page, c.v, b.word_id, CASE WHEN v = t THEN 1.0::DOUBLE WHEN contains(v, t) OR contains(t, v) THEN 0.8::DOUBLE
+    ELSE len(list_intersect(vs, ws))::DOUBLE / (len(vs) + len(ws) - len(list_intersect(vs, ws))) END AS score
+  FROM c JOIN b USING ({KEY})),
+m AS (SELECT {KEY}, v, arg_max(word_id, (score, -word_id)) AS matched_word FROM s WHERE score > 0.7 GROUP BY {KEY}, v)
+SELECT e.doc_id, e.page, e.row, e.col, m.matched_word, l.x0, l.y0, l.x1, l.y1 FROM {CELLS} e
+LEFT JOIN m ON m.doc_id = e.doc_id AND m.page = e.page AND m.v = lower(regexp_replace(e.value, '^\s+|\s+$', '', 'g')) AND trim(e.value, ' ') <> ''
+LEFT JOIN lines l ON l.doc_id = e.doc_id AND l.page = e.page AND l.word_id = m.matched_word""")
 def match_cells(t: Tables) -> DataFrame:
-    first = cells(t).where("row < 3").withColumns({c: F.lit(None).cast("double") for c in ("x0", "y0", "x1", "y1")})
+    bare_cells = cells(t).withColumns({c: F.lit(None).cast("double") for c in ("x0", "y0", "x1", "y1")})
     lines = line_rows(t).groupBy(*J.KEY, "row").agg(
         F.min("word_id").alias("word_id"), J.ordered_text().alias("text"), F.min("x0").alias("x0"), F.max("x1").alias("x1"),
         F.min("y0").alias("y0"), F.max("y1").alias("y1"))
-    return J.match_cells_to_blocks(first, lines).select(*J.KEY, "row", "col", "matched_word", "x0", "y0", "x1", "y1")
+    return J.match_cells_to_blocks(bare_cells, lines).select(*J.KEY, "row", "col", "matched_word", "x0", "y0", "x1", "y1")
 
 
 @query("j31_fill_boxes")
