@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmeter.llm.common import materialised, with_text_columns
+from quillmeter.llm.common import materialised, portions, with_text_columns
 from quillmeter.llm.components import components
 
 BITS = 64
@@ -328,13 +328,6 @@ def sample_prints(hashes: np.ndarray, views: int, size: int) -> list[int]:
     return out
 
 
-def set_similarity(x: np.ndarray, y: np.ndarray) -> float:
-    """Jaccard similarity of two sets, given as arrays of different numbers; of two empty sets 1."""
-    common = len(np.intersect1d(x, y, assume_unique=True))
-    total = len(x) + len(y) - common
-    return common / total if total else 1.0
-
-
 def similar(a: str, b: str, shingle: int) -> float:
     """Jaccard similarity of two texts' sets of shingles; of two texts without words 1."""
     x, y = set(shingle_hashes(a, shingle).tolist()), set(shingle_hashes(b, shingle).tolist())
@@ -360,31 +353,30 @@ def keep_one_of_each_group(
     def make() -> Callable[[list[str]], list]:
         def apply(texts: list[str]) -> list:
             hashes = [shingle_hashes(t, shingle) for t in texts]
-            return [[majority(h) for h in hashes], [sample_prints(np.unique(h), views, sample) for h in hashes], [np.unique(h).astype(np.int64) for h in hashes]]
+            return [[majority(h) for h in hashes], [sample_prints(np.unique(h), views, sample) for h in hashes]]
 
         return apply
 
-    new = {"fp": "long", "samples": "array<long>", "set": "array<long>"}
+    new = {"fp": "long", "samples": "array<long>"}
     described = with_text_columns(rows, f"doc.{text}", make, new, ["doc", "row"])
     same = F.sha2(F.coalesce(F.col("doc").getField(text).cast("string"), F.lit("")), 256)
     rows = materialised(described.withColumn("same", same), "dedup-rows")
     # equal texts: one node, the first row
     nodes = rows.groupBy("same").agg(F.min("row").alias("node"), F.first("fp").alias("fp"), F.first("samples").alias("samples"))
     nodes = materialised(nodes, "dedup-nodes")
-    sets = rows.select(F.col("row").alias("node"), "set").join(nodes.select("node"), "node", "left_semi")
-    sets = materialised(sets, "dedup-sets")
     prints = materialised(nodes.select("fp").distinct(), "dedup-prints")
     # fingerprints that hang together within ``differing`` bits are one more bucket of each text
     close = components(links(prints, differing), "a", "b").select(F.col("node").alias("fp"), F.col("root").alias("close"))
     placed = nodes.join(close, "fp", "left").select("node", F.array_append("samples", F.coalesce("close", "fp")).alias("samples"))
-    roots = components(_compared(sets, materialised(placed, "dedup-placed"), least), "a", "b")
+    texts = rows.select("row", F.coalesce(F.col("doc").getField(text).cast("string"), F.lit("")).alias("body"))
+    roots = components(_compared(texts, materialised(placed, "dedup-placed"), shingle, least), "a", "b")
     groups = nodes.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("group"))
     ranked = rows.select("row", "same", F.col("doc").getField(doc_id).alias("id")).join(groups, "same")
     first = ranked.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("m"))
     return rows.join(first.select(F.col("m.row").alias("row")), "row", "left_semi").select("doc.*")
 
 
-def _compared(sets: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+def _compared(texts: DataFrame, nodes: DataFrame, shingle: int, least: float) -> DataFrame:
     """Links (a, b) that connect all texts which share a sample and are similar enough.
 
     Each text of a bucket (a sample of one view, or close fingerprints) meets the bucket's first text; what is not
@@ -395,7 +387,7 @@ def _compared(sets: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     views = nodes.select("node", F.posexplode("samples").alias("view", "print"))
     first = views.groupBy(*bucket).agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
     shared = materialised(views.join(first.select(*bucket, "b"), bucket), "dedup-views")
-    by_first = _similar_pairs(sets, shared.select(F.col("node").alias("a"), "b"), least)
+    by_first = _similar_pairs(texts, shared.select(F.col("node").alias("a"), "b"), shingle, least)
 
     linked = by_first.select(F.col("a").alias("node"), "b", F.lit(True).alias("linked"))
     met = shared.join(linked, ["node", "b"], "left").select(*bucket, "node", (F.col("linked").isNotNull() | (F.col("node") == F.col("b"))).alias("linked"))
@@ -404,31 +396,34 @@ def _compared(sets: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     ranked = met.join(open_, bucket, "left_semi").join(ends, "node", "left").join(first.select(*bucket, "b"), bucket).where("node <> b")
     rank = F.struct(F.coalesce("links", F.lit(0)), -F.col("node"))
     second = ranked.groupBy(*bucket).agg(F.max_by("node", rank).alias("b"))
-    by_second = _similar_pairs(sets, met.where("NOT linked").join(second, bucket).select(F.col("node").alias("a"), "b"), least)
+    by_second = _similar_pairs(texts, met.where("NOT linked").join(second, bucket).select(F.col("node").alias("a"), "b"), shingle, least)
 
     links = materialised(by_first.unionByName(by_second), "dedup-links")
-    return links.unionByName(_rest_compared(sets, shared.select(*bucket, "node"), links, least))
+    return links.unionByName(_rest_compared(texts, shared.select(*bucket, "node"), links, shingle, least))
 
 
-def _similar_pairs(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of different nodes, each once, whose sets of shingles are similar enough."""
+def _similar_pairs(texts: DataFrame, pairs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs (a, b) of different nodes, each once, whose texts are similar enough.
+
+    Texts travel, not their sets of shingles: these are numbers of 64 bits that do not compress.
+    """
     pairs = pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     pairs = materialised(pairs.distinct(), "dedup-pairs")
-    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-    # Jaccard similarity is at most the ratio of the sizes
-    possible = F.least(F.size("x"), F.size("y")) >= F.greatest(F.size("x"), F.size("y")) * (least - 1e-9)
-    with_both = with_a.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").where(possible)
+    with_a = pairs.join(texts.select(F.col("row").alias("a"), F.col("body").alias("x")), "a")
+    with_both = with_a.join(texts.select(F.col("row").alias("b"), F.col("body").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            good = [i for i in range(batch.num_rows) if set_similarity(x[i].values.to_numpy(), y[i].values.to_numpy()) >= least]
-            yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
+        for whole in batches:
+            for some in portions(whole.column(2)):
+                batch = whole.slice(some.start, some.stop - some.start)
+                x, y = (c.to_pylist() for c in batch.columns[2:])
+                good = [i for i in range(len(x)) if similar(x[i], y[i], shingle) >= least]
+                yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
     return materialised(with_both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "dedup-similar")
 
 
-def _rest_compared(sets: DataFrame, members: DataFrame, links: DataFrame, least: float) -> DataFrame:
+def _rest_compared(texts: DataFrame, members: DataFrame, links: DataFrame, shingle: int, least: float) -> DataFrame:
     """Links (a, b) of all similar texts of one bucket (view, print) that ``links`` do not connect yet.
 
     Texts of a bucket are dealt into blocks, those of its largest component apart from the others; two blocks meet in
@@ -442,7 +437,12 @@ def _rest_compared(sets: DataFrame, members: DataFrame, links: DataFrame, least:
     apart = rooted.join(most.select(*bucket, "major"), bucket).withColumn("major", F.col("root") == F.col("major"))
     apart = materialised(apart, "dedup-apart")
 
-    sets = sets.join(apart.select("node").distinct(), "node", "left_semi").withColumn("size", F.size("set"))
+    def make() -> Callable[[list[str]], list]:
+        return lambda some: [[np.unique(shingle_hashes(t, shingle)).astype(np.int64) for t in some]]
+
+    wanted = texts.join(apart.select(F.col("node").alias("row")).distinct(), "row", "left_semi")
+    sets = with_text_columns(wanted, "body", make, {"set": "array<long>"}, ["row"]).withColumn("size", F.size("set"))
+    sets = materialised(sets.withColumnRenamed("row", "node"), "dedup-sets")
     sized = apart.join(sets.select("node", "size"), "node").groupBy(*bucket, "major").agg(
         F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("size") / BLOCK_SHINGLES)).alias("blocks")
     )
