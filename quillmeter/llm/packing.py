@@ -10,6 +10,7 @@ padding.
 
 from __future__ import annotations
 
+import functools
 import json
 import struct
 import zlib
@@ -124,15 +125,16 @@ def as_bytes(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-#: Bytes of encoded stretches that a task remembers.
+#: Bytes of encoded stretches that a Python worker remembers.
 REMEMBERED_BYTES = 64 << 20
 
 
+@functools.cache
 def stretches(path: str) -> bpe.Memory:
-    """Ids of stretches between white space as bytes, remembered within a task.
+    """Ids of stretches between white space as bytes, kept by a Python worker from task to task.
 
     Words are encoded by the model of the tokenizers library; splitting texts and remembering stretches is done here,
-    because most stretches of a corpus recur. The memory is bounded in bytes and ends with the task, as workers live on.
+    because most stretches of a corpus recur. The memory is bounded in bytes, as workers live on.
     """
     from tokenizers import Tokenizer
 
