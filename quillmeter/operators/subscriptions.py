@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from quillmeter.functions.exprs import col, first_rule, lookup
 
@@ -72,6 +73,35 @@ def downgrade_to_free(users: DataFrame, when: Column) -> DataFrame:
     )
 
 
+def address_spans(addresses: DataFrame) -> DataFrame:
+    """(user_id, email, since, until): when an address belongs to a user, from a table of changes (user_id, email, since,
+    change_id). It ends when the user takes another address or another user takes it. Addresses are compared in
+    lower case. Spans of one address do not overlap."""
+    change = addresses.select("user_id", F.lower("email").alias("email"), "since", "change_id")
+    order = ["since", "change_id"]
+    moved = F.lead("since").over(W.partitionBy("user_id").orderBy(*order))
+    taken = F.lead("since").over(W.partitionBy("email").orderBy(*order))
+    return change.withColumns({"moved": moved, "taken": taken}).select(
+        "user_id", "email", "since", F.least("moved", "taken").alias("until")
+    ).where("until IS NULL OR since < until")
+
+
+def with_owners(events: DataFrame, addresses: DataFrame) -> DataFrame:
+    """``user_id`` of events that only name an address (``email``): its owner at the time of the event.
+
+    events(…, ts, user_id, email), a batch or a stream; addresses as in ``address_spans``. Events without an address keep
+    their user; those whose address belongs to nobody at that time have none. An as-of join: equality on the
+    address, and the one span that covers the time.
+    """
+    spans = address_spans(addresses).select(
+        F.col("user_id").alias("__owner"), F.col("email").alias("__email"), F.col("since").alias("__since"), F.col("until").alias("__until")
+    )
+    covers = (F.col("ts") >= F.col("__since")) & (F.col("__until").isNull() | (F.col("ts") < F.col("__until")))
+    joined = events.join(spans, (F.lower("email") == F.col("__email")) & covers, "left")
+    owner = F.when(F.col("email").isNull(), F.col("user_id")).otherwise(F.col("__owner"))
+    return joined.withColumn("user_id", owner).drop("__owner", "__email", "__since", "__until")
+
+
 def webhook_effects(events: DataFrame) -> DataFrame:
     """What each webhook sets: plan, status and end date; null leaves a field as it was.
 

@@ -45,13 +45,17 @@ def by_key(table: DataFrame, **equals: object) -> DataFrame:
 
 
 def parse_webhooks(raw: DataFrame, body: str = "body") -> DataFrame:
-    """JSON bodies (batch or stream) into typed columns; a body that is no JSON gives nulls."""
+    """JSON bodies (batch or stream) into typed columns; a body that is no JSON gives nulls.
+
+    Payments name the user in their notes; subscriptions name an e-mail address, whose owner at that time is found
+    by ``subscriptions.with_owners``.
+    """
     p = F.from_json(F.col(body), WEBHOOK)
     pay, sub = p["payload"]["payment"]["entity"], p["payload"]["subscription"]["entity"]
     return raw.withColumns(
         {
             "event": p["event"], "payment_id": pay["id"], "amount": pay["amount"], "currency": pay["currency"],
-            "user_id": F.coalesce(pay["notes"]["userId"], sub["customer_id"]).try_cast("long"), "plan": pay["notes"]["plan"],
+            "user_id": pay["notes"]["userId"].try_cast("long"), "email": sub["customer_email"], "plan": pay["notes"]["plan"],
             "end_at": F.timestamp_seconds(sub["end_at"]).cast("timestamp_ntz"),
         }
     ).drop(body)

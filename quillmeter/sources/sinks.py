@@ -13,8 +13,8 @@ from quillmeter.session import ensure_checkpoint_dir
 
 
 def write_csv_report(df: DataFrame, path: str) -> None:
-    """A3: quoted CSV with header, written by the executors in parallel."""
-    df.write.mode("overwrite").option("header", "true").option("quoteAll", "true").csv(path)
+    """A3: quoted CSV with header, written by the executors in parallel. Quotes within a field are doubled."""
+    df.write.mode("overwrite").option("header", "true").option("quoteAll", "true").option("escape", '"').csv(path)
 
 
 def append_rows(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
