@@ -695,20 +695,46 @@ def occupancy(cells: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def covered_area(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, rows, cols, covered, conflicts) of each table without listing positions, by a sweep.
+
+    The row edges of all cells of a table cut it into strips. A cell adds to the strips it reaches, and in each it is two
+    events, one at its first column and one behind its last; the running sum of events is how many cells cover the
+    columns from one event to the next. A span of any size is cut at the edges of other cells only.
+    """
+    spans = cells.select(
+        *keys, "row", "col", (F.col("row") + F.greatest(F.lit(1), "rowspan")).alias("bottom"), (F.col("col") + F.greatest(F.lit(1), "colspan")).alias("right")
+    )
+    table = W.partitionBy(*keys)
+    edges = F.array_sort(F.array_union(F.collect_set("row").over(table), F.collect_set("bottom").over(table)))
+    cut = spans.withColumns({"edges": edges, "rows": F.max("bottom").over(table), "cols": F.max("right").over(table)})
+    reach = F.sequence(F.array_position("edges", F.col("row")), F.array_position("edges", F.col("bottom")) - 1)
+    strips = cut.select(*keys, "rows", "cols", "col", "right", "edges", F.explode(reach).alias("strip")).select(
+        *keys, "rows", "cols", "strip", (F.get("edges", F.col("strip").cast("int")) - F.get("edges", (F.col("strip") - 1).cast("int"))).alias("height"),
+        F.explode(F.array(F.struct(F.col("col").alias("x"), F.lit(1).alias("d")), F.struct(F.col("right").alias("x"), F.lit(-1).alias("d")))).alias("e"),
+    )
+    events = strips.groupBy(*keys, "rows", "cols", "strip", "height", "e.x").agg(F.sum("e.d").alias("d"))
+    along = W.partitionBy(*keys, "strip").orderBy("x")
+    swept = events.withColumns({"covers": F.sum("d").over(along.rowsBetween(W.unboundedPreceding, 0)), "width": F.lead("x").over(along) - F.col("x")})
+    area = F.col("height") * F.col("width")
+    return swept.groupBy(*keys, "rows", "cols").agg(
+        F.coalesce(F.sum(F.when(F.col("covers") > 0, area)), F.lit(0)).cast("long").alias("covered"),
+        F.coalesce(F.sum(F.when(F.col("covers") > 1, area)), F.lit(0)).cast("long").alias("conflicts"),
+    )
+
+
 def span_conflicts(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Tables with a position covered twice."""
-    return occupancy(cells, keys).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("positions"), long_count(F.col("covers") > 1).alias("conflicts")
-    ).withColumn("span_conflict", F.col("conflicts") > 0)
+    area = covered_area(cells, keys)
+    return area.select(*keys, F.col("covered").alias("positions"), "conflicts", (F.col("conflicts") > 0).alias("span_conflict"))
 
 
 def grid_integrity(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Every position of the bounding grid is covered exactly once. Counting suffices: a grid of R x C
     with R x C distinct covered positions and no double cover has no hole, so no position list is built."""
-    return occupancy(cells, keys).groupBy(*keys).agg(
-        (F.max("r") + 1).alias("rows"), (F.max("c") + 1).alias("cols"), F.count(F.lit(1)).alias("covered"),
-        long_count(F.col("covers") > 1).alias("conflicts"),
-    ).withColumn("is_valid", (F.col("covered") == F.col("rows") * F.col("cols")) & (F.col("conflicts") == 0))
+    return covered_area(cells, keys).withColumn(
+        "is_valid", (F.col("covered") == F.col("rows") * F.col("cols")) & (F.col("conflicts") == 0)
+    )
 
 
 def locked_columns(cells: DataFrame, keys: list[str]) -> DataFrame:

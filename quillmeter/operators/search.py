@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from quillmeter.functions.exprs import first_rule
 from quillmeter.operators.scans import top_k
+from quillmeter.sources.sinks import written
+
 
 def _as_table(items: DataFrame, queries: DataFrame | Sequence[str]) -> DataFrame:
     if isinstance(queries, DataFrame):
@@ -16,44 +18,62 @@ def _as_table(items: DataFrame, queries: DataFrame | Sequence[str]) -> DataFrame
     return items.sparkSession.createDataFrame([(q,) for q in dict.fromkeys(queries)], "query string")
 
 
-def _pieces(text: Column) -> Column:
-    """All stretches of one to three letters."""
+def _pieces(text: Column, *sizes: int) -> Column:
+    """Different stretches of so many letters."""
     def of(n: int) -> Column:
         at = F.sequence(F.lit(1), F.length(text) - (n - 1))
         return F.when(F.length(text) >= n, F.transform(at, lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(of(1), of(2), of(3))
+    return F.array_distinct(F.concat(*map(of, sizes)))
+
 
+def _rarest_pieces(needles: DataFrame, postings: DataFrame) -> DataFrame:
+    """(query, piece): for each needle (query, needle) the piece of three letters that fewest entries have.
 
-def _start(text: Column) -> Column:
-    """The piece that every text around ``text`` has: its first three letters, or all of it if shorter."""
-    return F.substring(text, 1, 3)
+    A needle with a piece that no entry has is in no entry and gets none.
+    """
+    own = needles.select("query", "needle", F.explode(_pieces(F.col("needle"), 3)).alias("piece"))
+    found = postings.join(own.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    counted = own.join(found, "piece", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    best = counted.groupBy("query", "needle").agg(F.min(F.struct("n", "piece")).alias("b"))
+    return best.where("b.n > 0").select("query", F.col("b.piece").alias("piece")).distinct()
 
 
 def _with_queries(items: DataFrame, queries: DataFrame | Sequence[str], key: str) -> DataFrame:
     """Entries beside the queries they may score for; queries are a list or a table with column ``query``.
 
-    A score above zero needs one text inside another: the query or one of its words in a title, description,
-    category or keyword, or a keyword or title in the query. The outer text then has the inner one's first three
-    letters, so both kinds meet by equality on such pieces, and no entry is put beside a query it shares none with.
-    Keywords and titles are not empty.
+    A score above zero needs one text inside another: the query or one of its words (three letters or more) in a
+    title, description, category or keyword, or a keyword or title in the query. Postings of pieces of three letters
+    list the entries; of each needle only the rarest piece is looked up. Keywords and titles are looked up in the
+    queries by their first three letters and compared at once. Shorter needles meet the texts that have them as a piece
+    of their own size, which is a hit and no mere candidate. So a pair is proposed only where the rarest piece agrees.
+    Entries are written once, as they may be costly to derive. Keywords and titles are not empty.
     """
     low = items.select("*", F.lower("title").alias("__t"), F.lower("description").alias("__d"),
                        F.lower("category").alias("__c"), F.transform("keywords", lambda k: F.lower(k)).alias("__k"))
+    low = written(low, "search-entries")
     asked = _as_table(items, queries).withColumn("__q", F.lower(F.trim("query"))).where("__q <> ''")
     words = F.filter(F.split("__q", r"\s+"), lambda w: F.length(w) >= 3)
-    inside = F.transform(F.concat(F.array("__q"), words), _start)
-    texts = F.concat(F.array("__t", "__d", "__c"), F.col("__k"))
-    held = F.flatten(F.transform(F.array_compact(texts), _pieces))
-    shown = F.transform(F.concat(F.array("__t"), F.col("__k")), _start)
-
-    def met(mine: Column, theirs: Column) -> DataFrame:
-        left = asked.select("query", F.explode(F.array_distinct(mine)).alias("__piece"))
-        right = low.select(key, F.explode(F.array_distinct(theirs)).alias("__piece"))
-        return left.join(right, "__piece").select("query", key)
-
-    pairs = met(inside, held).unionByName(met(_pieces(F.col("__q")), shown)).distinct()
-    return pairs.join(asked, "query").join(low, key)
+    needles = asked.select("query", F.explode(F.array_distinct(F.concat(F.array("__q"), words))).alias("needle"))
+    texts = F.array_compact(F.concat(F.array("__t", "__d", "__c"), F.col("__k")))
+    titles = low.select(key, F.explode(F.array_distinct(F.array_compact(F.concat(F.array("__t"), F.col("__k"))))).alias("needle"))
+
+    def held(*sizes: int) -> DataFrame:
+        pieces = F.array_distinct(F.flatten(F.transform(texts, lambda x: _pieces(x, *sizes))))
+        return low.select(key, F.explode(pieces).alias("piece"))
+
+    def parts(*sizes: int) -> DataFrame:
+        return asked.select("query", "__q", F.explode(_pieces(F.col("__q"), *sizes)).alias("piece"))
+
+    long_, postings = F.length("needle") >= 3, held(3)
+    pairs = _rarest_pieces(needles.where(long_), postings).join(postings, "piece").select("query", key)
+    inside = titles.where(long_).withColumn("piece", F.substring("needle", 1, 3)).join(parts(3), "piece")
+    pairs = pairs.unionByName(inside.where(F.col("__q").contains(F.col("needle"))).select("query", key))
+    pairs = pairs.unionByName(titles.where(~long_).withColumnRenamed("needle", "piece").join(parts(1, 2), "piece").select("query", key))
+    short = needles.where(~long_).withColumnRenamed("needle", "piece")
+    if not short.isEmpty():
+        pairs = pairs.unionByName(short.join(held(1, 2), "piece").select("query", key))
+    return pairs.distinct().join(asked, "query").join(low, key)
 
 
 def _hits(words: Column, test) -> Column:

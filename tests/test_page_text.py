@@ -109,3 +109,23 @@ def test_multiline_cells_follow_the_lower_edge(spark):
     assert got == [(0, 0, "a b c", 0.0, 36.0), (0, 3, "d", 60.0, 70.0), (1, 0, "e", 0.0, 1.0)]
 
 
+
+
+def test_spans_are_swept_not_listed(spark):
+    rng = random.Random(3)
+    cells = [(k, rng.randint(0, 5), rng.randint(0, 5), rng.randint(0, 4), rng.randint(1, 4)) for k in range(40) for _ in range(rng.randint(1, 8))]
+    want = {}
+    for k in range(40):
+        count = {}
+        for _, r, c, rs, cs in (x for x in cells if x[0] == k):
+            for i in range(r, r + max(1, rs)):
+                for j in range(c, c + cs):
+                    count[i, j] = count.get((i, j), 0) + 1
+        if count:
+            want[k] = (1 + max(r for r, _ in count), 1 + max(c for _, c in count), len(count), sum(v > 1 for v in count.values()))
+    schema = "k long, row long, col long, rowspan int, colspan int"
+    got = {r.k: (r.rows, r.cols, r.covered, r.conflicts) for r in J.covered_area(spark.createDataFrame(cells, schema), ["k"]).collect()}
+    assert got == want
+    huge = spark.createDataFrame([(1, 0, 0, 10**6, 10**6), (1, 5, 7, 1, 1)], schema)
+    assert J.grid_integrity(huge, ["k"]).drop("k").first() == (10**6, 10**6, 10**12, 1, False)
+    assert J.grid_integrity(huge.limit(1), ["k"]).first().is_valid
