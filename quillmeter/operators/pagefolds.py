@@ -1,17 +1,19 @@
 """Order-dependent layout steps (survey group J): a running mean or an already made choice decides the next.
 
-Each is a short Python rule over the rows of one page, handed over as an Arrow table (``applyInArrow`` on
-(doc_id, page)). Pages are bounded and the words already are hash-partitioned by document, so no exchange
-is added. Rules work on plain lists: a page costs its rows, not a data frame.
+Each is a short Python rule over the rows of one page. Spark collects the rows of a page, a bounded group, without an
+exchange where words already are hash-partitioned by document, and hands many pages over in one Arrow batch
+(``mapInArrow``); columns are turned into lists once a batch, and a rule gets slices of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -19,16 +21,33 @@ KEY = ["doc_id", "page"]
 Page = dict[str, list]
 
 
+def _collected(df: DataFrame) -> DataFrame:
+    """One row per page with all its rows."""
+    return df.groupBy(*KEY).agg(F.collect_list(F.struct(*df.columns)).alias("rows")).select("rows")
+
+
+def _bounds(lists: pa.ListArray) -> list[tuple[int, int]]:
+    """Where each page begins and ends among the rows of a batch."""
+    ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+    return list(zip([0, *ends[:-1]], ends, strict=True))
+
+
 def _by_page(df: DataFrame, schema: str, rule: Callable[[Page], list[tuple]]) -> DataFrame:
     """``rule`` turns the columns of a page into output rows."""
-    target = to_arrow_schema(StructType.fromDDL(schema))
+    target, names = to_arrow_schema(StructType.fromDDL(schema)), df.columns
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = rule(table.to_pydict())
-        columns = list(zip(*rows)) if rows else [[] for _ in target.names]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target)], schema=target)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            flat = lists.flatten()
+            columns = {n: flat.field(n).to_pylist() for n in names}
+            rows: list[tuple] = []
+            for low, high in _bounds(lists):
+                rows += rule({n: c[low:high] for n, c in columns.items()})
+            out = zip(*rows, strict=True) if rows else [[] for _ in target.names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, target, strict=True)], schema=target)
 
-    return df.groupBy(*KEY).applyInArrow(run, schema)
+    return _collected(df).mapInArrow(run, schema)
 
 
 def _ordered(page: Page, *order: str) -> list[int]:
@@ -39,14 +58,23 @@ def _ordered(page: Page, *order: str) -> list[int]:
 def _label(words: DataFrame, order: list[str], name: str, rule: Callable[[Page], list[int]]) -> DataFrame:
     """Add an integer label to the words of each page, taken in ``order``."""
     schema = StructType([*words.schema.fields, StructField(name, LongType())])
-
-    def run(table: pa.Table) -> pa.Table:
-        page = table.to_pydict()
-        table = table.take(pa.array(_ordered(page, *order)))
-        labels = rule(table.to_pydict())
-        return table.append_column(pa.field(name, pa.int64()), pa.array(labels, pa.int64()))
-
-    return words.groupBy(*KEY).applyInArrow(run, schema)
+    names = words.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            flat = lists.flatten()
+            columns = {n: flat.field(n).to_pylist() for n in names}
+            taken: list[int] = []
+            labels: list[int] = []
+            for low, high in _bounds(lists):
+                at = [low + i for i in _ordered({n: columns[n][low:high] for n in order}, *order)]
+                taken += at
+                labels += rule({n: [c[i] for i in at] for n, c in columns.items()})
+            rows = flat.take(pa.array(taken, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*[rows.field(n) for n in names], pa.array(labels, pa.int64())], names=[*names, name])
+
+    return _collected(words).mapInArrow(run, schema)
 
 
 def rows_by_font(words: DataFrame, font_tol: float = 2.0, y_factor: float = 0.5) -> DataFrame:
