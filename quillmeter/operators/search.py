@@ -12,6 +12,10 @@ from quillmeter.operators.scans import top_k
 from quillmeter.sources.sinks import written
 
 
+#: A stated list of up to so many queries is scored beside every entry; longer lists and tables go through postings.
+FEW_QUERIES = 64
+
+
 def _as_table(items: DataFrame, queries: DataFrame | Sequence[str]) -> DataFrame:
     if isinstance(queries, DataFrame):
         return queries.select("query").where("query IS NOT NULL").distinct()
@@ -47,10 +51,15 @@ def _with_queries(items: DataFrame, queries: DataFrame | Sequence[str], key: str
     list the entries; of each needle only the rarest piece is looked up. Keywords and titles are looked up in the
     queries by their first three letters and compared at once. Shorter needles meet the texts that have them as a piece
     of their own size, which is a hit and no mere candidate. So a pair is proposed only where the rarest piece agrees.
-    Entries are written once, as they may be costly to derive. Keywords and titles are not empty.
+    Entries are written once, as they may be costly to derive. Keywords and titles are not empty. A short list of
+    queries needs no index: it stands beside each entry.
     """
     low = items.select("*", F.lower("title").alias("__t"), F.lower("description").alias("__d"),
                        F.lower("category").alias("__c"), F.transform("keywords", lambda k: F.lower(k)).alias("__k"))
+    if not isinstance(queries, DataFrame) and len(queries) <= FEW_QUERIES:
+        few = [q for q in dict.fromkeys(queries) if q is not None]
+        listed = F.array(*map(F.lit, few)) if few else F.array().cast("array<string>")
+        return low.withColumn("query", F.explode(listed)).withColumn("__q", F.lower(F.trim("query"))).where("__q <> ''")
     low = written(low, "search-entries")
     asked = _as_table(items, queries).withColumn("__q", F.lower(F.trim("query"))).where("__q <> ''")
     words = F.filter(F.split("__q", r"\s+"), lambda w: F.length(w) >= 3)
