@@ -166,6 +166,24 @@ def weighted_columns(
     )
 
 
+def nearest_band(cells: DataFrame, bands: DataFrame, tol: float) -> DataFrame:
+    """``row`` of each cell is the row band (doc_id, page, row, y) nearest to its centre, the upper one of two
+    equally near; cells farther than ``tol`` from any band drop out. Cells and bands are merged in the order of y, so a
+    cell looks at the bands before and behind it only."""
+    columns = [c for c in cells.columns if c != "row"]
+    keyed = cells.select(*KEY, y_center().alias("__y"), F.struct(*columns).alias("__cell"), F.lit(None).cast("struct<y:double,row:bigint>").alias("__band"))
+    empty = F.lit(None).cast(keyed.schema["__cell"].dataType)
+    marks = bands.select(*KEY, F.col("y").alias("__y"), empty.alias("__cell"), F.struct(F.col("y").cast("double").alias("y"), F.col("row").cast("bigint").alias("row")).alias("__band"))
+    order = W.partitionBy(*KEY).orderBy("__y", F.col("__band").isNull())
+    before = F.last("__band", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
+    behind = F.first("__band", ignorenulls=True).over(order.rowsBetween(0, W.unboundedFollowing))
+    placed = keyed.unionByName(marks).withColumns({"__a": before, "__b": behind}).where("__cell IS NOT NULL")
+    da, db = F.abs(F.col("__a.y") - F.col("__y")), F.abs(F.col("__b.y") - F.col("__y"))
+    first = F.col("__b").isNull() | (da <= db)
+    near = placed.withColumns({"row": F.when(first, F.col("__a.row")).otherwise(F.col("__b.row")), "__d": F.when(first, da).otherwise(db)})
+    return near.where(F.col("__d") <= tol).select("__cell.*", "row")
+
+
 def consensus_columns(rows: DataFrame, tol: float = 0.04, share: float = 0.6) -> DataFrame:
     """Column runs of centres seen within ``tol`` in at least floor(share x rows) rows; if none
     qualifies the leftmost stays."""

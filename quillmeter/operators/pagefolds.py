@@ -180,6 +180,15 @@ def column_count(words: DataFrame, tol: float = 0.02) -> DataFrame:
     return _by_page(words.select(*KEY, "x0", "x1"), "doc_id long, page long, columns long", rule)
 
 
+def detected_columns(words: DataFrame, native_cells: DataFrame, tol: float = 0.02) -> DataFrame:
+    """The widest row of the page's native tables if it has two cells or more, else the clusters of words.
+    native_cells(doc_id, page, table_id, row, col) holds the cells of valid tables."""
+    rows = native_cells.groupBy(*KEY, "table_id", "row").agg(F.count(F.lit(1)).alias("n"))
+    widest = rows.groupBy(*KEY).agg(F.max("n").alias("native")).where("native >= 2")
+    counted = column_count(words, tol).join(widest, KEY, "left")
+    return counted.select(*KEY, F.coalesce("native", "columns").alias("columns"), F.col("native").isNotNull().alias("from_native"))
+
+
 SEPARATORS = {ord(c): None for c in " -/."}
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillmeter.operators import layout as J
 from quillmeter.operators import pagefolds as P
 from quillmeter.plans.profile_queries import words
-from quillmeter.plans.registry import Tables, query
+from quillmeter.plans.registry import ORACLES, Tables, query
 from quillmeter.plans.sqltext import text_list
 from quillmeter.plans.wordsql import WORDS
 from quillmeter.session import ensure_checkpoint_dir
@@ -98,7 +98,20 @@ def rows_dynamic(t: Tables) -> DataFrame:
     return P.rows_dynamic(words(t)).select(*J.KEY, "word_id", "row")
 
 
-@query("j6_rows_by_overlap")
+@query("j6_rows_by_overlap", f"""
+WITH RECURSIVE w AS (SELECT {KEY}, word_id, y0 AS a, y1 AS b, row_number() OVER (PARTITION BY {KEY} ORDER BY word_id) AS rn FROM {WORDS}),
+st AS (
+  SELECT {KEY}, rn, word_id, [{{'lo': a, 'hi': b}}] AS open_rows, 0::BIGINT AS row FROM w WHERE rn = 1
+  UNION ALL
+  SELECT doc_id, page, rn, word_id,
+    CASE WHEN hit IS NULL THEN list_append(open_rows, {{'lo': a, 'hi': b}})
+         ELSE list_transform(open_rows, lambda s, i: CASE WHEN i = hit THEN {{'lo': least(s.lo, a), 'hi': greatest(s.hi, b)}} ELSE s END) END,
+    COALESCE(hit, len(open_rows) + 1) - 1
+  FROM (SELECT w.*, st.open_rows, list_min(list_filter(list_transform(st.open_rows, lambda s, i:
+      CASE WHEN least(w.b, s.hi) > greatest(w.a, s.lo) AND (least(w.b, s.hi) - greatest(w.a, s.lo)) / (greatest(w.b, s.hi) - least(w.a, s.lo)) >= 0.7 THEN i END),
+      lambda k: k IS NOT NULL)) AS hit
+    FROM st JOIN w ON w.doc_id = st.doc_id AND w.page = st.page AND w.rn = st.rn + 1))
+SELECT {KEY}, word_id, row FROM st""")
 def rows_by_overlap(t: Tables) -> DataFrame:
     return P.rows_by_overlap(words(t)).select(*J.KEY, "word_id", "row")
 
@@ -127,7 +140,20 @@ def columns_by_left_edge(t: Tables) -> DataFrame:
     return J.columns_by_left_edge(words(t), 6.0).withColumns(r9("x0", "x1"))
 
 
-@query("j9_leader_columns")
+@query("j9_leader_columns", f"""
+WITH RECURSIVE r AS (SELECT {KEY}, word_id, row FROM ({ORACLES['j2_row_bands']})),
+c AS (SELECT u.doc_id, u.page, {XC} AS x, r.row FROM {UNIT} u JOIN r ON r.doc_id = u.doc_id AND r.page = u.page AND r.word_id = u.word_id),
+d AS (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY x) AS rn FROM (SELECT DISTINCT {KEY}, x FROM c)),
+st AS (
+  SELECT {KEY}, rn, [{{'total': x, 'n': 1}}] AS clusters FROM d WHERE rn = 1
+  UNION ALL
+  SELECT doc_id, page, rn, CASE WHEN hit IS NULL THEN list_append(clusters, {{'total': x, 'n': 1}})
+    ELSE list_transform(clusters, lambda s, i: CASE WHEN i = hit THEN {{'total': s.total + x, 'n': s.n + 1}} ELSE s END) END
+  FROM (SELECT d.*, st.clusters, list_min(list_filter(list_transform(st.clusters, lambda s, i: CASE WHEN abs(d.x - s.total / s.n) <= 0.05 THEN i END), lambda k: k IS NOT NULL)) AS hit
+    FROM st JOIN d ON d.doc_id = st.doc_id AND d.page = st.page AND d.rn = st.rn + 1)),
+m AS (SELECT {KEY}, k.total / k.n AS x FROM (SELECT {KEY}, unnest(arg_max(clusters, rn)) AS k FROM st GROUP BY {KEY})),
+n AS (SELECT m.doc_id, m.page, m.x, count(DISTINCT c.row) AS row_support FROM m JOIN c ON c.doc_id = m.doc_id AND c.page = m.page AND abs(c.x - m.x) <= 0.05 GROUP BY ALL)
+SELECT {KEY}, row_number() OVER (PARTITION BY {KEY} ORDER BY x, row_support) - 1 AS col, round(x, 9) AS x, row_support FROM n WHERE row_support >= 3""")
 def leader_columns(t: Tables) -> DataFrame:
     return P.leader_columns(J.row_bands(unit(t), 0.015), 0.05, 3).withColumns(r9("x"))
 
@@ -213,6 +239,35 @@ def column_count(t: Tables) -> DataFrame:
     return P.column_count(unit(t))
 
 
+NATIVE_MARK = "|"
+
+
+@query("j14_native_columns", f"""
+SELECT {KEY}, COALESCE(n.native, c.columns) AS columns, n.native IS NOT NULL AS from_native FROM ({ORACLES['j14_column_count']}) c LEFT JOIN (
+  SELECT {KEY}, max(n) AS native FROM (SELECT {KEY}, row, count(*) AS n FROM
+    (SELECT DISTINCT {KEY}, CAST(y0 / {S.LINE_H} AS BIGINT) AS row, CAST(floor(x0 / 180) AS BIGINT) AS col, bool_or(contains(text, '{NATIVE_MARK}')) OVER (PARTITION BY {KEY}) AS marked FROM {WORDS})
+    WHERE marked GROUP BY {KEY}, row) GROUP BY {KEY} HAVING max(n) >= 2) n USING ({KEY})""")
+def native_columns(t: Tables) -> DataFrame:
+    """Pages with a bar in some word count as having a native table: its cells are the thirds of their lines."""
+    placed = line_rows(t).withColumn("col", F.floor(F.col("x0") / 180).cast("long"))
+    pages = placed.groupBy(*J.KEY).agg(F.bool_or(F.col("text").contains(NATIVE_MARK)).alias("marked")).where("marked")
+    native = placed.select(*J.KEY, "row", "col").distinct().join(pages, J.KEY, "left_semi").withColumn("table_id", F.lit(0))
+    return P.detected_columns(unit(t), native)
+
+
+@query("j11_nearest_band", f"""
+WITH b AS (SELECT {KEY}, row, avg({YC}) AS y FROM {ROWS} GROUP BY {KEY}, row),
+c AS (SELECT {KEY}, word_id, {YC} + CAST(word_id % 9 AS DOUBLE) / 701.0::DOUBLE AS yc FROM {UNIT}),
+n AS (SELECT c.doc_id, c.page, c.word_id, arg_min({{'row': b.row, 'd': abs(b.y - c.yc)}}, (abs(b.y - c.yc), b.row)) AS near FROM c JOIN b ON b.doc_id = c.doc_id AND b.page = c.page GROUP BY c.doc_id, c.page, c.word_id)
+SELECT {KEY}, word_id, near.row AS row FROM n WHERE near.d <= 0.012""")
+def nearest_band(t: Tables) -> DataFrame:
+    """Words that lie a little below their line, against the bands of the lines."""
+    bands = J.row_bands(unit(t), 0.015).groupBy(*J.KEY, "row").agg(F.avg((F.col("y0") + F.col("y1")) / 2).alias("y"))
+    shift = (F.col("word_id") % 9).cast("double") / 701.0
+    moved = unit(t).withColumns({"y0": J.y_center() + shift, "y1": J.y_center() + shift}).select(*J.KEY, "word_id", "y0", "y1")
+    return J.nearest_band(moved, bands, 0.012).select(*J.KEY, "word_id", "row")
+
+
 @query("j15_assign_nearest", f"SELECT {KEY}, word_id, col, round(distance, 9) AS distance FROM {nearest(UNIT, ANCHORS)}")
 def assign_nearest(t: Tables) -> DataFrame:
     return J.assign_nearest(unit(t), anchors(t)).select(*J.KEY, "word_id", "col", F.round("distance", 9).alias("distance"))
@@ -294,12 +349,33 @@ def logical_cells(t: Tables) -> DataFrame:
     return P.logical_cells(words(t)).select(*J.KEY, "word_id", "cell")
 
 
-@query("j22_merge_numeric")
+def merged_runs(joins: str, shown: str) -> str:
+    """Words by y, then x; ``joins`` tells from block ``b`` and word ``w`` whether the word joins the block before it."""
+    return f"""
+WITH RECURSIVE w AS (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY y0, x0, word_id) AS rn FROM {UNIT}),
+st AS (
+  SELECT {KEY}, rn, 1 AS g, word_id, text, x0, y0, x1, y1 FROM w WHERE rn = 1
+  UNION ALL
+  SELECT doc_id, page, rn, CASE WHEN joins THEN g ELSE g + 1 END, CASE WHEN joins THEN first_id ELSE word_id END,
+    CASE WHEN joins THEN trim(before || ' ' || text) ELSE text END, CASE WHEN joins THEN least(bx0, x0) ELSE x0 END,
+    CASE WHEN joins THEN least(by0, y0) ELSE y0 END, CASE WHEN joins THEN greatest(bx1, x1) ELSE x1 END, CASE WHEN joins THEN greatest(by1, y1) ELSE y1 END
+  FROM (SELECT w.*, b.g, b.word_id AS first_id, b.text AS before, b.x0 AS bx0, b.y0 AS by0, b.x1 AS bx1, b.y1 AS by1, {joins} AS joins
+    FROM st b JOIN w ON w.doc_id = b.doc_id AND w.page = b.page AND w.rn = b.rn + 1))
+SELECT {KEY}, any_value(word_id) AS word_id, arg_max(text, rn) AS text, round(arg_max({shown}, rn), 9) AS {shown} FROM st GROUP BY {KEY}, g"""
+
+
+SPACED_ID = "(contains({0}, ' ') AND length(regexp_replace({0}, '[^0-9]', '', 'g')) BETWEEN 10 AND 12)"
+
+
+@query("j22_merge_numeric", merged_runs(
+    "abs((b.y0 + b.y1) - (w.y0 + w.y1)) / 2 <= (b.y1 - b.y0) * 0.5::DOUBLE AND w.x0 - b.x1 <= 0.05 AND "
+    f"({SPACED_ID.format('b.text')} OR {SPACED_ID.format('w.text')})", "x1"))
 def merge_numeric(t: Tables) -> DataFrame:
     return P.merge_numeric_pieces(unit(t)).select(*J.KEY, "word_id", "text", F.round("x1", 9).alias("x1"))
 
 
-@query("j23_merge_vertical")
+@query("j23_merge_vertical", merged_runs(
+    "w.y0 - b.y1 <= (b.y1 - b.y0) * 0.8::DOUBLE AND abs((b.x0 + b.x1) - (w.x0 + w.x1)) / 2 < (b.x1 - b.x0) * 0.5::DOUBLE", "y1"))
 def merge_vertical(t: Tables) -> DataFrame:
     return P.merge_vertical(unit(t)).select(*J.KEY, "word_id", "text", F.round("y1", 9).alias("y1"))
 
@@ -360,7 +436,18 @@ def merge_lines(t: Tables) -> DataFrame:
     return J.merge_lines(placed.join(pages, J.KEY), mixed=F.col("mixed"))
 
 
-@query("j26_join_continued_lines")
+@query("j26_join_continued_lines", rf"""
+WITH RECURSIVE c AS (SELECT {KEY}, row, col, value, NOT bold AND row <> 0 AND value <> '' AND length(value) < 80 AND NOT regexp_matches(bare, '[.!?।]$') AS may, bare,
+    row_number() OVER (PARTITION BY {KEY}, col ORDER BY row) AS rn FROM (SELECT *, regexp_replace(value, '^\s+|\s+$', '', 'g') AS bare FROM {CELLS})),
+n AS (SELECT c.*, COALESCE(c.may AND b.value <> '' AND NOT (regexp_matches(c.bare, '^\p{{Nd}}+$') AND regexp_matches(b.bare, '^\p{{Nd}}+$')), false) AS wants, b.value AS below
+  FROM c LEFT JOIN c b ON b.doc_id = c.doc_id AND b.page = c.page AND b.col = c.col AND b.row = c.row + 1),
+st AS (
+  SELECT {KEY}, col, rn, row, wants AS takes, CASE WHEN wants THEN value || ' ' || below ELSE value END AS value FROM n WHERE rn = 1
+  UNION ALL
+  SELECT n.doc_id, n.page, n.col, n.rn, n.row, n.wants AND NOT (st.takes AND n.row = st.row + 1),
+    CASE WHEN st.takes AND n.row = st.row + 1 THEN '' WHEN n.wants THEN n.value || ' ' || n.below ELSE n.value END
+  FROM st JOIN n ON n.doc_id = st.doc_id AND n.page = st.page AND n.col = st.col AND n.rn = st.rn + 1)
+SELECT {KEY}, row, col, value FROM st WHERE regexp_matches(value, '\S')""")
 def join_continued_lines(t: Tables) -> DataFrame:
     return P.join_continued_lines(cells(t))
 
@@ -417,7 +504,24 @@ def match_cells(t: Tables) -> DataFrame:
     return J.match_cells_to_blocks(bare_cells, lines).select(*J.KEY, "row", "col", "matched_word", "x0", "y0", "x1", "y1")
 
 
-@query("j31_fill_boxes")
+@query("j31_fill_boxes", f"""
+WITH RECURSIVE h AS (SELECT {KEY}, row, col, CASE WHEN (row + col) % 4 <> 0 THEN {{'a': x0, 'b': y0, 'c': x1, 'd': y1}} END AS box FROM {CELLS}),
+s AS (SELECT {KEY}, max(row) AS rows, max(col) + 1 AS cols, sum(box.c - box.a) / count(box) AS w, sum(box.d - box.b) / count(box) AS t FROM h GROUP BY {KEY} HAVING count(box) > 0),
+g AS (SELECT s.doc_id, s.page, s.cols, s.w, s.t, r, c, r * s.cols + c AS i, h.box FROM (SELECT *, unnest(range(0, cols)) AS c FROM (SELECT *, unnest(range(0, rows + 1)) AS r FROM s)) s
+  LEFT JOIN h ON h.doc_id = s.doc_id AND h.page = s.page AND h.row = s.r AND h.col = s.c),
+st AS (
+  SELECT {KEY}, i, [box] AS boxes FROM g WHERE i = 0
+  UNION ALL
+  SELECT doc_id, page, i, list_append(boxes, CASE WHEN box IS NOT NULL THEN box
+    WHEN lft IS NOT NULL THEN {{'a': lft.c, 'b': lft.b, 'c': lft.c + w, 'd': lft.d}}
+    WHEN up IS NOT NULL THEN {{'a': up.a, 'b': up.d, 'c': up.c, 'd': up.d + t}}
+    WHEN diag IS NOT NULL THEN {{'a': diag.c, 'b': diag.d, 'c': diag.c + w, 'd': diag.d + t}} END)
+  FROM (SELECT g.*, st.boxes, CASE WHEN g.c > 0 THEN st.boxes[g.i] END AS lft, CASE WHEN g.r > 0 THEN st.boxes[g.i - g.cols + 1] END AS up,
+      CASE WHEN g.c > 0 AND g.r > 0 THEN st.boxes[g.i - g.cols] END AS diag
+    FROM st JOIN g ON g.doc_id = st.doc_id AND g.page = st.page AND g.i = st.i + 1))
+SELECT f.doc_id, f.page, g.r AS row, g.c AS col, round(f.box.a, 9) AS x0, round(f.box.b, 9) AS y0, round(f.box.c, 9) AS x1, round(f.box.d, 9) AS y1, g.box IS NULL AS inferred
+FROM (SELECT {KEY}, unnest(range(0, len(boxes))) AS i, unnest(boxes) AS box FROM (SELECT {KEY}, arg_max(boxes, i) AS boxes FROM st GROUP BY {KEY})) f
+JOIN g ON g.doc_id = f.doc_id AND g.page = f.page AND g.i = f.i WHERE f.box IS NOT NULL""")
 def fill_boxes(t: Tables) -> DataFrame:
     return P.fill_boxes(holed(t)).withColumns(r9("x0", "x1", "y0", "y1"))
 

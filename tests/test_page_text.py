@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmeter.operators import layout as J
+from quillmeter.operators import pagefolds as P
 from quillmeter.operators import textjoin as X
 
 
@@ -129,3 +130,17 @@ def test_spans_are_swept_not_listed(spark):
     huge = spark.createDataFrame([(1, 0, 0, 10**6, 10**6), (1, 5, 7, 1, 1)], schema)
     assert J.grid_integrity(huge, ["k"]).drop("k").first() == (10**6, 10**6, 10**12, 1, False)
     assert J.grid_integrity(huge.limit(1), ["k"]).first().is_valid
+
+
+def test_nearest_band_takes_the_upper_one_on_ties(spark):
+    cells = spark.createDataFrame([(1, 1, i, y, y) for i, y in enumerate([0.0, 4.0, 5.0, 6.0, 10.5, 99.0])] + [(2, 1, 0, 1.0, 1.0)], "doc_id long, page long, n long, y0 double, y1 double")
+    bands = spark.createDataFrame([(1, 1, 0, 0.0), (1, 1, 1, 10.0)], "doc_id long, page long, row long, y double")
+    got = {(r.doc_id, r.n): r.row for r in J.nearest_band(cells, bands, 5.0).collect()}
+    assert got == {(1, 0): 0, (1, 1): 0, (1, 2): 0, (1, 3): 1, (1, 4): 1}
+
+
+def test_native_tables_decide_the_number_of_columns(spark):
+    words = spark.createDataFrame([(d, 1, i, x, x + 0.01) for d in (1, 2, 3) for i, x in enumerate([0.1, 0.1, 0.5, 0.5])], "doc_id long, page long, word_id long, x0 double, x1 double")
+    native = spark.createDataFrame([(1, 1, t, r, c) for t, r, n in [(0, 0, 3), (0, 1, 2), (1, 0, 4)] for c in range(n)] + [(2, 1, 0, 0, 0)], "doc_id long, page long, table_id long, row long, col long")
+    got = {r.doc_id: (r.columns, r.from_native) for r in P.detected_columns(words, native).collect()}
+    assert got == {1: (4, True), 2: (2, False), 3: (2, False)}
