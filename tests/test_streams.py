@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 
 from quillmeter.operators import subscriptions as S
+from quillmeter.sources import sinks as K
 from quillmeter.sources.sinks import append_stream
 from quillmeter.streaming import streams as X
 
@@ -81,3 +82,39 @@ def test_the_owner_of_an_address_depends_on_the_time(spark):
     got = {r.event_id: r.user_id for r in S.with_owners(events, addresses).collect()}
     assert got == {1: 1, 2: None, 3: 1, 4: 2, 5: 3, 6: 5, 7: 77, 8: None, 9: None}
     assert S.with_owners(events, addresses).columns == events.columns
+
+
+def test_an_additive_table_lives_on(spark, tmp_path):
+    path, keys, amounts = str(tmp_path / "table"), ["k"], ["n", "bytes"]
+    batch = lambda *rows: spark.createDataFrame(list(rows), "k string, n long, bytes long")
+    table = lambda: {r.k: (r.n, r.bytes) for r in K.read_additive_table(spark, path, keys, amounts).collect()}
+    store = lambda n, *rows: K.store_increments(batch(*rows), n, path, keys, amounts)
+    store(0, ("a", 1, 10), ("a", 2, 20), ("b", 5, 1))
+    store(1, ("a", 1, 1))
+    store(1, ("a", 1, 1))  # comes again
+    assert table() == {"a": (4, 31), "b": (5, 1)}
+    K.compact_additive_table(spark, path, keys, amounts)
+    store(0, ("a", 1, 10), ("a", 2, 20), ("b", 5, 1))  # comes again after compaction
+    store(2, ("c", 7, 7))
+    assert table() == {"a": (4, 31), "b": (5, 1), "c": (7, 7)}
+    assert K._numbers(spark, f"{path}/log", "batch") == [2] and K._numbers(spark, f"{path}/snapshots", "upto") == [1]
+    # a crash while the next snapshot is written: no marker, so it does not count
+    batch(("a", 999, 999)).write.parquet(f"{path}/snapshots/upto=2")
+    K._drop(spark, f"{path}/snapshots/upto=2/_SUCCESS")
+    assert table() == {"a": (4, 31), "b": (5, 1), "c": (7, 7)}
+    K.compact_additive_table(spark, path, keys, amounts)
+    # a crash before the old folders are dropped: the log is there again, behind the snapshot
+    batch(("c", 7, 7)).write.parquet(f"{path}/log/batch=2")
+    assert table() == {"a": (4, 31), "b": (5, 1), "c": (7, 7)}
+    K.compact_additive_table(spark, path, keys, amounts)
+    assert K._numbers(spark, f"{path}/log", "batch") == []
+
+
+def test_a_stream_compacts_its_table(spark, tmp_path):
+    schema, path = "k long, n long", str(tmp_path / "table")
+    for i in range(4):
+        spark.createDataFrame([(i % 2, i), (7, 1)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        rows = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        K.additive_table_stream(rows, path, f"{tmp_path}/state", ["k"], ["n"], compact_every=2).awaitTermination()
+    assert {r.k: r.n for r in K.read_additive_table(spark, path, ["k"], ["n"]).collect()} == {0: 2, 1: 4, 7: 4}
+    assert K._numbers(spark, f"{path}/log", "batch") == [] and K._numbers(spark, f"{path}/snapshots", "upto") == [3]
