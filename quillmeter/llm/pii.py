@@ -9,6 +9,7 @@ dropped without retries); further kinds are added by cues.
 from __future__ import annotations
 
 import hashlib
+import re
 import string
 from collections.abc import Callable
 
@@ -38,6 +39,13 @@ SECRET = ALNUM | frozenset("_-+/=")
 #: Fixed cue words: an identifier follows them.
 ACCOUNT_CUES = ("iban", "account", "acct", "konto", "compte", "cuenta", "passport", "ssn")
 SECRET_CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "api key", "access_key")
+#: Fixed lengths of international bank account numbers by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18,
+    "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21,
+    "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27,
+}
+DATE = re.compile(r"[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4}")
 
 
 def anchors() -> ahocorasick.Automaton:
@@ -49,7 +57,9 @@ def anchors() -> ahocorasick.Automaton:
         found.add_word(d, ("digit", 1))
     for kind, cues in (("account", ACCOUNT_CUES), ("secret", SECRET_CUES)):
         for cue in cues:
-            for word in {cue, cue.upper(), cue.capitalize()}:
+            parts = [w for w in re.split("[_ ]", cue)]
+            glued = {sep.join(w.capitalize() for w in parts) for sep in ("", "_", " ", "-")} if len(parts) > 1 else set()
+            for word in {cue, cue.upper(), cue.capitalize()} | glued:
                 found.add_word(word, (kind, len(word)))
     found.make_automaton()
     return found
@@ -158,6 +168,10 @@ def _cued(text: str, kind: str, start: int, end: int) -> tuple[int, int] | None:
     if kind == "secret":
         b = _run(text, a, SECRET)
         return (a, b) if b - a >= 16 and not DIGITS.isdisjoint(text[a:b]) else None
+    if span := _iban(text, a):
+        return span
+    if DATE.match(text, a):
+        return None
     b = a
     while b < len(text) and (text[b] in ACCOUNT or text[b] in " -" and b + 1 < len(text) and text[b + 1] in DIGITS):
         b += 1
@@ -165,6 +179,32 @@ def _cued(text: str, kind: str, start: int, end: int) -> tuple[int, int] | None:
     return (a, b) if 8 <= digits <= 34 and b - a <= 48 else None
 
 
+def iban_ok(letters: str) -> bool:
+    """Country and check digits first; behind the rest, with letters as 10 to 35, they leave 1 modulo 97."""
+    turned = letters[4:] + letters[:4]
+    return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
+
+
+def _iban(text: str, at: int) -> tuple[int, int] | None:
+    """A bank account number in groups parted by single blanks, of its country's length and with right check digits.
+
+    Of a country without a known length, the longest number of 15 to 34 letters and digits that ends with a group counts.
+    """
+    if not (re.fullmatch("[A-Za-z]{2}[0-9]{2}", text[at : at + 4])):
+        return None
+    length = IBAN_LENGTHS.get(text[at : at + 2].upper())
+    letters, b, best = "", at, None
+    while b < len(text) and len(letters) < (length or 34):
+        if text[b] in ALNUM:
+            letters += text[b].upper()
+        elif text[b] != " " or text[b - 1] == " ":
+            break
+        b += 1
+        if text[b - 1] in ALNUM and (b == len(text) or text[b] not in ALNUM) and (len(letters) == length if length else len(letters) >= 15) and iban_ok(letters):
+            best = (at, b)
+    return best
+
+
 def find(text: str, automaton: ahocorasick.Automaton) -> list[Span]:
     """All spans (start, end, kind) by start, then kind; code points, end exclusive."""
     out: list[Span] = []

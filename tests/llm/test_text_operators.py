@@ -91,6 +91,27 @@ def test_cues_and_redaction():
     assert pii.find("tokenised accountant 12345678", pii.anchors()) == []
 
 
+@pytest.mark.parametrize(
+    "text, kinds",
+    [
+        ("IBAN GB82 WEST 1234 5698 7654 32 and more", ["GB82 WEST 1234 5698 7654 32"]),
+        ("iban: DE89370400440532013000.", ["DE89370400440532013000"]),
+        ("IBAN DE89 3704 0044 0532 0130 00 12", ["DE89 3704 0044 0532 0130 00"]),
+        ("account 2024-01-01 00 11", []),
+        ("Account: 01.02.2024 1234", []),
+        ("account 12345678", ["12345678"]),
+    ],
+)
+def test_accounts(text, kinds):
+    assert [text[a:b] for a, b, k in pii.find(text, pii.anchors()) if k == "account"] == kinds
+
+
+def test_check_digits_of_accounts():
+    assert pii.iban_ok("GB82WEST12345698765432") and not pii.iban_ok("GB82WEST12345698765433")
+    for cue in ("Api_Key", "ApiKey", "api_key", "API_KEY"):
+        assert [k for _, _, k in pii.find(f"{cue}=0123456789abcdef01", pii.anchors())] == ["secret"]
+
+
 def test_personal_data_of_odd_rows(odd_docs, documents):
     rows = pii.digest(odd_docs).collect()
     assert len(rows) == len(ODD) and all(r.spans == "" and r.n_email == 0 for r in rows)
