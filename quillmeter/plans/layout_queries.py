@@ -311,8 +311,10 @@ def grid(t: Tables) -> DataFrame:
 
 @query("j17_grid_boundaries")
 def grid_boundaries(t: Tables) -> DataFrame:
-    return grid(t).select(*J.KEY, F.array_join(F.transform("columns", lambda v: v.cast("string")), ",").alias("columns"),
-                          F.size("rows").cast("long").alias("rows"), F.round("confidence", 9).alias("confidence"))
+    """Every border of columns and rows, with the confidence of its page."""
+    borders = F.array(F.struct(F.lit("column").alias("axis"), F.col("columns").alias("at")), F.struct(F.lit("row").alias("axis"), F.col("rows").alias("at")))
+    each = grid(t).select(*J.KEY, F.round("confidence", 9).alias("confidence"), F.explode(borders).alias("b"))
+    return each.select(*J.KEY, "confidence", "b.axis", F.posexplode("b.at").alias("pos", "border"))
 
 
 @query("j18_snap_text_to_grid")
@@ -337,11 +339,15 @@ def suppressed_on_page(t: Tables) -> DataFrame:
     return J.suppress_repeated_on_page(words(t), S.PAGE_H).select(*J.KEY, "word_id", "text")
 
 
-@query("j20_two_column_split", f"""SELECT {KEY}, greatest(0.0, xs[1] - 20) AS "left", xs[len(xs) // 2 + 1] AS middle, least({S.PAGE_W}::DOUBLE, xs[-1] + 20) AS "right",
-  len(list_distinct(ys || [greatest(list_max(ys), {S.PAGE_H}::DOUBLE), least(list_min(ys), 0.0)])) AS row_bounds
-FROM (SELECT {KEY}, list_sort(list(x0)) AS xs, list_distinct(list(y0)) AS ys FROM {WORDS} GROUP BY {KEY})""")
+@query("j20_two_column_split", f"""SELECT {KEY}, "left", middle, "right", unnest(range(0, len(bs))) AS pos, unnest(bs) AS bound FROM (
+  SELECT {KEY}, greatest(0.0, xs[1] - 20) AS "left", xs[len(xs) // 2 + 1] AS middle, least({S.PAGE_W}::DOUBLE, xs[-1] + 20) AS "right",
+    list_sort(list_distinct(ys || [greatest(list_max(ys), {S.PAGE_H}::DOUBLE), least(list_min(ys), 0.0)])) AS bs
+  FROM (SELECT {KEY}, list_sort(list(x0)) AS xs, list_distinct(list(y0)) AS ys FROM {WORDS} GROUP BY {KEY}))""")
 def two_column_split(t: Tables) -> DataFrame:
-    return J.two_column_split(words(t), S.PAGE_W, S.PAGE_H).withColumn("row_bounds", F.size("row_bounds").cast("long"))
+    """The columns of each page with every border of its rows."""
+    split = J.two_column_split(words(t), S.PAGE_W, S.PAGE_H)
+    bounds = F.posexplode(F.array_sort("row_bounds")).alias("pos", "bound")
+    return split.select(*J.KEY, "left", "middle", "right", bounds).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("j21_logical_cells")
