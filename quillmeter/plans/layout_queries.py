@@ -140,20 +140,25 @@ def columns_by_left_edge(t: Tables) -> DataFrame:
     return J.columns_by_left_edge(words(t), 6.0).withColumns(r9("x0", "x1"))
 
 
-@query("j9_leader_columns", f"""
-WITH RECURSIVE r AS (SELECT {KEY}, word_id, row FROM ({ORACLES['j2_row_bands']})),
-c AS (SELECT u.doc_id, u.page, {XC} AS x, r.row FROM {UNIT} u JOIN r ON r.doc_id = u.doc_id AND r.page = u.page AND r.word_id = u.word_id),
+def leaders(placed: str, tol: float, least_rows: int) -> str:
+    """Clusters of centres, left to right, joined to the first cluster whose mean is near; ``placed`` has x and row."""
+    return f"""
+WITH RECURSIVE c AS ({placed}),
 d AS (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY x) AS rn FROM (SELECT DISTINCT {KEY}, x FROM c)),
 st AS (
   SELECT {KEY}, rn, [{{'total': x, 'n': 1}}] AS clusters FROM d WHERE rn = 1
   UNION ALL
   SELECT doc_id, page, rn, CASE WHEN hit IS NULL THEN list_append(clusters, {{'total': x, 'n': 1}})
     ELSE list_transform(clusters, lambda s, i: CASE WHEN i = hit THEN {{'total': s.total + x, 'n': s.n + 1}} ELSE s END) END
-  FROM (SELECT d.*, st.clusters, list_min(list_filter(list_transform(st.clusters, lambda s, i: CASE WHEN abs(d.x - s.total / s.n) <= 0.05 THEN i END), lambda k: k IS NOT NULL)) AS hit
+  FROM (SELECT d.*, st.clusters, list_min(list_filter(list_transform(st.clusters, lambda s, i: CASE WHEN abs(d.x - s.total / s.n) <= {tol} THEN i END), lambda k: k IS NOT NULL)) AS hit
     FROM st JOIN d ON d.doc_id = st.doc_id AND d.page = st.page AND d.rn = st.rn + 1)),
 m AS (SELECT {KEY}, k.total / k.n AS x FROM (SELECT {KEY}, unnest(arg_max(clusters, rn)) AS k FROM st GROUP BY {KEY})),
-n AS (SELECT m.doc_id, m.page, m.x, count(DISTINCT c.row) AS row_support FROM m JOIN c ON c.doc_id = m.doc_id AND c.page = m.page AND abs(c.x - m.x) <= 0.05 GROUP BY ALL)
-SELECT {KEY}, row_number() OVER (PARTITION BY {KEY} ORDER BY x, row_support) - 1 AS col, round(x, 9) AS x, row_support FROM n WHERE row_support >= 3""")
+n AS (SELECT m.doc_id, m.page, m.x, count(DISTINCT c.row) AS row_support FROM m JOIN c ON c.doc_id = m.doc_id AND c.page = m.page AND abs(c.x - m.x) <= {tol} GROUP BY ALL)
+SELECT {KEY}, row_number() OVER (PARTITION BY {KEY} ORDER BY x, row_support) - 1 AS col, round(x, 9) AS x, row_support FROM n WHERE row_support >= {least_rows}"""
+
+
+@query("j9_leader_columns", leaders(f"""SELECT u.doc_id, u.page, {XC} AS x, r.row FROM {UNIT} u
+  JOIN ({ORACLES['j2_row_bands']}) r ON r.doc_id = u.doc_id AND r.page = u.page AND r.word_id = u.word_id""", 0.05, 3))
 def leader_columns(t: Tables) -> DataFrame:
     return P.leader_columns(J.row_bands(unit(t), 0.015), 0.05, 3).withColumns(r9("x"))
 
@@ -561,7 +566,21 @@ def left_right(t: Tables) -> DataFrame:
     return J.left_right_alignment(unit(t))
 
 
-@query("j34_table_candidate")
+BANDS = leaders(f"SELECT {KEY}, {XC} AS x, row FROM {numbered(UNIT, rounded(50))}", 0.08, 1)
+CANDIDATES = f"""(
+  WITH w AS (SELECT {KEY}, {XC} AS x, {rounded(50)} AS r, length(text) - length(regexp_replace(text, '\\p{{Nd}}', '', 'g')) AS digits, length(text) AS size, contains(text, ' ') AS spaced FROM {UNIT}),
+  r AS (SELECT {KEY}, r, count(*) AS n, list_sort(list_distinct(list(x))) AS xs,
+      CAST(sum(CAST(digits BETWEEN 10 AND 12 AND spaced AS INTEGER) + CAST(digits BETWEEN 4 AND 9 AND size <= 20 AS INTEGER)) AS BIGINT) AS num FROM w GROUP BY {KEY}, r),
+  a AS (SELECT *, n >= 2 AND len(xs) >= 2 AND COALESCE(list_bool_or(list_transform(range(2, len(xs) + 1), lambda i: xs[i] - xs[i - 1] >= 0.05)), false) AS wide FROM r),
+  f AS (SELECT {KEY}, CAST(sum(n) AS BIGINT) AS blocks, count(*) FILTER (WHERE wide) AS aligned_rows, CAST(COALESCE(sum(num) FILTER (WHERE n >= 2), 0) AS BIGINT) AS numeric_blocks,
+    CAST(len(list_distinct(flatten(list(CASE WHEN wide THEN xs ELSE [] END)))) AS BIGINT) AS positions,
+    CAST(sum(CASE WHEN wide THEN len(xs) ELSE 0 END) AS BIGINT) AS position_count FROM a GROUP BY {KEY}),
+  v AS (SELECT {KEY}, count(*) AS vertical_bands FROM ({BANDS}) WHERE row_support >= 2 GROUP BY {KEY})
+  SELECT *, blocks >= 30 AND aligned_rows >= 3 AND position_count >= 10 AND vertical_bands >= 2 AND numeric_blocks >= 2 AS is_candidate
+  FROM (SELECT f.*, COALESCE(v.vertical_bands, 0) AS vertical_bands FROM f LEFT JOIN v USING ({KEY})))"""
+
+
+@query("j34_table_candidate", f"SELECT * FROM {CANDIDATES}")
 def table_candidate(t: Tables) -> DataFrame:
     w = unit(t)
     bands = P.leader_columns(J.with_row_number(w, J.rounded_y(50)), 0.08)

@@ -12,7 +12,7 @@ from quillmeter.operators import pagesets as M
 from quillmeter.operators import profile as I
 from quillmeter.operators import qa as L
 from quillmeter.plans.cell_queries import FILLED, SHEET, sheet
-from quillmeter.plans.layout_queries import CELLS, KEY, cells, left_right, unit
+from quillmeter.plans.layout_queries import CANDIDATES, CELLS, KEY, cells, left_right, unit
 from quillmeter.plans.profile_queries import BY_NAME, TEXTS, texts, words
 from quillmeter.plans.registry import Tables, query
 from quillmeter.plans.wordsql import WORDS
@@ -238,7 +238,8 @@ def simple_fallback(t: Tables) -> DataFrame:
     return visual_complexity(t).select("doc_id", L.simple_fallback(plan, (d % 100) / 100.0, F.col("complexity")).alias("use_fallback"))
 
 
-@query("l15_visual_table_confidence")
+@query("l15_visual_table_confidence", f"""SELECT *, round(CASE WHEN is_candidate THEN least(1.0, aligned_rows / 10.0::DOUBLE * 0.4::DOUBLE
+  + vertical_bands / 5.0::DOUBLE * 0.3::DOUBLE + numeric_blocks / 10.0::DOUBLE * 0.3::DOUBLE) ELSE 0.0 END, 9) AS visual_confidence FROM {CANDIDATES}""")
 def visual_table_confidence(t: Tables) -> DataFrame:
     w = unit(t)
     bands = P.leader_columns(J.with_row_number(w, J.rounded_y(50)), 0.08)

@@ -18,8 +18,8 @@ HAND_MADE = {
 }
 #: Queries that are only known to run.
 ROWS_ONLY = {
-    "j17_grid_boundaries", "j18_snap_text_to_grid", "j34_table_candidate", "j38_soft_table", "j39_visual_grid", "j39_hybrid_grid",
-    "j44_resume_rows", "j44_statement_rows", "k11_generic_fixes", "k11_fixes_by_type", "l8_route_measured", "l15_visual_table_confidence",
+    "j17_grid_boundaries", "j18_snap_text_to_grid", "j38_soft_table", "j39_visual_grid", "j39_hybrid_grid",
+    "j44_resume_rows", "j44_statement_rows", "k11_generic_fixes", "k11_fixes_by_type", "l8_route_measured",
 }
 
 
