@@ -1,14 +1,15 @@
 """Order-dependent layout steps (survey group J): a running mean or an already made choice decides the next.
 
-Each is a short Python rule over the rows of one page. Spark collects the rows of a page, a bounded group, without an
-exchange where words already are hash-partitioned by document, and hands many pages over in one Arrow batch
-(``mapInArrow``); columns are turned into lists once a batch, and a rule gets slices of them.
+Each is a short Python rule over the rows of one page. Spark sorts the rows by page, without an exchange where words
+already are hash-partitioned by document, and streams them in Arrow batches of rows (``mapInArrow``); columns are turned
+into lists once a batch, and a rule gets slices of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -16,65 +17,73 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.window import Window as W
 
 KEY = ["doc_id", "page"]
 Page = dict[str, list]
 
 
-def _collected(df: DataFrame) -> DataFrame:
-    """One row per page with all its rows."""
-    return df.groupBy(*KEY).agg(F.collect_list(F.struct(*df.columns)).alias("rows")).select("rows")
+def _pages(df: DataFrame, names: list[str], order: list[str], run: Callable[[pa.RecordBatch, list[int]], pa.RecordBatch], schema: StructType | str) -> DataFrame:
+    """``run`` gets the whole pages of about one Arrow batch, their rows in ``order``, and where each page begins.
 
+    A page may begin in one batch and end in a later one; its pieces wait until the next page begins. So a task holds one
+    batch and one page, however many pages it has and however large they are.
+    """
+    page = W.partitionBy(*KEY).orderBy(*order)
+    numbered = df.select(*names, F.row_number().over(page).alias("__n")).sortWithinPartitions(*KEY, *order)
 
-def _bounds(lists: pa.ListArray) -> list[tuple[int, int]]:
-    """Where each page begins and ends among the rows of a batch."""
-    ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)).tolist()
-    return list(zip([0, *ends[:-1]], ends, strict=True))
+    def whole(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        starts = np.flatnonzero(table.column("__n").to_numpy() == 1).tolist()
+        return run(table.select(names).to_batches()[0], [*starts, table.num_rows])
 
-
-def _by_page(df: DataFrame, schema: str, rule: Callable[[Page], list[tuple]]) -> DataFrame:
-    """``rule`` turns the columns of a page into output rows."""
-    target, names = to_arrow_schema(StructType.fromDDL(schema)), df.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
         for batch in batches:
-            lists = batch.column(0)
-            flat = lists.flatten()
-            columns = {n: flat.field(n).to_pylist() for n in names}
-            rows: list[tuple] = []
-            for low, high in _bounds(lists):
-                rows += rule({n: c[low:high] for n, c in columns.items()})
-            out = zip(*rows, strict=True) if rows else [[] for _ in target.names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, target, strict=True)], schema=target)
-
-    return _collected(df).mapInArrow(run, schema)
+            starts = np.flatnonzero(batch.column(batch.schema.get_field_index("__n")).to_numpy(zero_copy_only=False) == 1)
+            if starts.size:
+                last = int(starts[-1])
+                ready = [*waiting, batch.slice(0, last)] if last else waiting
+                if ready:
+                    yield whole(ready)
+                waiting = []
+                batch = batch.slice(last)
+            if batch.num_rows:
+                waiting.append(batch)
+        if waiting:
+            yield whole(waiting)
+
+    return numbered.mapInArrow(stream, schema)
+
+
+def _by_page(df: DataFrame, schema: str, order: list[str], rule: Callable[[Page], list[tuple]]) -> DataFrame:
+    """``rule`` turns the columns of a page, its rows in ``order``, into output rows."""
+    target, names = to_arrow_schema(StructType.fromDDL(schema)), df.columns
 
+    def run(batch: pa.RecordBatch, ends: list[int]) -> pa.RecordBatch:
+        columns = {n: batch.column(i).to_pylist() for i, n in enumerate(names)}
+        rows: list[tuple] = []
+        for low, high in pairwise(ends):
+            rows += rule({n: c[low:high] for n, c in columns.items()})
+        out = zip(*rows, strict=True) if rows else [[] for _ in target.names]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, target, strict=True)], schema=target)
 
-def _ordered(page: Page, *order: str) -> list[int]:
-    keys = list(zip(*(page[c] for c in order)))
-    return sorted(range(len(keys)), key=keys.__getitem__)
+    return _pages(df, names, order, run, schema)
 
 
-def _label(words: DataFrame, order: list[str], name: str, rule: Callable[[Page], list[int]]) -> DataFrame:
-    """Add an integer label to the words of each page, taken in ``order``."""
+def _label(words: DataFrame, order: list[str], name: str, reads: list[str], rule: Callable[[Page], list[int]]) -> DataFrame:
+    """Add an integer label to the words of each page, taken in ``order``; ``rule`` gets the columns it ``reads``."""
     schema = StructType([*words.schema.fields, StructField(name, LongType())])
     names = words.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(0)
-            flat = lists.flatten()
-            columns = {n: flat.field(n).to_pylist() for n in names}
-            taken: list[int] = []
-            labels: list[int] = []
-            for low, high in _bounds(lists):
-                at = [low + i for i in _ordered({n: columns[n][low:high] for n in order}, *order)]
-                taken += at
-                labels += rule({n: [c[i] for i in at] for n, c in columns.items()})
-            rows = flat.take(pa.array(taken, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*[rows.field(n) for n in names], pa.array(labels, pa.int64())], names=[*names, name])
+    def run(batch: pa.RecordBatch, ends: list[int]) -> pa.RecordBatch:
+        columns = {n: batch.column(names.index(n)).to_pylist() for n in reads}
+        labels: list[int] = []
+        for low, high in pairwise(ends):
+            labels += rule({n: c[low:high] for n, c in columns.items()})
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.int64())], names=[*names, name])
 
-    return _collected(words).mapInArrow(run, schema)
+    return _pages(words, names, order, run, schema)
 
 
 def rows_by_font(words: DataFrame, font_tol: float = 2.0, y_factor: float = 0.5) -> DataFrame:
@@ -90,7 +99,7 @@ def rows_by_font(words: DataFrame, font_tol: float = 2.0, y_factor: float = 0.5)
             out.append(row)
         return out
 
-    return _label(words, ["y0", "word_id"], "row", rule)
+    return _label(words, ["y0", "word_id"], "row", ["y0", "y1", "font_size"], rule)
 
 
 def rows_dynamic(words: DataFrame, reach: float = 50.0) -> DataFrame:
@@ -112,7 +121,7 @@ def rows_dynamic(words: DataFrame, reach: float = 50.0) -> DataFrame:
             out.append(row)
         return out
 
-    return _label(words, ["y0", "word_id"], "row", rule)
+    return _label(words, ["y0", "word_id"], "row", ["y0", "font_size", "x0", "x1"], rule)
 
 
 def rows_by_overlap(words: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -132,7 +141,7 @@ def rows_by_overlap(words: DataFrame, threshold: float = 0.7) -> DataFrame:
                 spans.append([a, b])
         return out
 
-    return _label(words, ["word_id"], "row", rule)
+    return _label(words, ["word_id"], "row", ["y0", "y1"], rule)
 
 
 def leader_columns(rows: DataFrame, tol: float, min_rows: int = 1) -> DataFrame:
@@ -160,7 +169,7 @@ def leader_columns(rows: DataFrame, tol: float, min_rows: int = 1) -> DataFrame:
         return [(p["doc_id"][0], p["page"][0], i, x, n) for i, (x, n) in enumerate(sorted(found))]
 
     return _by_page(
-        rows.select(*KEY, "row", "x0", "x1"), "doc_id long, page long, col long, x double, row_support long", rule
+        rows.select(*KEY, "row", "x0", "x1"), "doc_id long, page long, col long, x double, row_support long", ["x0"], rule
     )
 
 
@@ -177,7 +186,7 @@ def column_count(words: DataFrame, tol: float = 0.02) -> DataFrame:
         count += n >= 2
         return [(p["doc_id"][0], p["page"][0], 1 if len(xs) < 3 else count)]
 
-    return _by_page(words.select(*KEY, "x0", "x1"), "doc_id long, page long, columns long", rule)
+    return _by_page(words.select(*KEY, "x0", "x1"), "doc_id long, page long, columns long", ["x0"], rule)
 
 
 def detected_columns(words: DataFrame, native_cells: DataFrame, tol: float = 0.02) -> DataFrame:
@@ -244,7 +253,7 @@ def logical_cells(words: DataFrame, overlap: float = 0.7, height_factor: float =
             cells += 1
         return owner
 
-    return _label(words, ["y0", "x0", "word_id"], "cell", rule)
+    return _label(words, ["y0", "x0", "word_id"], "cell", ["x0", "x1", "y0", "y1", "text"], rule)
 
 
 BLOCK = ["doc_id", "page", "word_id", "text", "x0", "y0", "x1", "y1", "font_size"]
@@ -255,10 +264,8 @@ def _merge_runs(words: DataFrame, joins: Callable[[list, tuple], bool]) -> DataF
     """Join each word to the block before it (by y, then x) while ``joins`` holds; boxes and texts grow.
     Blocks are lists in the order of ``BLOCK``."""
     def rule(p: Page) -> list[tuple]:
-        rows = list(zip(*(p[c] for c in BLOCK)))
         out: list[list] = []
-        for i in _ordered(p, "y0", "x0", "word_id"):
-            w = rows[i]
+        for w in zip(*(p[c] for c in BLOCK)):
             if out and joins(out[-1], w):
                 b = out[-1]
                 b[3] = f"{b[3]} {w[3]}".strip()
@@ -267,7 +274,7 @@ def _merge_runs(words: DataFrame, joins: Callable[[list, tuple], bool]) -> DataF
                 out.append(list(w))
         return out
 
-    return _by_page(words.select(*BLOCK), BOX, rule)
+    return _by_page(words.select(*BLOCK), BOX, ["y0", "x0", "word_id"], rule)
 
 
 def _spaced_id(text: str) -> bool:
@@ -310,7 +317,7 @@ def join_continued_lines(cells: DataFrame, longest: int = 80) -> DataFrame:
         return [(p["doc_id"][0], p["page"][0], r, c, grid[(r, c)][0]) for r, c in places if grid[(r, c)][0].strip()]
 
     return _by_page(
-        cells.select(*KEY, "row", "col", "value", "bold"), "doc_id long, page long, row long, col long, value string", rule
+        cells.select(*KEY, "row", "col", "value", "bold"), "doc_id long, page long, row long, col long, value string", ["row", "col"], rule
     )
 
 
@@ -341,5 +348,5 @@ def fill_boxes(cells: DataFrame) -> DataFrame:
 
     return _by_page(
         cells.select(*KEY, "row", "col", "x0", "y0", "x1", "y1"),
-        "doc_id long, page long, row long, col long, x0 double, y0 double, x1 double, y1 double, inferred boolean", rule,
+        "doc_id long, page long, row long, col long, x0 double, y0 double, x1 double, y1 double, inferred boolean", ["row", "col"], rule,
     )
