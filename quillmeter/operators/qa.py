@@ -253,10 +253,11 @@ def visual_table_confidence(facts: DataFrame) -> DataFrame:
     return facts.withColumn("visual_confidence", F.when(F.col("is_candidate"), score).otherwise(0.0))
 
 
-def page_spans(words: DataFrame) -> DataFrame:
-    """Facts for L12 and L13 per document: blocks, spread of centres, font sizes."""
+def page_spans(words: DataFrame, width: float = 1.0) -> DataFrame:
+    """Facts for L12 and L13 per document: blocks, spread of centres as a share of ``width``, font sizes.
+    Centres are taken before they are divided, so that a spread next to a limit does not depend on the unit of words."""
     xc = (F.col("x0") + F.col("x1")) / 2
     return words.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("blocks"), (F.max(xc) - F.min(xc)).alias("x_span"),
+        F.count(F.lit(1)).alias("blocks"), (F.max(xc) / F.lit(width) - F.min(xc) / F.lit(width)).alias("x_span"),
         F.size(F.collect_set("font_size")).cast("long").alias("font_sizes"), long_count(F.col("bold")).alias("bold_words"),
     )

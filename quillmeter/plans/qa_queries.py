@@ -205,7 +205,7 @@ FAILING = f"""(SELECT *, {labels(('rows > 0 AND columns = 1 AND blocks > 5 AND x
 
 def failing(t: Tables) -> DataFrame:
     d = F.col("doc_id")
-    docs = L.page_spans(unit(t)).drop("bold_words").withColumns({
+    docs = L.page_spans(words(t), S.PAGE_W).drop("bold_words").withColumns({
         "rows": d % 9, "columns": 1 + d % 2, "merged_cells": d % 5, "doc_type": F.when(d % 8 == 0, "bank_statement").otherwise("letter")})
     return L.structural_failures(docs)
 
