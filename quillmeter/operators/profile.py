@@ -432,12 +432,12 @@ def visual_page_score(
     rows = words.groupBy(*key, (F.floor(F.col("y0") / 10 + 0.5) * 10).alias("__y")).agg(
         F.collect_list((F.floor(F.col("x0") / 20 + 0.5) * 20).cast("double")).alias("__xs"),
         F.count(F.lit(1)).alias("__n"),
-        F.sum((F.col("x1") - F.col("x0")) * size * 1.2).alias("__area"),
+        F.sum((F.col("x1") - F.col("x0")) * size).alias("__area"),  # whole points add up exactly, in any order
         F.bool_or((F.col("y0") < height * 0.2) & (size > 20) & (F.abs(F.col("x0") - width / 2) < width * 0.3)).alias("__logo"),
     )
     per_page = rows.groupBy(*key).agg(
         F.sum("__n").alias("__items"), F.count(F.lit(1)).alias("__rows"),
-        F.least(F.sum("__area") / F.lit(width * height), F.lit(1.0)).alias("text_density"),
+        F.least(F.sum("__area") * 1.2 / F.lit(width * height), F.lit(1.0)).alias("text_density"),
         F.bool_or("__logo").alias("logo"),
         F.min_by("__xs", "__y").alias("__top"), F.max_by("__xs", "__y").alias("__bottom"),
     )
