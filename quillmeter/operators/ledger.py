@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from quillmeter.functions.exprs import first_rule, micros
 from quillmeter.operators.paths import CHUNK_ROWS, entering_states, finished_chunks, numbered, split_hot
@@ -108,6 +110,77 @@ def account_piece(keep: int):
     return run
 
 
+#: Pieces of one chunk's map that are kept; beyond them those next to the entering balance.
+MOST_PIECES = 4096
+
+
+def account_pieces(keep: int):
+    """``account_piece`` for all entering balances up to ``bound`` at once: a range of balances is cut where a deduction is
+    accepted for its upper part only, so the pieces are the whole map for one entering deadline."""
+
+    def run(rows: list[tuple], entering: tuple | None, bound: int) -> list[tuple]:
+        credits, deadline, used_before = entering or (0, rows[0][2] + keep, True)
+        unset = deadline is None
+        whole = [[min(0, credits)], [max(bound, credits)], [min(0, credits)], [0 if unset else deadline], [LEAST], [MOST]]
+        low, high, now_has, due_at, since, until = (np.array(v, dtype=np.int64) for v in whole)
+        is_open, own, running, used = (np.array([v]) for v in (True, False, not unset, used_before))
+        for row in rows:
+            now, kind, amount = row[2], row[3], row[4]
+            due = running & (due_at < now)
+            given = running & ~own
+            if given.any():
+                since, until = np.where(given & ~due, np.maximum(since, now), since), np.where(given & due, np.minimum(until, now), until)
+            if due.any():
+                now_has, is_open = np.where(due, 0, now_has), is_open & ~due
+            if kind == "purchase":
+                now_has = now_has + amount
+                starts = ~used & (~running | due)
+                if starts.any():
+                    due_at, own, running = np.where(starts, now + keep, due_at), own | starts, running | starts
+                continue
+            cut = np.flatnonzero(is_open & (now_has < amount) & (now_has + (high - low) >= amount))
+            if cut.size:
+                at = low[cut] + (amount - now_has[cut])
+                low, now_has = np.insert(low, cut + 1, at), np.insert(now_has, cut + 1, amount)
+                upper = high[cut]
+                high[cut] = at - 1
+                high = np.insert(high, cut + 1, upper)
+                due_at, since, until, is_open, own, running, used = (np.insert(v, cut + 1, v[cut]) for v in (due_at, since, until, is_open, own, running, used))
+                if len(low) > MOST_PIECES:
+                    first = max(0, int(np.searchsorted(low, credits, "right")) - 1 - MOST_PIECES // 4)
+                    near = slice(first, first + MOST_PIECES // 2)
+                    low, high, now_has, due_at, since, until, is_open, own, running, used = (
+                        v[near] for v in (low, high, now_has, due_at, since, until, is_open, own, running, used))
+            accepted = now_has >= amount
+            if accepted.any():
+                now_has = np.where(accepted, now_has - amount, now_has)
+                due_at, own, running, used = np.where(accepted, now + keep, due_at), own | accepted, running | accepted, used | accepted
+        return [
+            (a, b, f, u, unset, used_before, c - a if o else None, None if o else c, d if w else None, e)
+            for a, b, f, u, o, c, d, w, e in zip(*(v.tolist() for v in (low, high, since, until, is_open, now_has, due_at, own, used)), strict=True)
+        ]
+
+    return run
+
+
+def balance_bounds(rows: DataFrame, keys: Sequence[str], chunk_rows: int) -> DataFrame:
+    """(keys, __chunk, __bound): no balance that enters a chunk is above ``__bound``.
+
+    A deduction of ``a`` either takes ``a`` off or leaves a balance below ``a``. So the bound moves with all amounts, as if
+    none was refused, and is at least the last refusable amount less one. Expiry only lowers balances.
+    """
+    change = F.when(F.col("type") == "purchase", F.col("amount")).otherwise(-F.col("amount"))
+    chunk = F.floor(F.col("i") / chunk_rows)
+    inside = W.partitionBy(*keys, "__chunk").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    moved = rows.select(*keys, "i", "type", "amount", chunk.alias("__chunk"), change.alias("c")).withColumn("p", F.sum("c").over(inside))
+    left = F.max(F.when(F.col("type") != "purchase", F.col("amount") - 1 - F.col("p")))
+    sums = moved.groupBy(*keys, "__chunk").agg(F.sum("c").alias("net"), left.alias("left"))
+    before = W.partitionBy(*keys).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
+    offset = sums.withColumn("p", F.coalesce(F.sum("net").over(before), F.lit(0)))
+    above = F.coalesce(F.max(F.col("left") - F.col("p")).over(before), F.lit(0))
+    return offset.select(*keys, "__chunk", (F.col("p") + F.greatest(F.lit(0), above)).cast("long").alias("__bound"))
+
+
 def piece_holds(piece: tuple, state: tuple) -> bool:
     low, high, since, until, unset, used_before = piece[:6]
     balance, deadline, used = state
@@ -147,7 +220,8 @@ def conditional_balance(
         return decided
     rows = written(numbered(hot, ["user_id"], order, "at_us", DAY_MICROS), "ledger-rows")
     entries = entering_states(
-        rows, ["user_id"], ACCOUNT_STATE, ACCOUNT_PIECE, tuple(account_start()), account_piece(keep), piece_holds, leaving, chunk_rows
+        rows, ["user_id"], ACCOUNT_STATE, ACCOUNT_PIECE, tuple(account_start()), account_pieces(keep), piece_holds, leaving,
+        balance_bounds(rows, ["user_id"], chunk_rows), chunk_rows,
     )
     return decided.unionByName(finished_chunks(rows, ["user_id"], entries, chunk_rows, schema, account_step(keep), out))
 

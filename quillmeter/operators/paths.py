@@ -121,17 +121,20 @@ def entering_states(
     state: str,
     piece: str,
     start: tuple,
-    run: Callable[[list[tuple], tuple | None], tuple],
+    run: Callable[[list[tuple], tuple | None, int], list[tuple]],
     matches: Callable[[tuple, tuple], bool],
     leave: Callable[[tuple, tuple], tuple],
+    bounds: DataFrame,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """(keys, chunk, state columns): what enters each chunk of ``chunk_rows`` rows, numbered by ``i``.
 
-    ``run(rows of a chunk, entering state or None for a guess)`` gives a piece, ``matches(piece, state)`` tells whether the
-    piece holds for a state, ``leave(piece, state)`` what then leaves the chunk. Each round runs, side by side, all chunks
-    that have no piece for their entering state yet; the first of them is exact, later ones may be guesses. A chunk
-    that settles (credits used up or expired, or plenty of them) needs one or two pieces whatever enters.
+    ``run(rows of a chunk, entering state or None for a guess, bound)`` gives pieces, each beginning with the least and the
+    greatest first column of the states it may hold for; ``bounds`` (keys, __chunk, __bound) has what that column is at most
+    where a chunk begins. ``matches(piece, state)`` tells whether a piece holds for a state, ``leave(piece, state)`` what
+    then leaves the chunk. Each round runs, side by side, all chunks that have no piece for their entering state yet; the
+    first of them is exact, later ones may be guesses. As pieces cover all first columns up to the bound, a chunk is run
+    again only if the rest of its state was guessed wrong.
     """
     keys, names = list(keys), [f.name for f in T._parse_datatype_string(state).fields]
     pieces_of = [f.name for f in T._parse_datatype_string(piece).fields]
@@ -150,33 +153,36 @@ def entering_states(
                 return piece_arrow.empty_table()
             number = entry.column("__chunk")[0].as_py()
             entering = tuple(entry.column(c)[0].as_py() for c in names) if turn else (start if number == 0 else None)
-            got = run(ordered(chunk), entering)
-            values = [chunk.column(k)[0] for k in keys] + [number, turn, *got]
-            return pa.Table.from_arrays([pa.array([v.as_py() if isinstance(v, pa.Scalar) else v], f.type) for v, f in zip(values, piece_arrow, strict=True)], schema=piece_arrow)
+            got = run(ordered(chunk), entering, entry.column("__bound")[0].as_py())
+            same = [pa.repeat(chunk.column(k)[0], len(got)) for k in keys] + [pa.repeat(number, len(got)), pa.repeat(turn, len(got))]
+            arrays = [a.cast(f.type) for a, f in zip(same, piece_arrow)] + [pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), list(piece_arrow)[len(same) :], strict=True)]
+            return pa.Table.from_arrays(arrays, schema=piece_arrow)
 
         return one
 
     def resolve(key: tuple, found: pa.Table) -> pa.Table:
-        pieces: dict[int, list[tuple[int, tuple]]] = {}
-        for number, turn, *values in zip(*(found.column(c).to_pylist() for c in ("__chunk", "__round", *pieces_of)), strict=True):
-            pieces.setdefault(number, []).append((turn, tuple(values)))
+        found = found.sort_by([("__chunk", "ascending"), ("__round", "descending")]).combine_chunks()
+        numbers, first = np.unique(found.column("__chunk").to_numpy(), return_index=True)
+        least, most = (found.column(c).to_numpy() for c in pieces_of[:2])
         out, entering = [], start
-        for number in sorted(pieces):
-            newest_first = [p for _, p in sorted(pieces[number], key=lambda x: -x[0])]
+        for number, low, high in zip(numbers.tolist(), first.tolist(), [*first[1:].tolist(), len(found)], strict=True):
+            at = low + np.flatnonzero((least[low:high] <= entering[0]) & (entering[0] <= most[low:high]))
+            near = found.select(pieces_of).take(pa.array(at if len(at) else [low], pa.int64()))
+            newest_first = list(zip(*(c.to_pylist() for c in near.columns), strict=True))
             fitting = next((p for p in newest_first if matches(p, entering)), None)
             out.append((number, *entering, fitting is not None))
             entering = leave(fitting or newest_first[0], entering)
         arrays = [pa.repeat(k, len(out)) for k in key] + [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), list(entry_arrow)[len(keys) :], strict=True)]
         return pa.Table.from_arrays(arrays, schema=entry_arrow)
 
-    wanted = chunked.select(*keys, "__chunk").distinct()
+    wanted = bounds = written(bounds, "chunk-bounds")
     pieces, turn = None, 0
     while True:
         probed = chunked.groupBy(*keys, "__chunk").cogroup(wanted.groupBy(*keys, "__chunk")).applyInArrow(probe(turn), piece_type)
         new = written(probed, "chunk-pieces")
         pieces = new if pieces is None else pieces.unionByName(new)
         entries = written(pieces.groupBy(*keys).applyInArrow(resolve, entry_type), "chunk-entries")
-        wanted = entries.where("NOT __known")
+        wanted = join_null_safe(entries.where("NOT __known"), bounds, [*keys, "__chunk"])
         if wanted.isEmpty():
             return entries.drop("__known").withColumnRenamed("__chunk", "chunk")
         turn += 1
