@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmeter.functions.exprs import col
+from quillmeter.session import settled
 
 PIECE = 5
 
@@ -41,7 +42,8 @@ def prefix(words: Column, least: float) -> Column:
 def own_piece(text: Column) -> Column:
     """The piece of a text that is looked for in others."""
     starts = F.sequence(F.lit(1), F.length(text) - PIECE + 1)
-    pieces = F.transform(starts, lambda i: F.struct(F.xxhash64(F.substring(text, i, F.lit(PIECE))).alias("h"), F.substring(text, i, F.lit(PIECE)).alias("p")))
+    cut = F.transform(starts, lambda i: F.substring(text, i, F.lit(PIECE)))
+    pieces = F.transform(cut, lambda p: F.struct(F.xxhash64(p).alias("h"), p.alias("p")))
     return F.when(F.length(text) <= PIECE, text).otherwise(F.array_min(pieces)["p"])
 
 
@@ -54,15 +56,17 @@ def best_match(needles: DataFrame, hay: DataFrame, keys: Sequence[str], text: st
     """(keys, text, order, score): for each different text the most similar ``hay`` row of its keys, above ``floor``.
 
     Texts are taken bare (lower case, trimmed) and empty ones match nothing; of equally similar rows the least ``order``
-    wins. ``text`` in the result is bare. Texts of one key value are a bounded group (a page).
+    wins. ``text`` in the result is bare. Texts of one key value are a bounded group (a page). The different texts of
+    both sides, with their words and pieces, and the pieces found in texts are settled, as several joins read them.
     """
     keys = list(keys)
     x = needles.select(*keys, bare(text).alias("x")).where("x <> ''").distinct()
     y = hay.select(*keys, bare(hay_text).alias("y"), F.col(order).alias("o")).where("y <> ''").groupBy(*keys, "y").agg(F.min("o").alias("o"))
-    found = [x.join(y.withColumnRenamed("y", "x"), [*keys, "x"]).select(*keys, "x", "o", F.lit(1.0).alias("s"))]
+    x, y = (settled(t.withColumns({f"w{n}": word_set(n), "p": own_piece(F.col(n))})) for t, n in ((x, "x"), (y, "y")))
+    wx, wy = x.drop("p"), y.drop("p")
+    found = [x.select(*keys, "x").join(y.select(*keys, F.col("y").alias("x"), "o"), [*keys, "x"]).select(*keys, "x", "o", F.lit(1.0).alias("s"))]
     inside = lambda a, b: a.contains(b) | b.contains(a)
 
-    wx, wy = (t.withColumn(f"w{n}", word_set(n)) for t, n in ((x, "x"), (y, "y")))
     px = wx.withColumn("w", F.explode(prefix(F.col("wx"), floor)))
     py = wy.withColumn("w", F.explode(prefix(F.col("wy"), floor)))
     nx, ny = F.size("wx"), F.size("wy")
@@ -72,9 +76,9 @@ def best_match(needles: DataFrame, hay: DataFrame, keys: Sequence[str], text: st
 
     def contained(small: DataFrame, s: str, large: DataFrame, b: str) -> DataFrame:
         """Pairs with text ``s`` of ``small`` inside text ``b`` of ``large``; short ones meet only the first such text."""
-        cut = small.withColumn("p", own_piece(F.col(s)))
+        cut, large = small.drop(f"w{s}"), large.drop("p", f"w{b}")
         wanted = cut.groupBy(*keys).agg(F.collect_set("p").alias("ps"))
-        posted = large.join(wanted, keys).withColumn("p", F.explode(pieces_among(F.col(b), F.col("ps")))).drop("ps")
+        posted = settled(large.join(wanted, keys).withColumn("p", F.explode(pieces_among(F.col(b), F.col("ps")))).drop("ps"))
         short = F.length(s) <= PIECE
         if s == "x":  # the first row of the hay that has the piece
             first = posted.groupBy(*keys, "p").agg(F.min("o").alias("o"))

@@ -51,3 +51,17 @@ def test_partitions_grow_with_the_text(spark):
     words = words_from_text(docs)
     assert words.rdd.getNumPartitions() >= 20
     assert words_from_text(docs.limit(0)).count() == 0
+
+
+def test_texts_of_a_match_are_settled_once(spark, monkeypatch):
+    """Words and pieces of each side are worked out once, not in every join."""
+    from quillmeter.operators import textjoin as X
+
+    kept = []
+    monkeypatch.setattr(X, "settled", lambda df, old=X.settled: kept.append(df.columns) or old(df))
+    x = spark.createDataFrame([(1, "alpha beta gamma")], "k long, v string")
+    y = spark.createDataFrame([(1, 7, "alpha beta gamma delta"), (1, 8, "other words")], "k long, o long, t string")
+    plan = X.best_match(x, y, ["k"], "v", "t", "o", 0.7)
+    assert [tuple(r) for r in plan.collect()] == [(1, "alpha beta gamma", 7, 0.8)]
+    assert [c[-2:] for c in kept[:2]] == [["wx", "p"], ["wy", "p"]] and len(kept) == 4
+    assert "xxhash64" not in plan._jdf.queryExecution().optimizedPlan().toString()
