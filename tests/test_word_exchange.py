@@ -11,7 +11,7 @@ from quillmeter.operators import layout as J
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["j18_snap_text_to_grid", "j37_key_value_columns", "j44_generic_rows"])
+@pytest.mark.parametrize("name", ["j18_snap_text_to_grid", "j37_key_value_columns", "j39_hybrid_grid", "j39_visual_grid", "j44_generic_rows"])
 def test_words_are_not_dealt_by_page(spark, name):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
