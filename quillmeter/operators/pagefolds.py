@@ -7,12 +7,14 @@ into lists once a batch, and a rule gets slices of them.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -56,12 +58,18 @@ def _pages(df: DataFrame, names: list[str], order: list[str], run: Callable[[pa.
     return numbered.mapInArrow(stream, schema)
 
 
+def _values(column: pa.Array) -> list:
+    """The column as a list; numbers without nulls go through numpy, several times faster."""
+    plain = pa.types.is_integer(column.type) or pa.types.is_floating(column.type)
+    return column.to_numpy(zero_copy_only=False).tolist() if plain and not column.null_count else column.to_pylist()
+
+
 def _by_page(df: DataFrame, schema: str, order: list[str], rule: Callable[[Page], list[tuple]]) -> DataFrame:
     """``rule`` turns the columns of a page, its rows in ``order``, into output rows."""
     target, names = to_arrow_schema(StructType.fromDDL(schema)), df.columns
 
     def run(batch: pa.RecordBatch, ends: list[int]) -> pa.RecordBatch:
-        columns = {n: batch.column(i).to_pylist() for i, n in enumerate(names)}
+        columns = {n: _values(batch.column(i)) for i, n in enumerate(names)}
         rows: list[tuple] = []
         for low, high in pairwise(ends):
             rows += rule({n: c[low:high] for n, c in columns.items()})
@@ -77,7 +85,7 @@ def _label(words: DataFrame, order: list[str], name: str, reads: list[str], rule
     names = words.columns
 
     def run(batch: pa.RecordBatch, ends: list[int]) -> pa.RecordBatch:
-        columns = {n: batch.column(names.index(n)).to_pylist() for n in reads}
+        columns = {n: _values(batch.column(names.index(n))) for n in reads}
         labels: list[int] = []
         for low, high in pairwise(ends):
             labels += rule({n: c[low:high] for n, c in columns.items()})
@@ -199,24 +207,36 @@ def detected_columns(words: DataFrame, native_cells: DataFrame, tol: float = 0.0
 
 
 SEPARATORS = {ord(c): None for c in " -/."}
+LETTERS, DIGITS = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
 
 
-@lru_cache(maxsize=200_000)
 def _digit_share(text: str) -> float:
+    if text.isascii():
+        bare = text.encode().translate(None, b" -/.")
+        return (len(bare) - len(bare.translate(None, DIGITS))) / len(bare) if bare else 0.0
     bare = text.translate(SEPARATORS)
     return sum(c.isdigit() for c in bare) / len(bare) if bare else 0.0
 
 
-@lru_cache(maxsize=200_000)
 def _script(text: str) -> str:
     if not text:
         return "unknown"
     n = len(text)
-    if sum("ऀ" <= c <= "ॿ" for c in text) / n > 0.3:
-        return "devanagari"
-    if sum("a" <= c.lower() <= "z" for c in text) / n > 0.3:
+    if text.isascii():
+        plain = text.encode()
+        latin, digits = n - len(plain.translate(None, LETTERS)), n - len(plain.translate(None, DIGITS))
+    else:
+        if sum("ऀ" <= c <= "ॿ" for c in text) / n > 0.3:
+            return "devanagari"
+        latin, digits = sum("a" <= c.lower() <= "z" for c in text), sum(c.isdigit() for c in text)
+    if latin / n > 0.3:
         return "latin"
-    return "numeric" if sum(c.isdigit() for c in text) / n > 0.5 else "mixed"
+    return "numeric" if digits / n > 0.5 else "mixed"
+
+
+@lru_cache(maxsize=200_000)
+def _kind(text: str | None) -> tuple[float, str]:
+    return _digit_share(text or ""), _script(text or "")
 
 
 def logical_cells(words: DataFrame, overlap: float = 0.7, height_factor: float = 1.5, numeric: float = 0.6) -> DataFrame:
@@ -224,32 +244,45 @@ def logical_cells(words: DataFrame, overlap: float = 0.7, height_factor: float =
     1.5 line heights, and share the script (or both are numbers); empty and null texts join nothing. Every word is in exactly one cell."""
     def rule(p: Page) -> list[int]:
         x0, x1, y0, y1 = p["x0"], p["x1"], p["y0"], p["y1"]
-        limit = (sum(y1) - sum(y0)) / len(y0) * height_factor
+        size = len(x0)
+        limit = (sum(y1) - sum(y0)) / size * height_factor
         yc = [(a + b) / 2 for a, b in zip(y0, y1)]
-        num = [_digit_share(t or "") >= numeric for t in p["text"]]
-        script = [_script(t or "") for t in p["text"]]
-        owner = [-1] * len(x0)
+        kinds = [_kind(t) for t in p["text"]]
+        num = [share >= numeric for share, _ in kinds]
+        script = [s for _, s in kinds]
+        # words of one y0 lie by x0: where their line ends, and how far the line reaches up to each of them
+        end, reach = [size] * size, x1[:]
+        for i in range(size - 2, -1, -1):
+            end[i] = end[i + 1] if y0[i] == y0[i + 1] else i + 1
+        for i in range(1, size):
+            if y0[i] == y0[i - 1] and reach[i] < reach[i - 1]:
+                reach[i] = reach[i - 1]
+        owner = [-1] * size
         cells = 0
-        for i in range(len(x0)):
+        for i in range(size):
             if owner[i] >= 0:
                 continue
             members, lowest, left, right = [i], yc[i], x0[i], x1[i]
             owner[i] = cells
-            for j in range(i + 1, len(x0)):
-                if y0[j] - lowest > limit:
-                    break
-                if owner[j] >= 0 or x0[j] >= right or x1[j] <= left:
-                    continue
-                for m in members:
-                    common = min(x1[m], x1[j]) - max(x0[m], x0[j])
-                    if (
-                        common > 0 and common / min(x1[m] - x0[m], x1[j] - x0[j]) >= overlap and abs(yc[m] - yc[j]) <= limit
-                        and ((num[m] and num[j]) or script[m] == script[j] != "unknown")
-                    ):
-                        members.append(j)
-                        owner[j] = cells
-                        lowest, left, right = max(lowest, yc[j]), min(left, x0[j]), max(right, x1[j])
+            j = i + 1
+            while j < size and y0[j] - lowest <= limit:
+                last = end[j]
+                for j in range(bisect_right(reach, left, j, last), last):
+                    if x0[j] >= right:
                         break
+                    if owner[j] >= 0 or x1[j] <= left:
+                        continue
+                    for m in reversed(members):
+                        common = min(x1[m], x1[j]) - max(x0[m], x0[j])
+                        if (
+                            common > 0 and common / min(x1[m] - x0[m], x1[j] - x0[j]) >= overlap and abs(yc[m] - yc[j]) <= limit
+                            and ((num[m] and num[j]) or script[m] == script[j] != "unknown")
+                        ):
+                            members.append(j)
+                            owner[j] = cells
+                            lowest, left, right = max(lowest, yc[j]), min(left, x0[j]), max(right, x1[j])
+                            break
+                j = last
             cells += 1
         return owner
 
@@ -260,21 +293,41 @@ BLOCK = ["doc_id", "page", "word_id", "text", "x0", "y0", "x1", "y1", "font_size
 BOX = "doc_id long, page long, word_id long, text string, x0 double, y0 double, x1 double, y1 double, font_size double"
 
 
-def _merge_runs(words: DataFrame, joins: Callable[[list, tuple], bool]) -> DataFrame:
+def _merge_runs(words: DataFrame, joins: Callable[[list, tuple], bool], opens: Callable[[str], bool] | None = None) -> DataFrame:
     """Join each word to the block before it (by y, then x) while ``joins`` holds; boxes and texts grow.
-    Blocks are lists in the order of ``BLOCK``."""
-    def rule(p: Page) -> list[tuple]:
-        out: list[list] = []
-        for w in zip(*(p[c] for c in BLOCK)):
-            if out and joins(out[-1], w):
-                b = out[-1]
-                b[3] = f"{b[3]} {w[3]}".strip()
-                b[4], b[5], b[6], b[7] = min(b[4], w[4]), min(b[5], w[5]), max(b[6], w[6]), max(b[7], w[7])
-            else:
-                out.append(list(w))
-        return out
+    Blocks are lists in the order of ``BLOCK``. ``opens``: of two words that join, one has a space in its text and
+    fulfils it, so that pages without such a word stay as they are."""
+    target, text = to_arrow_schema(StructType.fromDDL(BOX)), BLOCK.index("text")
 
-    return _by_page(words.select(*BLOCK), BOX, ["y0", "x0", "word_id"], rule)
+    def merged(part: pa.RecordBatch, ends: list[int]) -> pa.RecordBatch:
+        rows = list(zip(*map(_values, part.columns)))
+        blocks: list[list] = []
+        for low, high in pairwise(ends):
+            first = len(blocks)
+            for w in rows[low:high]:
+                if len(blocks) > first and joins(blocks[-1], w):
+                    b = blocks[-1]
+                    b[3] = f"{b[3]} {w[3]}".strip()
+                    b[4], b[5], b[6], b[7] = min(b[4], w[4]), min(b[5], w[5]), max(b[6], w[6]), max(b[7], w[7])
+                else:
+                    blocks.append(list(w))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*blocks), target)], schema=target)
+
+    def run(batch: pa.RecordBatch, ends: list[int]) -> pa.RecordBatch:
+        batch = batch.cast(target)
+        if opens is None:
+            return merged(batch, ends)
+        texts = batch.column(text)
+        spaced = np.flatnonzero(pc.match_substring(texts, " ").fill_null(False).to_numpy(zero_copy_only=False))
+        pages = sorted({bisect_right(ends, i) - 1 for i in spaced.tolist() if opens(texts[i].as_py())})
+        parts, done = [], 0
+        for k in pages:
+            parts += [batch.slice(done, ends[k] - done), merged(batch.slice(ends[k], ends[k + 1] - ends[k]), [0, ends[k + 1] - ends[k]])]
+            done = ends[k + 1]
+        parts.append(batch.slice(done))
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+    return _pages(words.select(*BLOCK), BLOCK, ["y0", "x0", "word_id"], run, BOX)
 
 
 def _spaced_id(text: str) -> bool:
@@ -287,7 +340,7 @@ def merge_numeric_pieces(words: DataFrame, gap: float = 0.05) -> DataFrame:
         dy = abs((a[5] + a[7]) - (b[5] + b[7])) / 2
         return dy <= (a[7] - a[5]) * 0.5 and b[4] - a[6] <= gap and (_spaced_id(a[3]) or _spaced_id(b[3]))
 
-    return _merge_runs(words, joins)
+    return _merge_runs(words, joins, _spaced_id)
 
 
 def merge_vertical(words: DataFrame, factor: float = 0.8) -> DataFrame:
