@@ -152,29 +152,35 @@ def rows_by_overlap(words: DataFrame, threshold: float = 0.7) -> DataFrame:
     return _label(words, ["word_id"], "row", ["y0", "y1"], rule)
 
 
+def _leaders(centres: list[float], rows: list[int], tol: float, min_rows: int) -> list[tuple[float, int]]:
+    """Columns (place, rows that support it) of one page, from left to right."""
+    seen: dict[float, set] = {}
+    for x, r in zip(centres, rows):
+        seen.setdefault(x, set()).add(r)
+    sums: list[list[float]] = []
+    for x in sorted(seen):
+        for s in sums:
+            if abs(x - s[0] / s[1]) <= tol:
+                s[0] += x
+                s[1] += 1
+                break
+        else:
+            sums.append([x, 1])
+    found = []
+    for total, n in sums:
+        mean = total / n
+        support = len(set().union(*(rs for x, rs in seen.items() if abs(x - mean) <= tol)))
+        if support >= min_rows:
+            found.append((mean, support))
+    return sorted(found)
+
+
 def leader_columns(rows: DataFrame, tol: float, min_rows: int = 1) -> DataFrame:
     """Distinct centres, left to right, join the first cluster whose mean is within ``tol``; clusters
     near words of at least ``min_rows`` rows are columns. Input words carry ``row``."""
     def rule(p: Page) -> list[tuple]:
-        seen: dict[float, set] = {}
-        for a, b, r in zip(p["x0"], p["x1"], p["row"]):
-            seen.setdefault((a + b) / 2, set()).add(r)
-        sums: list[list[float]] = []
-        for x in sorted(seen):
-            for s in sums:
-                if abs(x - s[0] / s[1]) <= tol:
-                    s[0] += x
-                    s[1] += 1
-                    break
-            else:
-                sums.append([x, 1])
-        found = []
-        for total, n in sums:
-            mean = total / n
-            support = len(set().union(*(rs for x, rs in seen.items() if abs(x - mean) <= tol)))
-            if support >= min_rows:
-                found.append((mean, support))
-        return [(p["doc_id"][0], p["page"][0], i, x, n) for i, (x, n) in enumerate(sorted(found))]
+        found = _leaders([(a + b) / 2 for a, b in zip(p["x0"], p["x1"])], p["row"], tol, min_rows)
+        return [(p["doc_id"][0], p["page"][0], i, x, n) for i, (x, n) in enumerate(found)]
 
     return _by_page(
         rows.select(*KEY, "row", "x0", "x1"), "doc_id long, page long, col long, x double, row_support long", ["x0"], rule
@@ -293,7 +299,7 @@ BLOCK = ["doc_id", "page", "word_id", "text", "x0", "y0", "x1", "y1", "font_size
 BOX = "doc_id long, page long, word_id long, text string, x0 double, y0 double, x1 double, y1 double, font_size double"
 
 
-def _merge_runs(words: DataFrame, joins: Callable[[list, tuple], bool], opens: Callable[[str], bool] | None = None) -> DataFrame:
+def _merge_run(joins: Callable[[list, tuple], bool], opens: Callable[[str], bool] | None = None) -> Callable[[pa.RecordBatch, list[int]], pa.RecordBatch]:
     """Join each word to the block before it (by y, then x) while ``joins`` holds; boxes and texts grow.
     Blocks are lists in the order of ``BLOCK``. ``opens``: of two words that join, one has a space in its text and
     fulfils it, so that pages without such a word stay as they are."""
@@ -327,20 +333,57 @@ def _merge_runs(words: DataFrame, joins: Callable[[list, tuple], bool], opens: C
         parts.append(batch.slice(done))
         return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
-    return _pages(words.select(*BLOCK), BLOCK, ["y0", "x0", "word_id"], run, BOX)
+    return run
+
+
+def _merge_runs(words: DataFrame, run: Callable[[pa.RecordBatch, list[int]], pa.RecordBatch], schema: str = BOX) -> DataFrame:
+    return _pages(words.select(*BLOCK), BLOCK, ["y0", "x0", "word_id"], run, schema)
 
 
 def _spaced_id(text: str) -> bool:
     return " " in text and 10 <= sum(c.isdigit() for c in text) <= 12
 
 
-def merge_numeric_pieces(words: DataFrame, gap: float = 0.05) -> DataFrame:
-    """Neighbours on a row closer than ``gap`` join when one of them is a long spaced number."""
+def _merge_numeric(gap: float) -> Callable[[pa.RecordBatch, list[int]], pa.RecordBatch]:
     def joins(a: list, b: tuple) -> bool:
         dy = abs((a[5] + a[7]) - (b[5] + b[7])) / 2
         return dy <= (a[7] - a[5]) * 0.5 and b[4] - a[6] <= gap and (_spaced_id(a[3]) or _spaced_id(b[3]))
 
-    return _merge_runs(words, joins, _spaced_id)
+    return _merge_run(joins, _spaced_id)
+
+
+def merge_numeric_pieces(words: DataFrame, gap: float = 0.05) -> DataFrame:
+    """Neighbours on a row closer than ``gap`` join when one of them is a long spaced number."""
+    return _merge_runs(words, _merge_numeric(gap))
+
+
+PLACED = "doc_id long, page long, row long, word_id long, text string, x0 double, at double"
+
+
+def numeric_pieces_and_columns(words: DataFrame, parts_per_page: int, tol: float, min_rows: int = 1, gap: float = 0.05) -> DataFrame:
+    """J22, J7 and J9 in one pass, for J39: the merged words with their row and centre ``at``, and the leader columns of
+    their page, ``at`` their place and ``word_id`` null. Rows are rounded centres, as in ``rounded_y``."""
+    merge, target = _merge_numeric(gap), to_arrow_schema(StructType.fromDDL(PLACED))
+
+    def run(batch: pa.RecordBatch, ends: list[int]) -> pa.RecordBatch:
+        blocks = merge(batch, ends)
+        of = {n: blocks.column(n) for n in BLOCK}
+        doc, page, x0, y0, x1, y1 = (of[n].to_numpy(zero_copy_only=False) for n in (*KEY, "x0", "y0", "x1", "y1"))
+        at, height = (x0 + x1) / 2, np.rint((y0 + y1) / 2 * parts_per_page) / parts_per_page
+        starts = np.flatnonzero((np.diff(doc) != 0) | (np.diff(page) != 0)) + 1
+        row = np.empty(len(doc), np.int64)
+        marks: list[tuple[int, int, float]] = []
+        for low, high in pairwise([0, *starts.tolist(), len(doc)]):
+            row[low:high] = np.unique(height[low:high], return_inverse=True)[1]
+            found = _leaders(at[low:high].tolist(), row[low:high].tolist(), tol, min_rows)
+            marks += [(int(doc[low]), int(page[low]), x) for x, _ in found]
+        placed = pa.RecordBatch.from_arrays([of["doc_id"], of["page"], pa.array(row), of["word_id"], of["text"], of["x0"], pa.array(at)], schema=target)
+        docs, pages, places = zip(*marks) if marks else ((), (), ())
+        none = [None] * len(marks)
+        columns = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((docs, pages, none, none, none, none, places), target)], schema=target)
+        return pa.Table.from_batches([placed, columns]).combine_chunks().to_batches()[0]
+
+    return _merge_runs(words, run, PLACED)
 
 
 def merge_vertical(words: DataFrame, factor: float = 0.8) -> DataFrame:
@@ -349,7 +392,7 @@ def merge_vertical(words: DataFrame, factor: float = 0.8) -> DataFrame:
         dx = abs((a[4] + a[6]) - (b[4] + b[6])) / 2
         return b[5] - a[7] <= (a[7] - a[5]) * factor and dx < (a[6] - a[4]) * 0.5
 
-    return _merge_runs(words, joins)
+    return _merge_runs(words, _merge_run(joins))
 
 
 def join_continued_lines(cells: DataFrame, longest: int = 80) -> DataFrame:

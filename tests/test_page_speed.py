@@ -3,8 +3,11 @@
 import random
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from quillmeter.operators import layout as J
 from quillmeter.operators import pagefolds as P
 
 WORD = "doc_id long, page long, word_id long, text string, x0 double, y0 double, x1 double, y1 double, font_size double"
@@ -100,17 +103,13 @@ def test_pages_without_a_spaced_number_are_not_walked(spark, monkeypatch):
     rows = [(1, p, i, "w", i * 10.0, 0.0, i * 10.0 + 9, 10.0, 10.0) for p in range(3) for i in range(4)]
     seen = {}
     monkeypatch.setattr(P, "_pages", lambda df, names, order, run, schema: seen.update(run=run))
-    monkeypatch.setattr(P, "_values", lambda column: pytest_fail())
+    monkeypatch.setattr(P, "_values", lambda column: pytest.fail("a page without a spaced number was walked"))
     P.merge_numeric_pieces(spark.createDataFrame(rows, WORD))
     columns = [pa.array(c) for c in zip(*rows)]
     batch = pa.RecordBatch.from_arrays(columns, names=P.BLOCK)
     assert seen["run"](batch, [0, 4, 8, 12]).to_pylist() == batch.to_pylist()
 
 
-def pytest_fail():
-    raise AssertionError("a page without a spaced number was walked")
-
-
 def test_a_word_is_compared_with_few_others(spark, monkeypatch):
     """Fifty lines of forty words that overlap no other column: comparisons grow with the words, not with words by lines."""
     looked = []
@@ -127,3 +126,41 @@ def test_a_word_is_compared_with_few_others(spark, monkeypatch):
     page = {"x0": Watched(k * 10.0 for _, k in at), "x1": [k * 10.0 + 9 for _, k in at], "y0": [n * 30.0 for n, _ in at], "y1": [n * 30.0 + 25 for n, _ in at], "text": ["a" if n % 2 else "1" for n, _ in at]}
     assert len(set(rules[0](page))) == 2000
     assert len(looked) < 10 * 2000
+
+
+def plain_grid(words, parts, tol, min_rows, far):
+    """J39 of one page of words that need no merging, word by word."""
+    centre = {w[2]: (w[4] + w[6]) / 2 for w in words}
+    height = {w[2]: round((w[5] + w[7]) / 2 * parts) / parts for w in words}
+    row = {w: sorted(set(height.values())).index(h) for w, h in height.items()}
+    clusters = []
+    for x in sorted(set(centre.values())):
+        near = next((c for c in clusters if abs(x - c[0] / c[1]) <= tol), None)
+        if near:
+            near[0], near[1] = near[0] + x, near[1] + 1
+        else:
+            clusters.append([x, 1])
+    columns = [m for m in (t / n for t, n in clusters) if len({row[w] for w, x in centre.items() if abs(x - m) <= tol}) >= min_rows]
+    columns = sorted({*columns, *(x for x in centre.values() if not columns or min(abs(x - c) for c in columns) > far)})
+    cells = {}
+    for w in sorted(words, key=lambda w: (w[4], w[2])):
+        col = min(range(len(columns)), key=lambda i: (abs(columns[i] - centre[w[2]]), i))
+        cells.setdefault((w[1], row[w[2]], col), []).append(w[3])
+    return {k: " ".join(v) for k, v in cells.items()}
+
+
+def test_grid_equals_placing_word_by_word(spark):
+    """Columns from clusters, and from words that lie far from all clusters; pages without any cluster too."""
+    rng, scale = random.Random(39), 60.0
+    rows = [(*r[:4], *(v / scale for v in r[4:8]), r[8]) for r in made_up_pages(rng, 80, ["a", "b", "12"])]
+    frame = spark.createDataFrame(rows, WORD)
+    for parts, tol, min_rows, far in ((50, 0.05, 3, 0.10), (100, 0.06, 1, 0.08), (50, 0.01, 30, 0.02)):
+        want = {k: v for page in by_page(rows) for k, v in plain_grid(page, parts, tol, min_rows, far).items()}
+        got = J.visual_grid(P.numeric_pieces_and_columns(frame, parts, tol, min_rows), far).collect()
+        assert {(r.page, r.row, r.col): r.value for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("name", ["j39_visual_grid", "j39_hybrid_grid"])
+def test_merged_words_are_dealt_once_and_not_written(spark, name):
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "ExistingRDD" not in plan and "Join" not in plan
