@@ -152,13 +152,10 @@ def rows_by_overlap(words: DataFrame, threshold: float = 0.7) -> DataFrame:
     return _label(words, ["word_id"], "row", ["y0", "y1"], rule)
 
 
-def _leaders(centres: list[float], rows: list[int], tol: float, min_rows: int) -> list[tuple[float, int]]:
-    """Columns (place, rows that support it) of one page, from left to right."""
-    seen: dict[float, set] = {}
-    for x, r in zip(centres, rows):
-        seen.setdefault(x, set()).add(r)
+def _means(places: list[float], tol: float) -> list[float]:
+    """Places, from left to right, join the first cluster whose mean is within ``tol``; the clusters' means at the end."""
     sums: list[list[float]] = []
-    for x in sorted(seen):
+    for x in places:
         for s in sums:
             if abs(x - s[0] / s[1]) <= tol:
                 s[0] += x
@@ -166,9 +163,16 @@ def _leaders(centres: list[float], rows: list[int], tol: float, min_rows: int) -
                 break
         else:
             sums.append([x, 1])
+    return [total / n for total, n in sums]
+
+
+def _leaders(centres: list[float], rows: list[int], tol: float, min_rows: int) -> list[tuple[float, int]]:
+    """Columns (place, rows that support it) of one page, from left to right."""
+    seen: dict[float, set] = {}
+    for x, r in zip(centres, rows):
+        seen.setdefault(x, set()).add(r)
     found = []
-    for total, n in sums:
-        mean = total / n
+    for mean in _means(sorted(seen), tol):
         support = len(set().union(*(rs for x, rs in seen.items() if abs(x - mean) <= tol)))
         if support >= min_rows:
             found.append((mean, support))
@@ -187,18 +191,22 @@ def leader_columns(rows: DataFrame, tol: float, min_rows: int = 1) -> DataFrame:
     )
 
 
+def _count_columns(xs: list[float], tol: float) -> int:
+    """``xs``: the centres of one page in ascending order."""
+    count, total, n = 0, xs[0], 1
+    for x in xs[1:]:
+        if abs(x - total / n) <= tol:
+            total, n = total + x, n + 1
+        else:
+            count, total, n = count + (n >= 2), x, 1
+    return 1 if len(xs) < 3 else count + (n >= 2)
+
+
 def column_count(words: DataFrame, tol: float = 0.02) -> DataFrame:
     """Clusters around a running mean with two words or more; one when there are too few words."""
     def rule(p: Page) -> list[tuple]:
         xs = sorted((a + b) / 2 for a, b in zip(p["x0"], p["x1"]))
-        count, total, n = 0, xs[0], 1
-        for x in xs[1:]:
-            if abs(x - total / n) <= tol:
-                total, n = total + x, n + 1
-            else:
-                count, total, n = count + (n >= 2), x, 1
-        count += n >= 2
-        return [(p["doc_id"][0], p["page"][0], 1 if len(xs) < 3 else count)]
+        return [(p["doc_id"][0], p["page"][0], _count_columns(xs, tol))]
 
     return _by_page(words.select(*KEY, "x0", "x1"), "doc_id long, page long, columns long", ["x0"], rule)
 
@@ -212,6 +220,101 @@ def detected_columns(words: DataFrame, native_cells: DataFrame, tol: float = 0.0
     return counted.select(*KEY, F.coalesce("native", "columns").alias("columns"), F.col("native").isNotNull().alias("from_native"))
 
 
+def _opens(*sorted_by: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it in one of the arrays."""
+    opens = np.ones(len(sorted_by[0]), bool)
+    opens[1:] = np.logical_or.reduce([a[1:] != a[:-1] for a in sorted_by])
+    return opens
+
+
+def _per_page(pages: int, of: np.ndarray, amount: np.ndarray | None = None) -> np.ndarray:
+    return np.bincount(of, amount, pages).astype(np.int64)
+
+
+FACTS = """doc_id long, page long, blocks long, left_blocks long, right_blocks long, grid_rows long, aligned_rows long, numeric_blocks long,
+  positions long, position_count long, vertical_bands long, columns long"""
+
+
+def page_facts(words: DataFrame, parts_per_page: int = 50, band_tol: float = 0.08, column_tol: float = 0.02, gap: float = 0.05) -> DataFrame:
+    """J14, J33 and J34 in one pass over the words of a page, the pages of a batch side by side. Rows are rounded centres, as in
+    ``rounded_y``; ``numeric`` tells how many numeric blocks a word is. ``grid_rows``: rows of two words or more, ``aligned_rows``:
+    those of them with separated words, ``vertical_bands``: leader clusters of two rows or more."""
+    names, target = [*KEY, "x0", "x1", "y0", "y1", "numeric"], to_arrow_schema(StructType.fromDDL(FACTS))
+
+    def run(batch: pa.RecordBatch, ends: list[int]) -> pa.RecordBatch:
+        doc, page, x0, x1, y0, y1, numeric = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        pages, first = len(ends) - 1, np.array(ends[:-1])
+        of = np.repeat(np.arange(pages), np.diff(ends))
+        x, height = (x0 + x1) / 2, np.rint((y0 + y1) / 2 * parts_per_page) / parts_per_page
+        by_row = np.lexsort((x, height, of))
+        page_at, x_at = of[by_row], x[by_row]
+        opens = _opens(page_at, height[by_row])
+        start, row_at = np.flatnonzero(opens), np.cumsum(opens) - 1
+        row_of, several = page_at[start], np.diff([*start, len(x)]) >= 2
+        step = np.diff(x_at, prepend=x_at[0])
+        step[start] = 0.0
+        distinct = np.add.reduceat((opens | (step != 0)).astype(np.int64), start)
+        wide = several & (np.maximum.reduceat(step, start) >= gap)
+        by_x = np.lexsort((row_at, x_at, page_at))
+        page_x, x_x, row_x = page_at[by_x], x_at[by_x], row_at[by_x]
+        in_wide = wide[row_x]
+        spots = _opens(page_x[in_wide], x_x[in_wide])
+        places = _opens(page_x, x_x)
+        bands, columns = [], []
+        for low, high in pairwise(ends):
+            xs, rows = x_x[low:high], row_x[low:high]
+            near = (rows[np.abs(xs - mean) <= band_tol] for mean in _means(xs[places[low:high]].tolist(), band_tol))
+            bands.append(sum(r.size > 0 and r.min() != r.max() for r in near))
+            columns.append(_count_columns(xs.tolist(), column_tol))
+        found = [
+            doc[first], page[first], np.diff(ends), _per_page(pages, of[x0 < 0.3]), _per_page(pages, of[x > 0.7]), _per_page(pages, row_of[several]),
+            _per_page(pages, row_of[wide]), _per_page(pages, row_of[several], np.add.reduceat(numeric[by_row], start)[several]),
+            _per_page(pages, page_x[in_wide][spots]), _per_page(pages, row_of[wide], distinct[wide]), bands, columns]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(found, target)], schema=target)
+
+    return _pages(words, names, ["word_id"], run, FACTS)
+
+
+CONSENSUS = "doc_id long, page long, col long, x double, row_support long"
+
+
+def consensus_columns(words: DataFrame, row_tol: float, tol: float = 0.04, share: float = 0.6) -> DataFrame:
+    """J2 and J11 in one pass over the words of a page, the pages of a batch side by side: what ``layout.consensus_columns`` gives on
+    the rows of ``layout.row_bands``."""
+    names, target = [*KEY, "x0", "x1", "y0", "y1"], to_arrow_schema(StructType.fromDDL(CONSENSUS))
+
+    def run(batch: pa.RecordBatch, ends: list[int]) -> pa.RecordBatch:
+        doc, page, x0, x1, y0, y1 = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        pages, first = len(ends) - 1, np.array(ends[:-1])
+        of = np.repeat(np.arange(pages), np.diff(ends))
+        x, yc = (x0 + x1) / 2, (y0 + y1) / 2
+        by_y = np.lexsort((yc, of))
+        opens = _opens(of[by_y])
+        opens[1:] |= np.diff(yc[by_y]) > row_tol
+        rows, row = _per_page(pages, of[by_y][opens]), np.empty(len(x), np.int64)
+        row[by_y] = np.cumsum(opens)
+        by_x = np.lexsort((row, x, of))
+        by_x = by_x[_opens(of[by_x], x[by_x], row[by_x])]
+        page_at, x_at = of[by_x], x[by_x]
+        opens = _opens(page_at)
+        opens[1:] |= np.diff(x_at) > tol
+        start, run_at = np.flatnonzero(opens), np.cumsum(opens) - 1
+        run_of, cx = page_at[start], np.add.reduceat(x_at, start) / np.diff([*start, len(x_at)])
+        near = np.abs(x_at - cx[run_at]) <= tol
+        near_run, near_row = run_at[near], row[by_x][near]
+        by_run = np.lexsort((near_row, near_run))
+        support = _per_page(len(start), near_run[by_run][_opens(near_run[by_run], near_row[by_run])])
+        ok = support >= np.floor(rows * share)[run_of]
+        chosen = np.flatnonzero(ok | (_opens(run_of) & (_per_page(pages, run_of[ok]) == 0)[run_of]))
+        at = run_of[chosen]
+        opens = np.flatnonzero(_opens(at))
+        col = np.arange(len(at)) - np.repeat(opens, np.diff([*opens, len(at)]))
+        found = [doc[first][at], page[first][at], col, cx[chosen], support[chosen]]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(found, target)], schema=target)
+
+    return _pages(words, names, ["word_id"], run, CONSENSUS)
+
+
 SEPARATORS = {ord(c): None for c in " -/."}
 LETTERS, DIGITS = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
 

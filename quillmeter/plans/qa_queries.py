@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from quillmeter.functions.exprs import first_rule
 from quillmeter.operators import layout as J
-from quillmeter.operators import pagefolds as P
 from quillmeter.operators import pagesets as M
 from quillmeter.operators import profile as I
 from quillmeter.operators import qa as L
 from quillmeter.plans.cell_queries import FILLED, SHEET, sheet
-from quillmeter.plans.layout_queries import CANDIDATES, CELLS, KEY, cells, left_right, unit
+from quillmeter.plans.layout_queries import CANDIDATES, CELLS, KEY, cells, unit
 from quillmeter.plans.profile_queries import BY_NAME, TEXTS, texts, words
 from quillmeter.plans.registry import Tables, query
 from quillmeter.plans.wordsql import WORDS
@@ -174,14 +173,11 @@ def route(t: Tables) -> DataFrame:
 @query("l8_route_measured")
 def route_measured(t: Tables) -> DataFrame:
     """The same rules on facts measured from the words: columns, alignment, visual table and text."""
-    w = unit(t)
-    counts = P.column_count(w).groupBy("doc_id").agg(F.max("columns").alias("columns"))
-    alignment = left_right(t).groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"), F.bool_or("label_value").alias("label_value"), F.bool_or("row_grid").alias("row_grid"))
-    bands = P.leader_columns(J.with_row_number(w, J.rounded_y(50)), 0.08)
-    visual = L.visual_table_confidence(J.visual_table_candidate(J.table_candidate_facts(w), bands)).groupBy("doc_id").agg(
-        F.bool_or("is_candidate").alias("visual"), F.max("visual_confidence").alias("visual_confidence"))
+    facts = L.visual_table_confidence(J.measured_facts(unit(t))).groupBy("doc_id").agg(
+        F.max("columns").alias("columns"), F.count(F.lit(1)).alias("pages"), F.bool_or("label_value").alias("label_value"),
+        F.bool_or("row_grid").alias("row_grid"), F.bool_or("is_candidate").alias("visual"), F.max("visual_confidence").alias("visual_confidence"))
     text = texts(t).select("doc_id", I.document_type("text", F.lit(False)).alias("doc_type"), L.label_value_lines("text").alias("kv_lines"))
-    docs = text.join(counts, "doc_id").join(alignment, "doc_id").join(visual, "doc_id").withColumns(
+    docs = text.join(facts, "doc_id").withColumns(
         {"form_parser": F.lit(False), "valid_tables": F.lit(0), "has_cells": F.lit(False), "table_confidence": F.lit(0.0), "fields": F.lit(0)})
     return L.route(L.key_value_eligibility(docs)).select("doc_id", "columns", "doc_type", "mode", F.round("route_confidence", 9).alias("route_confidence"))
 
@@ -241,9 +237,7 @@ def simple_fallback(t: Tables) -> DataFrame:
 @query("l15_visual_table_confidence", f"""SELECT *, round(CASE WHEN is_candidate THEN least(1.0, aligned_rows / 10.0::DOUBLE * 0.4::DOUBLE
   + vertical_bands / 5.0::DOUBLE * 0.3::DOUBLE + numeric_blocks / 10.0::DOUBLE * 0.3::DOUBLE) ELSE 0.0 END, 9) AS visual_confidence FROM {CANDIDATES}""")
 def visual_table_confidence(t: Tables) -> DataFrame:
-    w = unit(t)
-    bands = P.leader_columns(J.with_row_number(w, J.rounded_y(50)), 0.08)
-    return L.visual_table_confidence(J.visual_table_candidate(J.table_candidate_facts(w), bands)).withColumn("visual_confidence", F.round("visual_confidence", 9))
+    return L.visual_table_confidence(J.measured_facts(unit(t)).select(*J.CANDIDATE)).withColumn("visual_confidence", F.round("visual_confidence", 9))
 
 
 def pages(t: Tables) -> DataFrame:
