@@ -49,7 +49,7 @@ def test_consensus_equals_bands_and_columns(made_up, tol, share):
     assert found(P.consensus_columns(made_up, 0.015, tol, share), *names) == found(J.consensus_columns(J.row_bands(made_up, 0.015), tol, share), *names)
 
 
-@pytest.mark.parametrize("name", ["j34_table_candidate", "l15_visual_table_confidence", "l8_route_measured"])
+@pytest.mark.parametrize("name", ["j11_consensus_columns", "j34_table_candidate", "l15_visual_table_confidence", "l8_route_measured"])
 def test_words_are_made_and_dealt_once(spark, name):
     """Words come from one exchange of the texts, are made once, and one page rule reads them."""
     plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
