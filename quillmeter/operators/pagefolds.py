@@ -7,10 +7,12 @@ into lists once a batch, and a rule gets slices of them.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import pairwise
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -549,3 +551,106 @@ def fill_boxes(cells: DataFrame) -> DataFrame:
         cells.select(*KEY, "row", "col", "x0", "y0", "x1", "y1"),
         "doc_id long, page long, row long, col long, x0 double, y0 double, x1 double, y1 double, inferred boolean", ["row", "col"], rule,
     )
+
+
+SPACES = re.compile(r"\s+", re.ASCII)
+
+
+class _Blocks:
+    """The different texts of a page's blocks, in their order, for J30. Nothing is compared with all of them: texts that
+    contain another are found by one search, contained ones by search or by their lengths, similar ones by shared rare words."""
+
+    def __init__(self, texts: list[str], floor: float) -> None:
+        self.texts, self.floor = texts, floor
+        self.place = {t: i for i, t in enumerate(texts)}
+        self.joined, ends = "\0".join(texts), np.cumsum([len(t) + 1 for t in texts])
+        self.starts = [0, *ends.tolist()]
+        self.shorter = sorted((len(t), i) for i, t in enumerate(texts))
+        self.words = [self._words(t) for t in texts]
+        self.sizes = sorted({len(w) for w in self.words})
+        self.rare: dict[str, list[int]] | None = None
+
+    @staticmethod
+    def _words(text: str) -> set[str]:
+        words = set(SPACES.split(text))
+        words.discard("")
+        return words
+
+    def _prefix(self, words: set[str]) -> list[str]:
+        return sorted(words, key=lambda w: (-len(w), w))[: max(0, len(words) - ceil(len(words) * self.floor - 1e-9) + 1)]
+
+    def _contains(self, v: str) -> int:
+        """First block with ``v`` in it, else their number."""
+        if "\0" in v:
+            return next((i for i, t in enumerate(self.texts) if v in t), len(self.texts))
+        at = self.joined.find(v)
+        return bisect_right(self.starts, at) - 1 if at >= 0 else len(self.texts)
+
+    def _inside(self, v: str, before: int) -> int:
+        """First block that is a part of ``v``, if it comes before ``before``."""
+        short = self.shorter[: bisect_right(self.shorter, (len(v), -1))]
+        if len(short) <= len(v):
+            return min((i for _, i in short if i < before and self.texts[i] in v), default=before)
+        cuts = (v[k:k + n] for n in sorted({n for n, _ in short}) for k in range(len(v) - n + 1))
+        return min((self.place[c] for c in cuts if c in self.place), default=before)
+
+    def best(self, v: str) -> int | None:
+        """Place of the most similar text above the floor, the first of equally similar ones."""
+        score, place = (1.0, self.place[v]) if v in self.place else (0.0, len(self.texts))
+        if score < 1 and self.floor < 0.8:
+            holds = self._contains(v)
+            first = min(holds, self._inside(v, holds))
+            if first < len(self.texts):
+                score, place = 0.8, first
+        words = self._words(v)
+        least, most = len(words) * (self.floor - 1e-9), len(words) / (self.floor - 1e-9) if self.floor > 1e-9 else float("inf")
+        at = bisect_right(self.sizes, most)
+        if at and self.sizes[at - 1] >= least:
+            if self.rare is None:
+                self.rare = {}
+                for i, known in enumerate(self.words):
+                    for w in self._prefix(known):
+                        self.rare.setdefault(w, []).append(i)
+            for i in {i for w in self._prefix(words) for i in self.rare.get(w, ()) if least <= len(self.words[i]) <= most}:
+                common = len(words & self.words[i])
+                s = common / (len(words) + len(self.words[i]) - common)
+                if s > self.floor and (s, -i) > (score, -place) and v not in self.texts[i] and self.texts[i] not in v:
+                    score, place = s, i
+        return place if score > self.floor else None
+
+
+def match_blocks(rows: DataFrame, shown: StructType, floor: float) -> DataFrame:
+    """J30 in one pass over the cells and blocks of a page: a cell with a text to look for (``__t``) takes the number ``__o``, as
+    ``matched_word``, and where it has none itself the box of the most similar block. Rows without ``__o`` are the cells; they leave with
+    the columns ``shown``."""
+    box, names = ["x0", "y0", "x1", "y1"], [*shown.names, "__t", "__o"]
+    schema = StructType([*shown.fields, StructField("matched_word", LongType())])
+    target = to_arrow_schema(schema)
+
+    def run(batch: pa.RecordBatch, ends: list[int]) -> pa.RecordBatch:
+        texts, order = batch.column(names.index("__t")).to_pylist(), batch.column(names.index("__o"))
+        is_cell = order.is_null().to_numpy(zero_copy_only=False)
+        hits: list[int | None] = []
+        for low, high in pairwise(ends):
+            first = low + int(is_cell[low:high].sum())  # cells come before the blocks, which are in order
+            rows_of: dict[str, int] = {}
+            for i in range(first, high):
+                if texts[i]:
+                    rows_of.setdefault(texts[i], i)
+            places = list(rows_of.values())
+            blocks, known = _Blocks(list(rows_of), floor) if rows_of else None, {}
+            for v in texts[low:first]:
+                if not v or blocks is None:
+                    hits.append(None)
+                    continue
+                if v not in known:
+                    known[v] = blocks.best(v)
+                hits.append(None if known[v] is None else places[known[v]])
+        found = pa.array(hits, pa.int64())
+        cells = batch.filter(pa.array(is_cell))
+        columns = {n: cells.column(i) for i, n in enumerate(shown.names)}
+        for n in box:
+            columns[n] = pc.coalesce(columns[n], batch.column(names.index(n)).take(found))
+        return pa.RecordBatch.from_arrays([*columns.values(), order.take(found)], names=target.names).cast(target)
+
+    return _pages(rows, names, ["__o"], run, schema)
