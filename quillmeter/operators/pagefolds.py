@@ -449,6 +449,11 @@ def _spaced_id(text: str) -> bool:
     return " " in text and 10 <= sum(c.isdigit() for c in text) <= 12
 
 
+def _long_number(text: str) -> bool:
+    """``profile.long_number_with_spaces`` of one text."""
+    return " " in text and 10 <= sum(c.isdecimal() for c in text) <= 12
+
+
 def _merge_numeric(gap: float) -> Callable[[pa.RecordBatch, list[int]], pa.RecordBatch]:
     def joins(a: list, b: tuple) -> bool:
         dy = abs((a[5] + a[7]) - (b[5] + b[7])) / 2
@@ -491,13 +496,185 @@ def numeric_pieces_and_columns(words: DataFrame, parts_per_page: int, tol: float
     return _merge_runs(words, run, PLACED)
 
 
-def merge_vertical(words: DataFrame, factor: float = 0.8) -> DataFrame:
-    """A word at most 0.8 heights under the block and centred within half its width joins it."""
+def _below(factor: float) -> Callable[[list, tuple], bool]:
     def joins(a: list, b: tuple) -> bool:
         dx = abs((a[4] + a[6]) - (b[4] + b[6])) / 2
         return b[5] - a[7] <= (a[7] - a[5]) * factor and dx < (a[6] - a[4]) * 0.5
 
-    return _merge_runs(words, _merge_run(joins))
+    return joins
+
+
+def merge_vertical(words: DataFrame, factor: float = 0.8) -> DataFrame:
+    """A word at most 0.8 heights under the block and centred within half its width joins it."""
+    return _merge_runs(words, _merge_run(_below(factor)))
+
+
+def _dense(of: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Number of each value among the different ones of its page, from zero."""
+    order = np.lexsort((value, of))
+    page_at = of[order]
+    opens = _opens(page_at, value[order])
+    number = np.cumsum(opens)
+    first = _opens(page_at)
+    out = np.empty(len(of), np.int64)
+    out[order] = number - number[first][np.cumsum(first) - 1]
+    return out
+
+
+def _joined(texts: pa.Array, order: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Texts in ``order``, those from each of ``starts`` up to the next joined by blanks; nulls are left out."""
+    taken, ends = texts.take(pa.array(order)), np.append(starts, len(order))
+    if taken.null_count:
+        filled = taken.is_valid().to_numpy(zero_copy_only=False)
+        taken, ends = taken.drop_null(), np.append(0, np.cumsum(filled))[ends]
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), taken), " ")
+
+
+CELL = "doc_id long, page long, row long, col long, value string"
+
+
+def soft_table(words: DataFrame, tol: float = 0.05, min_rows: int = 3, factor: float = 0.8) -> DataFrame:
+    """J7, J23, J9 and J38 in one pass over the words of a page: what ``layout.soft_table`` gives for the words of the top row (rounded
+    centres, as in ``rounded_y(100)``) and the others, merged down the page, on the leader columns of these."""
+    merge, boxes, target = _merge_run(_below(factor)), to_arrow_schema(StructType.fromDDL(BOX)), to_arrow_schema(StructType.fromDDL(CELL))
+
+    def put(blocks: list[tuple[str | None, bool, int]], columns: int) -> list[str | None]:
+        cells: list[str | None] = [""] * columns
+        for text, free, near in blocks:
+            at = near if not free else cells.index("") if "" in cells else 0
+            cells[at] = None if text is None or cells[at] is None else f"{cells[at]} {text}".strip(" ")
+        return cells
+
+    def run(batch: pa.RecordBatch, ends: list[int]) -> pa.RecordBatch:
+        of = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        y0, y1 = (batch.column(BLOCK.index(n)).to_numpy(zero_copy_only=False) for n in ("y0", "y1"))
+        height = np.rint((y0 + y1) / 2 * 100)
+        top = height == np.minimum.reduceat(height, ends[:-1])[of]
+        head, of_body = batch.filter(pa.array(top)).cast(boxes), of[~top]
+        if not len(of_body):
+            return pa.RecordBatch.from_pylist([], schema=target)
+        starts = np.flatnonzero(_opens(of_body)).tolist()
+        body = merge(batch.filter(pa.array(~top)), [*starts, len(of_body)])
+        doc, page = (body.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        body_of = of_body[starts][np.cumsum(_opens(doc, page)) - 1]
+        both = pa.Table.from_batches([head, body]).combine_chunks().to_batches()[0]
+        doc, page, word, x0, y0, x1, y1 = (both.column(BLOCK.index(n)).to_numpy(zero_copy_only=False) for n in (*KEY, "word_id", "x0", "y0", "x1", "y1"))
+        of, x, texts = np.concatenate([of[top], body_of]), (x0 + x1) / 2, both.column(BLOCK.index("text"))
+        in_body = np.arange(len(of)) >= head.num_rows
+        row = np.zeros(len(of), np.int64)
+        row[in_body] = _dense(body_of, np.rint((y0[in_body] + y1[in_body]) / 2 * 50)) + 1
+        anchors: list[np.ndarray] = [np.empty(0)] * (len(ends) - 1)
+        bounds = [*(np.flatnonzero(_opens(body_of)) + head.num_rows).tolist(), len(of)]
+        for low, high in pairwise(bounds):
+            anchors[of[low]] = np.array([m for m, _ in _leaders(x[low:high].tolist(), row[low:high].tolist(), tol, min_rows)])
+        width = np.array([len(a) for a in anchors])
+        order = np.lexsort((word, x0, row, of))
+        order = order[width[of[order]] >= 2]
+        if not len(order):
+            return pa.RecordBatch.from_pylist([], schema=target)
+        near = np.empty(len(order), np.int64)
+        bounds = [*np.flatnonzero(_opens(of[order])).tolist(), len(order)]
+        for low, high in pairwise(bounds):
+            near[low:high] = np.abs(anchors[of[order[low]]] - x[order[low:high], None]).argmin(axis=1)
+        spaced = pc.match_substring(texts, " ").fill_null(True).to_numpy(zero_copy_only=False)
+        slow = spaced | pc.equal(texts, "").fill_null(True).to_numpy(zero_copy_only=False)
+        opens = _opens(of[order], row[order])
+        first, row_at = np.flatnonzero(opens), np.cumsum(opens) - 1
+        columns = width[of[order[first]]]
+        begin = np.append(0, np.cumsum(columns))
+        values = np.full(begin[-1], "", object)
+        walked = np.logical_or.reduceat(slow[order], first)
+        plain = np.flatnonzero(~walked[row_at])
+        if len(plain):
+            cell = begin[row_at[plain]] + near[plain]
+            by_cell = np.argsort(cell, kind="stable")
+            opens = np.flatnonzero(_opens(cell[by_cell]))
+            values[cell[by_cell[opens]]] = _joined(texts, order[plain[by_cell]], opens).to_numpy(zero_copy_only=False)
+        last = np.append(first[1:], len(order))
+        for k in np.flatnonzero(walked).tolist():
+            some = order[first[k]:last[k]]
+            words_of = [texts[i].as_py() for i in some.tolist()]
+            free = [bool(b) and t is not None and _long_number(t) for b, t in zip(in_body[some], words_of)]
+            values[begin[k]:begin[k + 1]] = put(list(zip(words_of, free, near[first[k]:last[k]].tolist())), int(columns[k]))
+        each = np.repeat(first, columns)
+        found = [doc[order[each]], page[order[each]], row[order[each]], np.arange(begin[-1]) - np.repeat(begin[:-1], columns), values]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(found, target)], schema=target)
+
+    return _merge_runs(words, run, CELL)
+
+
+LABELLED = f"{CELL}, is_label boolean"
+
+
+def key_value_columns(words: DataFrame, row_tol: float, tol: float = 0.02, head_font: float = 12.0, fields: DataFrame | None = None) -> DataFrame:
+    """J2, J12, J7, J15 and J37 in one pass over the words of a page: what ``layout.key_value_columns`` gives on the header anchors of the
+    rows of ``layout.row_bands`` that have a mean font above ``head_font``. Fields that are dealt like the words meet them without a join."""
+    names, target = [*KEY, "word_id", "text", "x0", "x1", "y0", "y1", "font_size", "__field", "__value"], to_arrow_schema(StructType.fromDDL(LABELLED))
+    rows = words.select(*names[:-2], F.lit(None).cast("long").alias("__field"), F.lit(None).cast("string").alias("__value"))
+    if fields is not None:
+        filled = fields.where((F.trim("name") != "") | (F.trim("value") != ""))
+        given = filled.select(*KEY, F.trim("name").alias("text"), F.col("n").cast("long").alias("__field"), F.trim("value").alias("__value"))
+        rows = rows.unionByName(given, allowMissingColumns=True)
+
+    def run(batch: pa.RecordBatch, ends: list[int]) -> pa.RecordBatch:
+        is_field = batch.column(2).is_null().to_numpy(zero_copy_only=False)
+        every = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        given = np.bincount(every[is_field], minlength=len(ends) - 1)
+        parts = []
+        if is_field.any():
+            top, at = batch.filter(pa.array(is_field)), every[is_field]
+            number = np.arange(len(at)) - np.append(0, np.cumsum(given))[at]
+            for i, values in enumerate((top.column(3), top.column(names.index("__value")))):
+                parts.append(pa.RecordBatch.from_arrays(
+                    [top.column(0), top.column(1), pa.array(number), pa.array(np.full(len(at), i)), values, pa.array(np.full(len(at), i == 0))], schema=target))
+        if not is_field.all():
+            parts.append(placed(batch.filter(pa.array(~is_field)), every[~is_field], given))
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+    def placed(batch: pa.RecordBatch, of: np.ndarray, shift: np.ndarray) -> pa.RecordBatch:
+        doc, page, word, texts, x0, x1, y0, y1, font = (
+            c if n == "text" else c.to_numpy(zero_copy_only=False) for n, c in zip(names[:-2], batch.columns[:-2]))
+        x, yc = (x0 + x1) / 2, (y0 + y1) / 2
+        by_y = np.lexsort((word, yc, of))
+        new_page = _opens(of[by_y])
+        opens = new_page.copy()
+        opens[1:] |= np.diff(yc[by_y]) > row_tol
+        start, band = np.flatnonzero(opens), np.cumsum(opens) - 1
+        is_head = np.add.reduceat(font[by_y], start) / np.diff([*start, len(x)]) > head_font
+        headed = np.bincount(of[by_y[start]], is_head, int(of[-1]) + 1) > 0
+        # without header rows the first band of the page
+        chosen = is_head[band] | (~headed[of[by_y]] & (band == band[new_page][np.cumsum(new_page) - 1]))
+        heads = by_y[chosen]
+        spots, spot_of = np.concatenate([x0[heads], x1[heads], x[heads]]), np.tile(of[heads], 3)
+        order = np.lexsort((spots, spot_of))
+        spots, spot_of = spots[order], spot_of[order]
+        kept = _opens(spot_of, spots)
+        spots, spot_of = spots[kept], spot_of[kept]
+        opens = _opens(spot_of)
+        opens[1:] |= np.diff(spots) > tol
+        start = np.flatnonzero(opens)
+        size = np.diff([*start, len(spots)])
+        anchors, anchor_of = spots[start + size // 2], spot_of[start]
+        at_page = np.flatnonzero(_opens(anchor_of))
+        known = dict(zip(anchor_of[at_page].tolist(), np.split(anchors, at_page[1:])))
+        col = np.empty(len(x), np.int64)
+        for low, high in pairwise([*np.flatnonzero(_opens(of)).tolist(), len(of)]):
+            marks, places = known[int(of[low])], x[low:high]
+            here = np.maximum(np.searchsorted(marks, places, side="right") - 1, 0)
+            after = np.minimum(here + 1, len(marks) - 1)
+            before = marks[here] <= places  # else the word lies before the first column
+            col[low:high] = np.where(before & (marks[after] - places < places - marks[here]), after, here)
+        row = _dense(of, np.rint(yc * 100))
+        order = np.lexsort((word, x0, col, row, of))
+        first = np.flatnonzero(_opens(of[order], row[order], col[order]))
+        colon, known_text = (c.to_numpy(zero_copy_only=False) for c in (pc.match_substring(texts, ":").fill_null(False), texts.is_valid()))
+        each = order[first]
+        in_first, has_colon, has_text = col[each] == 0, np.logical_or.reduceat(colon[order], first), np.logical_or.reduceat(known_text[order], first)
+        label = pa.array(in_first | has_colon, mask=~in_first & ~has_text)  # cells of unknown texts only may be labels or not
+        found = [doc[each], page[each], row[each] + shift[of[each]], col[each], _joined(texts, order, first), label]
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(found, target)], schema=target)
+
+    return _pages(rows, names, ["word_id", "__field"], run, LABELLED)
 
 
 def join_continued_lines(cells: DataFrame, longest: int = 80) -> DataFrame:
