@@ -39,7 +39,19 @@ def test_soft_table_equals_the_single_operators(made_up):
     assert found(P.soft_table(words)) == want and len({r[:2] for r in want}) > 10 and len({r[4] for r in want if r[3] > 0}) > 10
 
 
-@pytest.mark.parametrize("name", ["j38_soft_table"])
+def test_key_values_equal_the_single_operators(spark, made_up):
+    fields = spark.createDataFrame(
+        [(0, 3, 2, " n ", "v"), (0, 3, 1, "", "w "), (0, 4, 1, " ", ""), (0, 5, 7, None, "x"), (9, 1, 1, "only fields", None)],
+        "doc_id long, page long, n int, name string, value string")
+    bands = J.row_bands(made_up, 0.015)
+    heads = bands.groupBy(*J.KEY, "row").agg(F.avg("font_size").alias("f")).where("f > 12")
+    anchors = J.header_anchors(bands, heads)
+    for given in (None, fields):
+        want = found(J.key_value_columns(made_up, anchors, given).select(*J.KEY, "row", "col", "value", "is_label"))
+        assert found(P.key_value_columns(made_up, 0.015, fields=given)) == want and len(want) > 500
+
+
+@pytest.mark.parametrize("name", ["j37_key_value_columns", "j38_soft_table"])
 def test_words_are_made_and_dealt_once(spark, name):
     """One page rule reads the words; nothing is written in between."""
     plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
