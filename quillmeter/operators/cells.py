@@ -7,15 +7,18 @@ ordered by column, so they are plain expressions; sheet rules are windows on the
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterable
 from functools import reduce
+from itertools import groupby
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quillmeter.functions.exprs import any_contains, col, first_rule, let, long_count
 from quillmeter.operators.layout import KEY, ordered_text
+from quillmeter.operators.pagefolds import SPACES, Page, by_page
 
 # Words that mark labels, headers and currencies.
 FORM_LABEL_WORDS = ["number", "name", "date", "amount", "id", "url", "status", "channel"]
@@ -45,6 +48,9 @@ TOKEN_TYPES = [("date", r"^\d{2}-\d{2}-\d{4}$"), ("time", r"^\d{2}:\d{2}$"), ("n
                ("quoted", r"^'[^']*'"), ("vehicle", r"^[A-Z]{2}\d{2}[A-Z]{2}\d{4}$"), ("mixed", r"^\d")]
 
 
+BULLET = re.compile(r"[•\-*·]|[1-5]\.")
+
+
 def strip(c: str | Column) -> Column:
     return F.regexp_replace(col(c), r"^\s+|\s+$", "")
 
@@ -243,42 +249,58 @@ def pair_label_rows(rows: DataFrame) -> DataFrame:
     return cells_of(renumber(out, "row"))
 
 
-def pair_bill_rows(rows: DataFrame, ahead: int = 2) -> DataFrame:
-    """K9: 'label: value' cells are split; a label without value looks for it in the next ``ahead`` rows
-    (first text without a colon, else second column) and consumes the rows up to it. Of other rows the first text
-    is the label and the rest the value."""
+#: What a white space is in patterns, and the line ends before which ``$`` matches.
+BLANKS, LINE_ENDS = " \t\n\x0b\f\r", ("\x85", "\u2028", "\u2029")
+PAIRS = "doc_id long, page long, row long, label string, value string"
+Row = tuple[list[int], list[str]]
+Pairs = list[tuple[int, str, str]]
+
+
+def _by_sheet(rows: DataFrame, more: list[str], rule: Callable[[Page], Pairs]) -> DataFrame:
+    """``rule`` turns the rows of a sheet, their columns and texts in ``c`` and ``v``, into (row, label, value)."""
+    def run(p: Page) -> list[tuple]:
+        return [(p["doc_id"][0], p["page"][0], *r) for r in rule(p)]
+
+    return by_page(rows.select(*KEY, "row", "vals.c", "vals.v", *more), PAIRS, ["row"], run)
+
+
+def _bill_pairs(sheet: list[list[str]], ahead: int) -> Pairs:
     def is_label(t: str) -> bool:
         low = t.lower()
         return (len(t) < 50 and (":" in t or low in BILL_LABEL_NAMES)) or any(w in low for w in BILL_LABEL_WORDS)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = [[str(x["v"]).strip() for x in vals] for vals in pdf.sort_values("row").vals]
-        out, i = [], 0
-        while i < len(grid):
-            row = grid[i]
-            texts = [t for t in row if t]
-            head, _, tail = texts[0].partition(":") if len(texts) == 1 else ("", "", "")
-            if not texts:
-                i += 1
-            elif head.strip() and tail.strip():
-                out.append((head.strip(), tail.strip()))
-                i += 1
-            elif row[0] and is_label(row[0]) and not (len(row) > 1 and row[1]):
-                value, i = "", i + 1
-                for j in range(i, min(i + ahead, len(grid))):
-                    first, second = grid[j][0], grid[j][1] if len(grid[j]) > 1 else ""
-                    pick = first if ":" not in first and len(first) > 2 else second if first and len(second) > 2 else ""
-                    if pick:
-                        value, i = pick, j + 1
-                        break
-                out.append((row[0], value))
-            else:
-                out.append((texts[0], " ".join(texts[1:])))
-                i += 1
-        done = pd.DataFrame(out, columns=["label", "value"])
-        return done.assign(doc_id=pdf.doc_id.iloc[0], page=pdf.page.iloc[0], row=range(len(out)))[["doc_id", "page", "row", "label", "value"]]
-
-    return rows.groupBy(*KEY).applyInPandas(run, "doc_id long, page long, row long, label string, value string")
+    grid = [[str(v).strip() for v in row] for row in sheet]
+    out: list[tuple[str, str]] = []
+    i = 0
+    while i < len(grid):
+        row = grid[i]
+        texts = [t for t in row if t]
+        head, _, tail = texts[0].partition(":") if len(texts) == 1 else ("", "", "")
+        if not texts:
+            i += 1
+        elif head.strip() and tail.strip():
+            out.append((head.strip(), tail.strip()))
+            i += 1
+        elif row[0] and is_label(row[0]) and not (len(row) > 1 and row[1]):
+            value, i = "", i + 1
+            for j in range(i, min(i + ahead, len(grid))):
+                first, second = grid[j][0], grid[j][1] if len(grid[j]) > 1 else ""
+                pick = first if ":" not in first and len(first) > 2 else second if first and len(second) > 2 else ""
+                if pick:
+                    value, i = pick, j + 1
+                    break
+            out.append((row[0], value))
+        else:
+            out.append((texts[0], " ".join(texts[1:])))
+            i += 1
+    return [(n, *pair) for n, pair in enumerate(out)]
+
+
+def pair_bill_rows(rows: DataFrame, ahead: int = 2) -> DataFrame:
+    """K9: 'label: value' cells are split; a label without value looks for it in the next ``ahead`` rows
+    (first text without a colon, else second column) and consumes the rows up to it. Of other rows the first text
+    is the label and the rest the value."""
+    return _by_sheet(rows, [], lambda p: _bill_pairs(p["v"], ahead))
 
 
 def resume_layout(rows: DataFrame) -> DataFrame:
@@ -321,22 +343,111 @@ def _as_pairs(rows: DataFrame) -> DataFrame:
     return t.where(F.size("__t") > 0).select(*KEY, "row", F.get("__t", F.lit(0)).alias("label"), rest.alias("value"))
 
 
+def _bare(v: str) -> str:
+    """``strip`` of one text."""
+    return v[:-1].strip(BLANKS) + v[-1] if v.endswith(LINE_ENDS) else v.strip(BLANKS)
+
+
+def _clean(parts: list[str]) -> list[str]:
+    return [b for b in map(_bare, parts) if b]
+
+
+def _first_and_rest(texts: list[str]) -> tuple[str, str]:
+    return texts[0], " ".join(texts[1:])
+
+
+def _numbered(pairs: Iterable[tuple[str, str]]) -> Pairs:
+    return [(n, *pair) for n, pair in enumerate(pairs)]
+
+
+def _unrepeated(rows: list[Row]) -> Pairs:
+    bare = [[_bare(v) for v in vs] for _, vs in rows]
+    kept = [t for t in bare if any(t)]
+    return _numbered(_first_and_rest([v for v in t if v]) for i, t in enumerate(kept) if not i or t != kept[i - 1])
+
+
+def _resume(rows: list[Row]) -> Pairs:
+    texts = [t for t in (_clean(vs) for _, vs in rows) if t]
+    return _numbered(p for t in texts for p in [*((v, "") for v in t if BULLET.match(v)), _first_and_rest(t)])
+
+
+def _certificate(rows: list[Row]) -> Pairs:
+    texts = [t for t in (_clean(vs) for _, vs in rows) if t]
+    return _numbered((t[0], v) for t in texts for v in (t[1:] or [""]))
+
+
+def _letter(rows: list[Row]) -> Pairs:
+    lines = [" ".join(_clean(vs)) for _, vs in rows]
+    return _numbered((" ".join(part), "") for filled_, part in groupby(lines, key=bool) if filled_)
+
+
+def _form(rows: list[Row]) -> Pairs:
+    texts = [t[0] for t in (_clean(vs) for _, vs in rows) if t]
+    out: list[tuple[str, str]] = []
+    may = False  # the row before was not swallowed
+    for t in texts:
+        low = t.lower()
+        is_label = ":" in t or sum(1 for w in SPACES.split(t) if w) <= 3 or any(w in low for w in FORM_LABEL_WORDS)
+        if may and not is_label:
+            out[-1] = (out[-1][0], t)
+            may = False
+        else:
+            out.append((t, ""))
+            may = True
+    return _numbered(out)
+
+
+def _alone(cs: list[int], at: int, parts: list[str]) -> list[Row]:
+    return [(cs, [part if c == at else "" for c in cs]) for part in parts]
+
+
+def _generic(rows: list[Row]) -> Pairs:
+    """``generic_fixes`` of one sheet."""
+    lines: list[Row] = []
+    for cs, vs in rows:
+        parts: list[str] = []
+        at = 0
+        if any(v.count(".") > 2 or "\n" in v or "  " in v for v in vs):
+            _, at, v = max((len(v), -c, v) for c, v in zip(cs, vs))
+            at = -at
+            if "\n" in v:
+                parts = _clean(v.split("\n"))
+            elif v.count(".") > 2:
+                sentences = [f"{t}." for t in _clean(v.split("."))]
+                parts = sentences if len(sentences) > 1 else []
+        lines += _alone(cs, at, parts) if parts else [(cs, vs)]
+    done: list[Row] = []
+    for cs, vs in lines:
+        for c, v in zip(cs, vs):
+            label, _, value = v.partition(":")
+            if v.count(":") == 1 and _bare(label) and _bare(value):
+                vs = [_bare(value) if k == c + 1 else _bare(label) if k == c else old for k, old in zip(cs, vs)]
+                if c + 1 not in cs:
+                    cs, vs = [*cs, c + 1], [*vs, _bare(value)]
+                break
+        mark = next(((c, v) for c, v in zip(cs, vs) if "|" in v or ";" in v), None)
+        parts = _clean(mark[1].split("|" if "|" in mark[1] else ";")) if mark else []
+        done += _alone(cs, mark[0], parts) if mark and len(parts) > 1 else [(cs, vs)]
+    texts = ((n, _clean(vs)) for n, (_, vs) in enumerate(done))
+    return [(n, *_first_and_rest(t)) for n, t in texts if t]
+
+
+#: The rule of each type; the others go through the generic fixes.
+SHEET_RULES: dict[str, Callable[[list[Row]], Pairs]] = {
+    "invoice": _unrepeated, "bank_statement": _unrepeated, "bill_or_receipt": lambda rows: _bill_pairs([vs for _, vs in rows], 2),
+    "resume": _resume, "certificate": _certificate, "id_card": _certificate, "letter": _letter, "generic_form": _form,
+}
+
+
 def fixes_by_type(cells: DataFrame, types: DataFrame) -> DataFrame:
-    """Each sheet goes through the rules of its type; every row ends as first text and rest.
-    types(doc_id, page, doc_type)."""
-    typed = rows_of(cells).join(types, KEY)
-
-    def of(*names: str) -> DataFrame:
-        return typed.where(F.col("doc_type").isin(*names)).drop("doc_type")
-
-    known = ["invoice", "bank_statement", "bill_or_receipt", "resume", "certificate", "id_card", "letter", "generic_form"]
-    branches = [
-        _as_pairs(rows_of(drop_repeated_rows(cells_of(of("invoice", "bank_statement"))))),
-        pair_bill_rows(of("bill_or_receipt")), resume_layout(of("resume")), certificate_layout(of("certificate", "id_card")),
-        letter_layout(of("letter")), pair_form_rows(of("generic_form")),
-        _as_pairs(generic_fixes(typed.where(~F.col("doc_type").isin(*known)).drop("doc_type"))),
-    ]
-    return reduce(lambda a, b: a.unionByName(b), branches)
+    """Each sheet goes through the rules of its type; every row ends as first text and rest. Sheets are read once, whatever the
+    number of types. types(doc_id, page, doc_type), or without page if the sheets of a document are of one type; dealt like the cells
+    they meet these without an exchange. Sheets without type vanish."""
+    of = [c for c in KEY if c in types.columns]
+    both = rows_of(cells).unionByName(types.select(*of, "doc_type"), allowMissingColumns=True)
+    seen = W.partitionBy(*of).orderBy(F.col("row").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    typed = both.withColumn("doc_type", F.first("doc_type", ignorenulls=True).over(seen)).where("row IS NOT NULL AND doc_type IS NOT NULL")
+    return _by_sheet(typed, ["doc_type"], lambda p: SHEET_RULES.get(p["doc_type"][0], _generic)(list(zip(p["c"], p["v"]))))
 
 
 def should_split(text: str | Column) -> Column:

@@ -66,7 +66,7 @@ def _values(column: pa.Array) -> list:
     return column.to_numpy(zero_copy_only=False).tolist() if plain and not column.null_count else column.to_pylist()
 
 
-def _by_page(df: DataFrame, schema: str, order: list[str], rule: Callable[[Page], list[tuple]]) -> DataFrame:
+def by_page(df: DataFrame, schema: str, order: list[str], rule: Callable[[Page], list[tuple]]) -> DataFrame:
     """``rule`` turns the columns of a page, its rows in ``order``, into output rows."""
     target, names = to_arrow_schema(StructType.fromDDL(schema)), df.columns
 
@@ -188,7 +188,7 @@ def leader_columns(rows: DataFrame, tol: float, min_rows: int = 1) -> DataFrame:
         found = _leaders([(a + b) / 2 for a, b in zip(p["x0"], p["x1"])], p["row"], tol, min_rows)
         return [(p["doc_id"][0], p["page"][0], i, x, n) for i, (x, n) in enumerate(found)]
 
-    return _by_page(
+    return by_page(
         rows.select(*KEY, "row", "x0", "x1"), "doc_id long, page long, col long, x double, row_support long", ["x0"], rule
     )
 
@@ -210,7 +210,7 @@ def column_count(words: DataFrame, tol: float = 0.02) -> DataFrame:
         xs = sorted((a + b) / 2 for a, b in zip(p["x0"], p["x1"]))
         return [(p["doc_id"][0], p["page"][0], _count_columns(xs, tol))]
 
-    return _by_page(words.select(*KEY, "x0", "x1"), "doc_id long, page long, columns long", ["x0"], rule)
+    return by_page(words.select(*KEY, "x0", "x1"), "doc_id long, page long, columns long", ["x0"], rule)
 
 
 def detected_columns(words: DataFrame, native_cells: DataFrame, tol: float = 0.02) -> DataFrame:
@@ -694,7 +694,7 @@ def join_continued_lines(cells: DataFrame, longest: int = 80) -> DataFrame:
             grid[(r, c)][0], below[0] = f"{text} {below[0]}", ""
         return [(p["doc_id"][0], p["page"][0], r, c, grid[(r, c)][0]) for r, c in places if grid[(r, c)][0].strip()]
 
-    return _by_page(
+    return by_page(
         cells.select(*KEY, "row", "col", "value", "bold"), "doc_id long, page long, row long, col long, value string", ["row", "col"], rule
     )
 
@@ -724,7 +724,7 @@ def fill_boxes(cells: DataFrame) -> DataFrame:
                         boxes[(r, c)] = (diag[2], diag[3], diag[2] + w, diag[3] + h)
         return [(p["doc_id"][0], p["page"][0], r, c, *b, (r, c) not in given) for (r, c), b in sorted(boxes.items())]
 
-    return _by_page(
+    return by_page(
         cells.select(*KEY, "row", "col", "x0", "y0", "x1", "y1"),
         "doc_id long, page long, row long, col long, x0 double, y0 double, x1 double, y1 double, inferred boolean", ["row", "col"], rule,
     )
