@@ -10,7 +10,7 @@ from quillmeter.operators import layout as J
 from quillmeter.operators.profile import type_by_hits
 from quillmeter.functions import doclex as D
 from quillmeter.plans.layout_queries import CELLS, KEY, cells
-from quillmeter.plans.profile_queries import texts
+from quillmeter.plans.profile_queries import dealt_as_words, texts
 from quillmeter.plans.registry import Tables, query
 from quillmeter.plans.sqltext import any_of
 
@@ -155,10 +155,8 @@ def generic_fixes(t: Tables) -> DataFrame:
 
 @query("k11_fixes_by_type")
 def fixes_by_type(t: Tables) -> DataFrame:
-    cells_ = sheet(t)
     kinds = texts(t).select("doc_id", type_by_hits("text", D.SHEET_WORDS).alias("doc_type"))
-    types = cells_.select(*J.KEY).distinct().join(kinds, "doc_id").select(*J.KEY, "doc_type")
-    return K.fixes_by_type(cells_, types)
+    return K.fixes_by_type(sheet(t), dealt_as_words(t, kinds))
 
 
 @query("k12_split_value")

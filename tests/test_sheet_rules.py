@@ -46,7 +46,7 @@ def test_types_by_document(spark, sheets):
     assert found(K.fixes_by_type(sheets, kinds)) == sorted(want)
 
 
-@pytest.mark.parametrize("name", ["k9_pair_bill_rows"])
+@pytest.mark.parametrize("name", ["k9_pair_bill_rows", "k11_fixes_by_type"])
 def test_words_are_made_once(spark, name):
     """The sheets come from the words once, and one page rule reads them."""
     plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
