@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 KEY = ["doc_id", "page"]
@@ -603,6 +603,52 @@ def soft_table(words: DataFrame, tol: float = 0.05, min_rows: int = 3, factor: f
     return _merge_runs(words, run, CELL)
 
 
+def _extreme(most: np.ufunc, column: pa.Array, order: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Least (``np.fmin``) or largest value of each group, nulls left out."""
+    out = most.reduceat(column.to_numpy(zero_copy_only=False)[order], starts)
+    return pa.array(out, mask=np.isnan(out)) if column.null_count else pa.array(out)
+
+
+def merge_lines(cells: DataFrame, threshold: float) -> DataFrame:
+    """J25 in one pass over the words of a page; see ``layout.merge_lines``. ``__mixed`` tells of each word whether its page is of mixed
+    languages. Openers of all cells of a batch are taken side by side: the first words left over, and all words near to them."""
+    shown = ["confidence", "x0", "x1", "y0", "y1"]
+    names = [*KEY, "row", "col", "word_id", "text", *shown, "__mixed"]
+    fields = [cells.schema[n] for n in [*KEY, "row", "col"]] + [StructField("value", StringType())] + [cells.schema[n] for n in shown]
+    schema = StructType([*fields, StructField("parts", LongType())])
+    target = to_arrow_schema(schema)
+
+    def run(batch: pa.RecordBatch, ends: list[int]) -> pa.RecordBatch:
+        of_name = dict(zip(names, batch.columns))
+        row, col, word, y0, y1, mixed = (of_name[n].to_numpy(zero_copy_only=False) for n in ("row", "col", "word_id", "y0", "y1", "__mixed"))
+        of, yc, height = np.repeat(np.arange(len(ends) - 1), np.diff(ends)), (y0 + y1) / 2, y1 - y0
+        tall = height > 0
+        known = np.bincount(of[tall], minlength=len(ends) - 1)
+        mean = np.bincount(of[tall], height[tall], len(ends) - 1) / np.maximum(known, 1)
+        near = mean[of] * np.where(mixed, threshold * 1.5, threshold)
+        order = np.lexsort((word, col, row, of))
+        order = order[known[of[order]] > 0]
+        if not len(order):
+            return pa.RecordBatch.from_pylist([], schema=target)
+        cell, opener = np.empty(len(of), np.int64), np.empty(len(of), np.int64)
+        cell[order] = np.cumsum(_opens(of[order], row[order], col[order]))
+        left, number = order, 0
+        while len(left):
+            opens = _opens(cell[left])
+            first = left[opens][np.cumsum(opens) - 1]
+            joins = opens | (np.abs(yc[left] - yc[first]) < near[first])
+            opener[left[joins]] = number
+            left, number = left[~joins], number + 1
+        order = order[np.lexsort((opener[order], cell[order]))]  # stable: words of a cell stay in order
+        first = np.flatnonzero(_opens(cell[order], opener[order]))
+        least = {n: _extreme(np.fmax if n in ("x1", "y1") else np.fmin, of_name[n], order, first) for n in shown}
+        each = pa.array(order[first])
+        found = [*(of_name[n].take(each) for n in (*KEY, "row", "col")), _joined(of_name["text"], order, first), *least.values(), pa.array(np.diff([*first, len(order)]))]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(found, target)], schema=target)
+
+    return _pages(cells, names, ["word_id"], run, schema)
+
+
 LABELLED = f"{CELL}, is_label boolean"
 
 

@@ -51,7 +51,31 @@ def test_key_values_equal_the_single_operators(spark, made_up):
         assert found(P.key_value_columns(made_up, 0.015, fields=given)) == want and len(want) > 500
 
 
-@pytest.mark.parametrize("name", ["j37_key_value_columns", "j38_soft_table"])
+def test_merged_lines_of_many_pages_equal_a_loop(spark):
+    """Pages in several batches, some of mixed languages, some without a word of positive height (these vanish), and null texts."""
+    rng, rows = random.Random(25), []
+    for page in range(60):
+        mixed, flat = rng.random() < 0.3, page % 9 == 8
+        for i in range(rng.choice([1, 7, 60])):
+            y = rng.choice([0.0, 4.0, 6.5, 9.0, 12.0, 25.0])
+            rows.append((page // 25, page, rng.randrange(2), rng.randrange(2), i, rng.choice(["a", "b c", None, ""]), rng.random(), float(i), i + 1.0, y, y + (0.0 if flat else 10.0), mixed))
+    df = spark.createDataFrame(rows, "doc_id long, page long, row long, col long, word_id long, text string, confidence double, x0 double, x1 double, y0 double, y1 double, m boolean")
+    want = []
+    for d, p, r, c in sorted({k[:4] for k in rows if k[1] % 9 < 8}):
+        left = sorted((k for k in rows if k[:4] == (d, p, r, c)), key=lambda k: k[4])
+        while left:
+            near = 9.0 if left[0][11] else 6.0
+            taken = [k for k in left if k is left[0] or abs(k[9] - left[0][9]) < near]
+            left = [k for k in left if k not in taken]
+            want.append((d, p, r, c, " ".join(k[5] for k in taken if k[5] is not None), *(f(k[n] for k in taken) for f, n in ((min, 6), (min, 7), (max, 8), (min, 9), (max, 10))), len(taken)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        assert found(J.merge_lines(df, mixed=F.col("m"))) == sorted(want, key=repr)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("name", ["j25_merge_lines", "j37_key_value_columns", "j38_soft_table"])
 def test_words_are_made_and_dealt_once(spark, name):
     """One page rule reads the words; nothing is written in between."""
     plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
